@@ -1,0 +1,6 @@
+"""Streaming: intentionally empty.
+
+The trace workload is batch only: no source, operator or sink of the trace
+tools is incremental, so there is nothing to express with Structured
+Streaming. The five-minute buckets are plain integer keys of batch tables.
+"""
