@@ -72,15 +72,20 @@ def task_utilizations(usage: DataFrame, percentiles=S.TASK_PERCENTILES) -> DataF
 
 
 def _percentile_arrays(pct: DataFrame, by: list[str], n: int) -> DataFrame:
-    """Pivot long percentiles back to the two arrays of Resources."""
-    def pick(measure, i):
-        return F.max(F.when((F.col("measure") == measure) & (F.col("pi") == i), F.col("value")))
-    return pct.groupBy(*by).agg(
-        F.array(*[_resources(pick("max_cpus", i), pick("max_memory", i)) for i in range(n)])
-        .alias("percentile_task_usage"),
-        F.array(*[_resources(pick("cpus", i), pick("memory", i)) for i in range(n)])
-        .alias("percentile_mean_task_usage"),
-    )
+    """Pivot long percentiles back to the two arrays of Resources.
+
+    One row per (key, percentile) with the four measures, then a sorted list
+    of exactly ``n`` entries per key (bounded by the percentile count)."""
+    def pick(measure):
+        return F.max(F.when(F.col("measure") == measure, F.col("value")))
+    per_p = pct.groupBy(*by, "pi").agg(
+        _resources(pick("max_cpus"), pick("max_memory")).alias("tu"),
+        _resources(pick("cpus"), pick("memory")).alias("mu"))
+    lst = F.array_sort(F.collect_list(F.struct("pi", "tu", "mu")))
+    return per_p.groupBy(*by).agg(lst.alias("__l")).select(
+        *by,
+        F.transform("__l", lambda x: x["tu"]).alias("percentile_task_usage"),
+        F.transform("__l", lambda x: x["mu"]).alias("percentile_mean_task_usage"))
 
 
 def task_utilization_long(task_utils: DataFrame) -> DataFrame:
@@ -130,15 +135,8 @@ def job_utilizations(task_utils: DataFrame, percentiles=S.JOB_PERCENTILES) -> Da
     n_task_p = len(S.TASK_PERCENTILES)
     n = len(percentiles)
 
-    def pick(measure, ui, pi):
-        return F.max(F.when((F.col("measure") == measure) & (F.col("ui") == ui) & (F.col("pi") == pi),
-                            F.col("value")))
-    arrays = pct.groupBy(F.col("job_id").alias("__job")).agg(
-        F.array(*[_resources(pick("max_cpus", u, p), pick("max_memory", u, p))
-                  for u in range(n_task_p) for p in range(n)]).alias("percentile_task_usage"),
-        F.array(*[_resources(pick("cpus", u, p), pick("memory", u, p))
-                  for u in range(n_task_p) for p in range(n)]).alias("percentile_mean_task_usage"),
-    )
+    pct = pct.withColumn("pi", F.col("ui") * n + F.col("pi")).drop("ui")
+    arrays = _percentile_arrays(pct.withColumnRenamed("job_id", "__job"), ["__job"], n_task_p * n)
     out = scalar.join(arrays, "__job", "left")
     return out.select(
         F.col("__first.job").alias("job_info"),

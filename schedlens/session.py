@@ -15,6 +15,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
@@ -49,3 +50,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique path under the shared checkpoint folder."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/schedlens-{name}-{uuid.uuid4().hex[:12]}"
+
+
+def cut(df, name: str = "stage"):
+    """Cut lineage at a stage boundary: write the stage as a Parquet table in
+    the shared ``spark.checkpoint.dir`` and read it back.
+
+    One computation (a reliable RDD checkpoint would compute the plan twice),
+    survives executor loss, and later plans start from a small columnar scan
+    with pushdown and pruning instead of the whole upstream plan.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.parquet(path)
