@@ -144,7 +144,8 @@ def job_utilizations(task_utils: DataFrame, percentiles=S.JOB_PERCENTILES) -> Da
         "num_tasks",
         _resources(F.col("__min_c"), F.col("__min_m")).alias("min_request"),
         _resources(F.col("__max_c"), F.col("__max_m")).alias("max_request"),
-        F.array(*[F.lit(float(p)) for _ in range(n_task_p) for p in percentiles]).alias("task_percentile"),
+        F.flatten(F.transform(F.col("__up"), lambda _: F.array(*[F.lit(float(p)) for p in percentiles])))
+        .alias("task_percentile"),
         F.flatten(F.transform(F.col("__up"), lambda x: F.array_repeat(x, n))).alias("usage_percentile"),
         "percentile_task_usage", "percentile_mean_task_usage",
         "start_time", "end_time", "running_time",

@@ -48,8 +48,13 @@ def read_raw(spark: SparkSession, in_dir: str, kind: str, pattern: str = TRACE_G
     return df
 
 
+def _field(c: str) -> Column:
+    """A raw field with empty text read as unset (NULL)."""
+    return F.when(F.col(c) == "", F.lit(None).cast("string")).otherwise(F.col(c))
+
+
 def _req(c: str, kind: str) -> Column:
-    return F.when(F.col(c).isNull(), F.raise_error(F.lit(f"{kind}: required column {c} is empty"))) \
+    return F.when(_field(c).isNull(), F.raise_error(F.lit(f"{kind}: required column {c} is empty"))) \
         .otherwise(F.col(c))
 
 
@@ -78,7 +83,7 @@ def convert(df: DataFrame, kind: str) -> DataFrame:
     need = set(REQUIRED[kind])
 
     def c(i: int) -> Column:
-        return _req(f"c{i}", kind) if i in need else F.col(f"c{i}")
+        return _req(f"c{i}", kind) if i in need else _field(f"c{i}")
 
     if kind == "task_usage":
         res = typed_struct(S.RESOURCES, {
@@ -113,7 +118,7 @@ def convert(df: DataFrame, kind: str) -> DataFrame:
                 "cpus": to_float(c(9)), "memory": to_float(c(10)), "disk_space": to_float(c(11))}),
             "different_machines": to_bool(c(12)),
         })
-        machine = F.when(F.col("c4").isNull(), F.lit(None).cast(S.MACHINE_INFO)) \
+        machine = F.when(_field("c4").isNull(), F.lit(None).cast(S.MACHINE_INFO)) \
             .otherwise(typed_struct(S.MACHINE_INFO, {"id": to_long(c(4))}))
         return df.select(
             to_time(c(0)).alias("time"), to_int(c(1)).alias("missing_type"),
