@@ -46,6 +46,34 @@ def broadcast_max_rows(spark) -> int:
     return int(v) if v else DEFAULT_BROADCAST_MAX_ROWS
 
 
+BROADCAST_PLAIN_MAX_PER_KEY = 64
+
+
+class RightStats:
+    """Size facts of the right side, from one small aggregate over it."""
+
+    def __init__(self, n: int, n_keys: int, worst_key: int, t_min, t_max):
+        self.n, self.n_keys, self.worst_key = n, n_keys, worst_key
+        self.t_min, self.t_max = t_min, t_max
+
+    def probe_period(self) -> int | None:
+        """Period that keeps each broadcast probe to a few candidates: about one
+        right row per (key, period) on average, so the exploded interval table
+        holds at most ``2 n + keys`` rows. None when plain probing is cheap."""
+        if self.worst_key <= BROADCAST_PLAIN_MAX_PER_KEY or self.t_min is None or self.t_max is None:
+            return None
+        span = max(1, self.t_max - self.t_min)
+        return max(1, (span * max(1, self.n_keys)) // max(1, self.n))
+
+
+def right_stats(R: DataFrame, kn: list[str]) -> RightStats:
+    finite = F.when(F.col("__t") < F.lit(S.LONG_MAX), F.col("__t"))
+    per_key = R.groupBy(*kn).agg(F.count(F.lit(1)).alias("c"), F.min("__t").alias("lo"),
+                                 F.max(finite).alias("hi"))
+    r = per_key.agg(F.sum("c"), F.count(F.lit(1)), F.max("c"), F.min("lo"), F.max("hi")).first()
+    return RightStats(int(r[0] or 0), int(r[1] or 0), int(r[2] or 0), r[3], r[4])
+
+
 def choose_strategy(right: DataFrame, max_rows: int | None = None) -> str:
     """Broadcast only behind a checked bound on the right side's row count."""
     limit = max_rows if max_rows is not None else broadcast_max_rows(right.sparkSession)
@@ -103,7 +131,7 @@ def asof_join(
     pt = F.coalesce(passthrough, F.lit(False)) if passthrough is not None else None
 
     if strategy == "broadcast":
-        matched = _broadcast(L, R, kn, direction, pt)
+        matched = _broadcast(L, R, kn, direction, pt, right_stats(R, kn))
     else:
         L_join = L.where(~pt) if pt is not None else L
         if strategy == "window":
@@ -178,7 +206,16 @@ def _bucketed(L: DataFrame, R: DataFrame, kn: list[str], direction: str,
 
 
 def _broadcast(L: DataFrame, R: DataFrame, kn: list[str], direction: str,
-               pt: Column | None) -> DataFrame:
+               pt: Column | None, stats: RightStats) -> DataFrame:
+    """Map-side range probe against validity intervals of the right side.
+
+    Plain form: one broadcast hash join on the key with the interval as the
+    residual condition. When a key has many right rows (a hot machine), each
+    probe would scan all of them, so the bounded intervals are additionally
+    keyed by a time period (each interval listed under every period it
+    overlaps) and the open-ended interval of each key is probed separately:
+    two broadcast joins, a few candidates per probe.
+    """
     w = Window.partitionBy(*kn).orderBy(F.col("__t").asc(), F.col("__o").asc_nulls_first())
     if direction == "backward":
         # valid on [t, next t): of equal times only the last tie is non-empty
@@ -189,18 +226,46 @@ def _broadcast(L: DataFrame, R: DataFrame, kn: list[str], direction: str,
     rn = [f"__rk{i}" for i in range(len(kn))]
     Rv = R.select(*[F.col(k).alias(r) for k, r in zip(kn, rn)],
                   F.col("__t").alias("__rt"), bound.alias("__rb"), F.col("__r").alias("__m"))
-    cond = [F.col(k) == F.col(r) for k, r in zip(kn, rn)]
     t, rt, rb = F.col("__t"), F.col("__rt"), F.col("__rb")
+    keys_eq = [F.col(k) == F.col(r) for k, r in zip(kn, rn)]
+    inside = [t >= rt, t < rb] if direction == "backward" else [t <= rt, t > rb]
+    extra = [~pt] if pt is not None else []
+
+    period = stats.probe_period()
+    if period is None:
+        cond = keys_eq + ([t >= rt, rb.isNull() | (t < rb)] if direction == "backward"
+                          else [t <= rt, rb.isNull() | (t > rb)]) + extra
+        return L.join(F.broadcast(Rv), _and(cond), "left")
+
+    # periods are clamped to the right side's finite time range on both sides,
+    # which keeps the lists finite even for sentinel times
+    lo_p, hi_p = stats.t_min // period, stats.t_max // period
+
+    def per(c: Column) -> Column:
+        return F.least(F.greatest(F.call_function("div", c, F.lit(period).cast("bigint")),
+                                  F.lit(lo_p)), F.lit(hi_p))
     if direction == "backward":
-        cond += [t >= rt, rb.isNull() | (t < rb)]
+        first, last = per(rt), per(rb - F.lit(1))
     else:
-        cond += [t <= rt, rb.isNull() | (t > rb)]
-    if pt is not None:
-        cond.append(~pt)
-    c = cond[0]
-    for x in cond[1:]:
+        first, last = per(F.when(rb < F.lit(S.LONG_MAX), rb + F.lit(1)).otherwise(rb)), per(rt)
+    bounded = (Rv.where(rb.isNotNull() & (first <= last))
+               .withColumn("__rp", F.explode(F.sequence(first, last))))
+    opened = Rv.where(rb.isNull()).drop("__rb").withColumnRenamed("__m", "__mo") \
+        .withColumnRenamed("__rt", "__rto")
+    probe = L.withColumn("__lp", per(t))
+    m1 = probe.join(F.broadcast(bounded), _and(keys_eq + [F.col("__lp") == F.col("__rp")] + inside + extra),
+                    "left").drop(*rn, "__rt", "__rb", "__rp", "__lp")
+    o_cond = [F.col(k) == F.col(r) for k, r in zip(kn, rn)] + \
+        ([t >= F.col("__rto")] if direction == "backward" else [t <= F.col("__rto")]) + extra
+    m2 = m1.join(F.broadcast(opened), _and(o_cond), "left").drop(*rn, "__rto")
+    return m2.withColumn("__m", F.coalesce("__m", "__mo")).drop("__mo")
+
+
+def _and(conds: list[Column]) -> Column:
+    c = conds[0]
+    for x in conds[1:]:
         c = c & x
-    return L.join(F.broadcast(Rv), c, "left")
+    return c
 
 
 def carry_partition(

@@ -94,3 +94,28 @@ def test_carry_partition(spark):
 def test_carry_partition_empty(spark):
     df = spark.createDataFrame([], "t long, k int, v string")
     assert carry_partition(df, keys=["k"], time=F.col("t")).count() == 0
+
+
+@pytest.mark.parametrize("direction", ["backward", "forward"])
+def test_strategies_agree_on_hot_keys(spark, monkeypatch, direction):
+    """Many right rows per key (the period-keyed broadcast probe), ties,
+    sentinel times and negative times: every strategy gives the same rows."""
+    import random
+
+    from schedlens.operators import asof as A
+    monkeypatch.setattr(A, "BROADCAST_PLAIN_MAX_PER_KEY", 4)
+    rnd = random.Random(7)
+    right = [(rnd.randrange(-50, 5000) * 1000, rnd.randrange(3), f"r{i}", i) for i in range(600)]
+    right += [(S.LONG_MAX, 1, "rmax", 10_000)]
+    left = [(rnd.randrange(-100, 5100) * 1000 + rnd.randrange(2) * 500, rnd.randrange(4), i) for i in range(800)]
+    left += [(S.LONG_MAX, 1, 9_999), (S.LONG_MAX, 2, 9_998)]
+    a = spark.createDataFrame(left, "t long, k int, id int")
+    b = spark.createDataFrame(right, "t long, k int, y string, tie int")
+    out = {}
+    for strategy in ["window", "bucketed", "broadcast"]:
+        df = asof_join(a, b, left_keys=["k"], right_keys=["k"], left_time=F.col("t"), right_time=F.col("t"),
+                       ties=["tie"], direction=direction, strategy=strategy, period=300_000,
+                       merge=lambda r: {"m": r.getField("y")})
+        out[strategy] = sorted((r.id, r.m) for r in df.collect())
+    assert out["window"] == out["bucketed"] == out["broadcast"]
+    assert len(out["window"]) == len(left)
