@@ -796,3 +796,38 @@ def q_summaries_pipeline(spark, sf):
     paths = pipelines.run_summaries(spark, tp, up, f"{base}/out")
     readers = {m: spark.read.text for m in series.SERIES_FILES}
     return _counts(spark, paths, readers)
+
+
+@register("job_band_exports", chain_sql("ju", "\nUNION ALL ".join(
+    f"SELECT '{b}' AS band, job_id, CAST(num_tasks AS DOUBLE) AS num_tasks, "
+    f"CAST(end_time - start_time AS DOUBLE) AS duration FROM ju WHERE {c}"
+    for b, c in SQL_BANDS.items())))
+def q_job_band_exports(spark, sf):
+    """The seven band files of the feature table, written and read back."""
+    st = stages(spark, sf)
+    paths = pipelines.export_jobs(spark, st.job_utils, st.tasks_with_jobs_and_machines,
+                                  scratch_path(spark, "bands"))
+    out = None
+    for band, p in paths.items():
+        x = spark.read.parquet(p).select(F.lit(band).alias("band"), "job_id", "num_tasks", "duration")
+        out = x if out is None else out.unionByName(x)
+    return out
+
+
+@register("machine_config_export", O.with_views("""
+SELECT machine_id, substring(coalesce(platform_id, ''), 1, 1) AS platform, coalesce(cap_cpus, 0) AS cpu,
+       coalesce(cap_memory, 0) AS memory
+FROM me WHERE up
+QUALIFY row_number() OVER (PARTITION BY machine_id ORDER BY time DESC, t1 DESC, t2 DESC, t3 DESC, t4 DESC, t5 DESC) = 1
+"""))
+def q_machine_config_export(spark, sf):
+    """The machine configuration table written by the export and read back."""
+    p = pipelines.export_machine_configs(V.machine_events(spark, sf), scratch_path(spark, "machines"))
+    return spark.read.parquet(p)
+
+
+@register("machine_breakdown_text")
+def q_machine_breakdown_text(spark, sf):
+    """The one-line usage summaries of each machine bucket (text)."""
+    b = machine.machine_breakdown(stages(spark, sf).usage_with_avg)
+    return b.select("machine_id", "bucket", "summary_cpus", "summary_memory")
