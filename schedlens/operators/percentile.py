@@ -28,22 +28,42 @@ def unpivot_measures(df: DataFrame, by: Sequence[str | Column], measures: Mappin
         *[F.col(f"`{c}`") for c in df.select(*by_cols).columns], "__m.measure", "__m.v", "w")
 
 
+# Value chunks: contiguous, order-preserving ranges of about 1 % relative width
+# (64 per power of two), so one group's running sum is split over many tasks.
+CHUNKS_PER_OCTAVE = 64
+_CHUNK_OFFSET = 1 << 20
+
+
+def value_chunk(v: Column) -> Column:
+    """A non-decreasing function of ``v`` with ~1 % wide steps (0 for zero)."""
+    mag = F.floor(F.log2(F.abs(v)) * F.lit(CHUNKS_PER_OCTAVE)).cast("bigint") + F.lit(_CHUNK_OFFSET)
+    return F.when(v > 0, mag).when(v < 0, -mag).otherwise(F.lit(0).cast("bigint"))
+
+
 def weighted_percentiles(long: DataFrame, by: Sequence[str], ps: Sequence[float],
                          value: str = "v", weight: str = "w") -> DataFrame:
     """``(by..., pi, p, value)`` for each group of ``by`` and each ``ps[pi]``.
 
-    Plan: pre-aggregate equal values (partial aggregation map-side), one window
-    sort per group for the running weight, then one aggregate with one filtered
-    ``min_by`` per percentile. The window holds distinct values, not rows.
+    Plan: pre-aggregate equal values (partial aggregation map-side); split each
+    group's values into contiguous value chunks; chunk totals give each chunk's
+    offset (a window over at most one row per chunk); the running weight inside
+    a chunk is a window over that chunk only. So the exact cumulative weight of
+    a hot group is computed by many tasks. One aggregate with a filtered
+    ``min_by`` per percentile picks the answers.
     """
     by = list(by)
-    pooled = long.groupBy(*by, F.col(value).alias("v")).agg(F.sum(weight).alias("w"))
-    w_run = (Window.partitionBy(*by).orderBy("v")
+    pooled = (long.groupBy(*by, F.col(value).alias("v")).agg(F.sum(weight).alias("w"))
+              .withColumn("__c", value_chunk(F.col("v"))))
+    chunks = pooled.groupBy(*by, "__c").agg(F.sum("w").alias("__cw"))
+    w_before = (Window.partitionBy(*by).orderBy("__c")
+                .rowsBetween(Window.unboundedPreceding, -1))
+    offsets = chunks.select(*by, "__c",
+                            F.coalesce(F.sum("__cw").over(w_before), F.lit(0)).alias("__off"),
+                            F.sum("__cw").over(Window.partitionBy(*by)).alias("tw"))
+    w_run = (Window.partitionBy(*by, "__c").orderBy("v")
              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    w_all = Window.partitionBy(*by)
-    ranked = pooled.select(*by, "v",
-                           F.sum("w").over(w_run).alias("cw"),
-                           F.sum("w").over(w_all).alias("tw"))
+    ranked = pooled.join(offsets, [*by, "__c"]).select(
+        *by, "v", (F.col("__off") + F.sum("w").over(w_run)).alias("cw"), "tw")
     cw_f = F.col("cw").cast("float")
     picks = []
     for i, p in enumerate(ps):
