@@ -52,9 +52,17 @@ def views(spark: SparkSession, sf: str):
             V.job_events(spark, sf), V.machine_events(spark, sf))
 
 
+_STAGES: dict[tuple[str, str], pipelines.TraceStages] = {}
+
+
 def stages(spark: SparkSession, sf: str) -> pipelines.TraceStages:
-    te, tu, je, me = views(spark, sf)
-    return pipelines.TraceStages(te, je, me, tu)
+    """The staged pipeline over the views of ``sf``; within one session the
+    stored stages are shared by every query that reads them."""
+    key = (spark.sparkContext.applicationId, sf.rstrip("/"))
+    if key not in _STAGES:
+        te, tu, je, me = views(spark, sf)
+        _STAGES[key] = pipelines.TraceStages(te, je, me, tu)
+    return _STAGES[key]
 
 
 # ---------------------------------------------------------------------------
