@@ -54,7 +54,9 @@ def weighted_percentiles(long: DataFrame, by: Sequence[str], ps: Sequence[float]
     by = list(by)
     pooled = (long.groupBy(*by, F.col(value).alias("v")).agg(F.sum(weight).alias("w"))
               .withColumn("__c", value_chunk(F.col("v"))))
-    chunks = pooled.groupBy(*by, "__c").agg(F.sum("w").alias("__cw"))
+    # chunk totals straight from the input: partial aggregation leaves one row
+    # per (group, chunk) per task to shuffle, and the pooled table is read once
+    chunks = long.groupBy(*by, value_chunk(F.col(value)).alias("__c")).agg(F.sum(weight).alias("__cw"))
     w_before = (Window.partitionBy(*by).orderBy("__c")
                 .rowsBetween(Window.unboundedPreceding, -1))
     offsets = chunks.select(*by, "__c",
