@@ -333,8 +333,7 @@ QUALIFY row_number() OVER (PARTITION BY job_id, task_index ORDER BY time, tie) =
 SELECT job_id, task_index, priority, scheduling_class, req_cpus, req_memory, different_machines FROM fe
 """, ("fe", SQL_FIRST_EVENTS)))
 def q_task_samples_per_job(spark, sf):
-    s = tasks.task_samples_per_job(V.task_events(spark, sf))
-    x = s.select("job_id", F.explode("task_samples").alias("i"))
+    x = tasks.task_samples(V.task_events(spark, sf)).select("job_id", F.col("info").alias("i"))
     return x.select("job_id", F.col("i.task_index").alias("task_index"), F.col("i.priority").alias("priority"),
                     F.col("i.scheduling_class").alias("scheduling_class"),
                     F.col("i.requested_resources.cpus").alias("req_cpus"),
