@@ -119,3 +119,28 @@ def test_strategies_agree_on_hot_keys(spark, monkeypatch, direction):
         out[strategy] = sorted((r.id, r.m) for r in df.collect())
     assert out["window"] == out["bucketed"] == out["broadcast"]
     assert len(out["window"]) == len(left)
+
+
+def test_auto_falls_back_above_broadcast_bound(spark):
+    """``auto`` broadcasts only under a proven row bound; above it the
+    time-split join runs, with the same answer."""
+    from schedlens.operators.asof import choose_strategy
+
+    b = spark.createDataFrame(RIGHT + RIGHT_X, "t long, k int, y string")
+    assert choose_strategy(b, max_rows=10) == "broadcast"
+    assert choose_strategy(b, max_rows=2) == "bucketed"
+    out = {r.x for r in _join(spark, LEFT + LEFT_X, RIGHT + RIGHT_X, "auto", broadcast_rows=2).collect()}
+    assert out == EXPECTED | EXPECTED_X
+
+
+def test_stages_are_stored_under_checkpoint_dir(spark):
+    from schedlens.session import cut
+
+    df = spark.createDataFrame([(1, "a")], "k int, v string")
+    stored = cut(df, "probe")
+    from urllib.parse import urlparse
+
+    paths = [urlparse(p).path for p in stored.inputFiles()]
+    base = urlparse(spark.sparkContext.getCheckpointDir()).path.rstrip("/")
+    assert paths and all(p.startswith(base + "/") for p in paths)
+    assert stored.collect() == df.collect()
