@@ -64,3 +64,32 @@ def cut(df, name: str = "stage"):
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.parquet(path)
+
+
+def scale_settings(input_bytes: int, partition_bytes: int = 512 << 20,
+                   max_partitions: int = 100_000) -> dict[str, str]:
+    """SQL settings sized for an input of ``input_bytes`` on a cluster.
+
+    Shuffle partitions start at about one per ``partition_bytes`` of input
+    (clamped to [200, max_partitions]) so no reducer has to hold more than it
+    can sort in memory; AQE then coalesces small partitions and splits skewed
+    join partitions at run time. Scan splits match the partition size.
+    """
+    n = max(200, min(max_partitions, -(-int(input_bytes) // int(partition_bytes))))
+    size = f"{max(1, partition_bytes >> 20)}m"
+    return {
+        "spark.sql.shuffle.partitions": str(n),
+        "spark.sql.files.maxPartitionBytes": size,
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": size,
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+    }
+
+
+def apply_scale_settings(spark: SparkSession, input_bytes: int, **kw) -> dict[str, str]:
+    """Set :func:`scale_settings` on a running session (runtime SQL settings only)."""
+    conf = scale_settings(input_bytes, **kw)
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    return conf
