@@ -17,8 +17,6 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from pyspark.sql import functions as F  # noqa: E402
-
 from schedlens.operators import enrich, machine, series, utilization  # noqa: E402
 from schedlens.plans import pipelines  # noqa: E402
 from schedlens.session import local_session  # noqa: E402

@@ -158,7 +158,7 @@ def asof_join(
     return result
 
 
-def _order(direction: str, side_last: bool = True) -> list[Column]:
+def _order(direction: str) -> list[Column]:
     if direction == "backward":
         return [F.col("__t").asc(), F.col("__side").asc(), F.col("__o").asc_nulls_first()]
     return [F.col("__t").desc(), F.col("__side").asc(), F.col("__o").desc_nulls_last()]

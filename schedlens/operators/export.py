@@ -15,10 +15,6 @@ EVENT_COLUMN_NAMES = ["submit", "schedule", "evict", "fail", "finish", "kill", "
 PERCENTILE_VALUE_NAMES = ["max_cpus", "max_mem", "mean_cpu", "mean_mem"]
 
 
-def duration(job_utils: DataFrame) -> Column:
-    return F.col("end_time") - F.col("start_time")
-
-
 def job_bands() -> dict[str, Column]:
     """Seven duration bands of jobs (inclusive upper bounds), by name."""
     d = F.col("end_time") - F.col("start_time")
