@@ -100,6 +100,12 @@ def feature_columns(task_percentiles=S.TASK_PERCENTILES,
     return cols + [(n, c.cast("double")) for n, c in num]
 
 
+def flat_export(df: DataFrame, columns: list[tuple[str, Column]]) -> DataFrame:
+    """Any flat export: one output column per ``(name, expression)`` pair, in
+    order (string and numeric values alike)."""
+    return df.select(*[c.alias(n) for n, c in columns])
+
+
 def job_features(job_utils: DataFrame, with_job_id: bool = True) -> DataFrame:
     """The flat per-job feature table (3 string + 176 numeric columns).
 
@@ -112,10 +118,9 @@ def job_features(job_utils: DataFrame, with_job_id: bool = True) -> DataFrame:
         cols = [(n, F.col("samples_num_missing").cast("double")) if n == "num_missing" else
                 (n, F.col("samples_num_events").cast("double")) if n == "num_events" else (n, c)
                 for n, c in cols]
-    sel = [c.alias(n) for n, c in cols]
     if with_job_id:
-        sel = [F.col("job_info.id").alias("job_id")] + sel
+        cols = [("job_id", F.col("job_info.id"))] + cols
     # Extra, correctly oriented flag next to the exported one.
-    sel.append(F.coalesce(F.get(F.col("task_samples"), 0).getField("different_machines"), F.lit(False))
-               .alias("requires_different_machines"))
-    return job_utils.select(*sel)
+    cols.append(("requires_different_machines",
+                 F.coalesce(F.get(F.col("task_samples"), 0).getField("different_machines"), F.lit(False))))
+    return flat_export(job_utils, cols)
