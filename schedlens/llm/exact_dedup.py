@@ -76,11 +76,12 @@ def _common(a: bytes, i: int, b: bytes, j: int, n: int) -> int:
 
 
 class RadixTrie:
-    """Compressed radix trie over byte strings; ``size`` estimates its bytes."""
+    """Compressed radix trie over byte strings; ``size`` estimates its bytes and
+    ``strings`` counts its terminals."""
 
     def __init__(self):
         self.root = Node(b"", 0, 0)
-        self.size = 0
+        self.size = self.strings = 0
 
     def insert(self, s: bytes) -> list | None:
         """The (mutable) payload of s, empty when s is new; None below a spilled node."""
@@ -108,6 +109,7 @@ class RadixTrie:
             node, pos = child, pos + k
         if node.payload is None:
             node.payload = []
+            self.strings += 1
         return node.payload
 
     def terminals(self, top: Node | None = None, prefix: bytes = b"") -> Iterator[tuple[bytes, list]]:
@@ -140,6 +142,7 @@ class RadixTrie:
             top = node
         found = list(self.terminals(top, prefix))
         self.size -= self._weight(top)
+        self.strings -= len(found)
         top.children, top.payload, top.spilled = {}, None, True
         return iter(found)
 
@@ -208,7 +211,7 @@ def _owner(budget: int):
                         yield from later(s, [rep])
                         continue
                     payload.append(rep)
-                    while trie.size > budget and trie.root.children:
+                    while trie.size > budget and trie.strings > 1:  # one string must fit
                         for t, reps in trie.spill():
                             yield from later(t, reps)
             for s, reps in trie.terminals():
