@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from schedlens.llm import exact_dedup
+from schedlens.llm import exact_dedup, sentencepiece_chunks, simhash
 
 QUERIES = {
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+    "op6_simhash": simhash.op6_simhash,
+    "op7_sentencepiece": sentencepiece_chunks.op7_sentencepiece,
 }
 
 ORACLE = {
