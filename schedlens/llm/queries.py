@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from schedlens.llm import exact_dedup, sentencepiece_chunks, simhash
+from schedlens.llm import exact_dedup, packing, quality, sentencepiece_chunks, simhash, token_shards
 
 QUERIES = {
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+    "op4_quality": quality.op4_quality,
     "op6_simhash": simhash.op6_simhash,
     "op7_sentencepiece": sentencepiece_chunks.op7_sentencepiece,
+    "op8_packing": packing.op8_packing,
+    "op10_token_shards": token_shards.op10_token_shards,
 }
 
 ORACLE = {
     "op2_exact_dedup": exact_dedup.ORACLE,
+    "op8_packing": packing.ORACLE,
 }
