@@ -65,7 +65,9 @@ class ChunkTable(dict):
             self.old, self.size = dict(self), 0
             self.clear()
         new = []
-        for c in set(chunks).difference(self):
+        for c in set(chunks):
+            if c in self:
+                continue
             e = self.old.get(c)
             if e is None:
                 new.append(c)
