@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from schedlens.llm import exact_dedup, packing, quality, sentencepiece_chunks, simhash, token_shards
+from schedlens.llm import exact_dedup, packing, pii, quality, sentencepiece_chunks, simhash, token_shards
 
 QUERIES = {
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
@@ -10,6 +10,7 @@ QUERIES = {
     "op6_simhash": simhash.op6_simhash,
     "op7_sentencepiece": sentencepiece_chunks.op7_sentencepiece,
     "op8_packing": packing.op8_packing,
+    "op9_pii": pii.op9_pii,
     "op10_token_shards": token_shards.op10_token_shards,
 }
 
