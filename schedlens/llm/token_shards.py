@@ -1,24 +1,22 @@
 """Token ids in training order, as fixed-stride binary shards.
 
-Texts are encoded (SentencePiece ids and one end id per document), concatenated within
+Texts are encoded (byte-level BPE ids and one end id per document), concatenated within
 a scan partition and cut into sequences of ``seq_len`` ids; only the last one of a
 partition is padded. A keyed Feistel network over the next even power of two, walked
 along its cycle until it falls below the number of sequences, is a permutation of
 0..N-1: it gives every sequence its global slot without sorting or a random column.
 
-Two narrow passes find the slots without ever storing or moving the tokens twice:
-the first counts the sequences of every scan partition (one number per partition
-goes to the driver and back), the second cuts them again, adds its partition's start
-and permutes. Then one shuffle, by range of slots: range r of ``shard_slots`` slots
-goes to its own task, is sorted by slot and written as one file. A record is 32 bytes
-of header (slot, first document, ids used, documents that end or start in it), the
-ids as little-endian integers, and one newline, so slot s is at byte
+The sequences are stored once, in compressed blocks that carry their scan partition and
+their position in it; one count per partition goes to the driver and makes the global
+numbering. Then one shuffle, by range of slots: range r of ``shard_slots`` slots goes
+to task r, is sorted by slot and written as one file, part r. A record is 32 bytes of
+header (slot, first document, ids used, documents that occur in it), the ids as
+little-endian integers, and one newline, so slot s is at byte
 ``(s % shard_slots) * stride`` of shard ``s // shard_slots`` and a reader resumes anywhere.
+Records travel compressed; the files hold them as they are.
 
-Files are written by Spark's own committed writer to the shared folder. The second
-pass fails if a partition holds another number of sequences than was counted, so a
-source that changed in between cannot give holes or overlaps; a recomputed task gives
-the same records. Documents must come from a scan or stored table.
+Files are written by Spark's own committed writer to the shared folder; all positions
+come from stored rows, so a recomputed task writes the same bytes.
 
 Defined results: a null or empty text is one end id. A null id is written as the
 smallest long. Repeated rows are written like any others. No documents, no shards.
@@ -26,22 +24,25 @@ smallest long. Repeated rows are written like any others. No documents, no shard
 
 from __future__ import annotations
 
+import base64
 import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from schedlens.llm.common import table, texts
-from schedlens.llm.sentencepiece_chunks import TABLE_BYTES, ChunkTable, model_path
+from schedlens.llm.common import stage, table, texts
 from schedlens.session import scratch_path
 
-SEQ_LEN = 2048
-SHARD_SLOTS = 4096
+SEQ_LEN = 4096
+SHARD_SLOTS = 2048
 KEY = 0x5DEECE66D
 ROUNDS = 6
+#: Ids that are cut into sequences at a time, and sequences in a stored block.
+CUT_BYTES, BLOCK = 1 << 20, 64
 NULL_ID = -(1 << 63)
 HEADER = np.dtype([("slot", "<i8"), ("first_doc", "<i8"), ("used", "<i4"), ("docs", "<i4"), ("spare", "<i8")])
 
@@ -89,111 +90,128 @@ class Feistel:
         return self._walk(np.asarray(slot), step)
 
 
-def id_type(path: str) -> tuple[np.dtype, int]:
-    """Integer type that holds the model's ids, and its end id."""
-    import sentencepiece
+def model_path(name: str = "byte_bpe_50k.tiktoken") -> str:
+    import public_tokenizers
 
-    m = sentencepiece.SentencePieceProcessor(model_file=path)
-    return np.dtype("<u2" if m.get_piece_size() < 1 << 16 else "<u4"), m.eos_id()
+    return public_tokenizers.path(name)
 
 
-def stride(seq_len: int, dtype: np.dtype) -> int:
-    return HEADER.itemsize + seq_len * dtype.itemsize + 1
+def tokenizer(path: str):
+    """The encoding of a rank file, its integer type and its end id (the first free one)."""
+    import public_tokenizers
+    import tiktoken
 
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    enc = tiktoken.Encoding("corpus", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return enc, np.dtype("<u2" if len(ranks) < (1 << 16) - 1 else "<u4"), len(ranks)
 
-def _count(path: str, seq_len: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
 
-        known, ids = ChunkTable(path, lambda chunk, x: len(x), TABLE_BYTES), 0
-        for batch in batches:
-            for text in batch.column("text"):
-                parts = known.chunks(t) if (t := text.as_py()) else []
-                known.learn(parts)
-                ids += sum(map(known.__getitem__, parts)) + 1
-        yield pa.RecordBatch.from_pydict({"part": [TaskContext.get().partitionId()], "n": [-(-ids // seq_len)]},
-                                         schema=pa.schema([("part", pa.int32()), ("n", pa.int64())]))
+def stride(seq_len: int, dtype: np.dtype) -> int:
+    return HEADER.itemsize + seq_len * dtype.itemsize + 1
 
-    return run
 
+BLOCKS = pa.schema([("part", pa.int32()), ("first", pa.int64()), ("n", pa.int32()), ("data", pa.binary())])
 
-def _cut(path: str, seq_len: int, shard_slots: int, starts, order: Feistel):
-    schema = pa.schema([("shard", pa.int32()), ("slot", pa.int64()), ("record", pa.binary())])
+
+def _blocks(path: str, seq_len: int):
+    """Sequences of a scan partition as compressed blocks of records without slots."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        dtype, end = id_type(path)
-        known = ChunkTable(path, lambda chunk, x: np.array(x, dtype=dtype).tobytes(), TABLE_BYTES)
-        part = TaskContext.get().partitionId()
-        start, expected = starts.value.get(part, (0, 0))
-        size, done = seq_len * dtype.itemsize, 0
+        enc, dtype, end = tokenizer(path)
+        part, size, done = TaskContext.get().partitionId(), seq_len * dtype.itemsize, 0
+        pack = zstandard.ZstdCompressor(level=3).compress
         held, held_size, owners = [], 0, []  # ids not cut yet; (document, byte at which it starts)
-        stop = np.array([end], dtype=dtype).tobytes()
 
-        def cut(last: bool):
+        def cut(last: bool) -> list[bytes]:
             """Whole sequences of what is held (with ``last``, also a padded one)."""
-            nonlocal held, held_size, owners, done
+            nonlocal held, held_size, owners
             data = b"".join(held)
             n = -(-len(data) // size) if last else len(data) // size
-            if not n:
-                held = [data]
-                return None
             at = np.array([o[1] for o in owners], dtype=np.int64)
             begin = np.arange(n, dtype=np.int64) * size
+            stop = np.minimum(begin + size, len(data))
             first = np.searchsorted(at, begin, side="right") - 1
-            until = np.searchsorted(at, np.minimum(begin + size, len(data)), side="left")
             head = np.zeros(n, dtype=HEADER)
-            head["slot"] = order.slot(np.arange(start + done, start + done + n))
             head["first_doc"] = np.array([o[0] for o in owners], dtype=np.int64)[first]
-            head["used"] = (np.minimum(begin + size, len(data)) - begin) // dtype.itemsize
-            head["docs"] = until - first
-            records = [h.tobytes() + data[b:b + size].ljust(size, b"\0") for h, b in zip(head, begin.tolist())]
-            done += n
+            head["used"] = (stop - begin) // dtype.itemsize
+            head["docs"] = np.searchsorted(at, stop, side="left") - first
+            out = [h.tobytes() + data[b:b + size].ljust(size, b"\0") for h, b in zip(head, begin.tolist())]
             rest = data[n * size:]
-            owners = [(o[0], max(0, o[1] - n * size)) for o in owners[int(np.searchsorted(at, n * size, side="right")) - 1:]] if rest else []
+            keep = int(np.searchsorted(at, n * size, side="right")) - 1 if rest else len(owners)
+            owners = [(o[0], max(0, o[1] - n * size)) for o in owners[keep:]]
             held, held_size = [rest], len(rest)
-            slots = head["slot"].astype(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array((slots // shard_slots).astype(np.int32)), pa.array(slots),
-                                               pa.array(records, type=pa.binary())], schema=schema)
+            return out
+
+        def blocks(records):
+            nonlocal done
+            for i in range(0, len(records), BLOCK):
+                some = records[i:i + BLOCK]
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([done], pa.int64()), pa.array([len(some)], pa.int32()),
+                                                  pa.array([pack(b"".join(some))], pa.binary())], schema=BLOCKS)
+                done += len(some)
 
         for batch in batches:
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-                parts = known.chunks(t) if (t := text.as_py()) else []
-                known.learn(parts)
+                ids = enc.encode_ordinary(text.as_py())
+                ids.append(end)
                 owners.append((NULL_ID if doc is None else doc, held_size))
-                held.append(b"".join([known[c] for c in parts]) + stop)
+                held.append(np.array(ids, dtype=dtype).tobytes())
                 held_size += len(held[-1])
-                if held_size >= 4 << 20 and (out := cut(False)):
-                    yield out
-        if held_size and (out := cut(True)):
-            yield out
-        if done != expected:
-            raise RuntimeError(f"partition {part} has {done} sequences, {expected} were counted: the source changed")
+                if held_size >= max(CUT_BYTES, BLOCK * size):
+                    yield from blocks(cut(False))
+        if held_size:
+            yield from blocks(cut(True))
 
     return run
 
 
+def _place(starts, order: Feistel, size: int, shard_slots: int):
+    """Gives every stored sequence its slot; records leave one by one, compressed."""
+    schema = pa.schema([("shard", pa.int32()), ("slot", pa.int64()), ("record", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack, unpack = zstandard.ZstdCompressor(level=3).compress, zstandard.ZstdDecompressor().decompress
+        for batch in batches:
+            for part, first, n, data in zip(*(batch.column(c) for c in ("part", "first", "n", "data"))):
+                raw, n = unpack(data.as_py()), n.as_py()
+                at = starts.value[part.as_py()] + first.as_py()
+                slots = order.slot(np.arange(at, at + n))
+                records = [pack(int(s).to_bytes(8, "little") + raw[i * size + 8:(i + 1) * size]) for i, s in enumerate(slots)]
+                yield pa.RecordBatch.from_arrays([pa.array((slots // shard_slots).astype(np.int32)), pa.array(slots),
+                                                  pa.array(records, pa.binary())], schema=schema)
+
+    return run
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    unpack = zstandard.ZstdDecompressor().decompress
+    for batch in batches:
+        for i in range(0, batch.num_rows, 256):
+            yield pa.RecordBatch.from_arrays([pa.array([unpack(x.as_py()) for x in batch.column("record")[i:i + 256]], pa.binary())], ["record"])
+
+
 def write_shards(docs: DataFrame, folder: str, path: str | None = None, seq_len: int = SEQ_LEN,
                  shard_slots: int = SHARD_SLOTS, key: int = KEY, id_col: str = "doc_id", text_col: str = "text") -> dict:
-    """Writes the shards below ``folder`` (shard=N/part-*) and returns their layout."""
+    """Writes the shards as ``folder``/part-<shard>-* and returns their layout."""
     spark, path = docs.sparkSession, path or model_path()
-    rows = texts(docs, id_col, text_col)
-    dtype, _ = id_type(path)
-    counts = sorted((r.part, r.n) for r in rows.mapInArrow(_count(path, seq_len), "part int, n long").collect())  # one per task
+    _, dtype, end = tokenizer(path)
+    blocks = stage(texts(docs, id_col, text_col).mapInArrow(_blocks(path, seq_len), "part int, first long, n int, data binary"), "sequences")
     starts, total = {}, 0
-    for part, n in counts:
-        starts[part] = (total, n)
-        total += n
+    for r in blocks.groupBy("part").agg(F.sum("n").alias("n")).orderBy("part").collect():  # a row per scan task
+        starts[r.part] = total
+        total += r.n
     layout = {"sequences": total, "seq_len": seq_len, "shard_slots": shard_slots, "stride": stride(seq_len, dtype),
-              "dtype": dtype.str, "key": key, "folder": folder}
+              "dtype": dtype.str, "end": end, "key": key, "folder": folder}
     if total:
-        shards = -(-total // shard_slots)
-        (rows.mapInArrow(_cut(path, seq_len, shard_slots, spark.sparkContext.broadcast(starts), Feistel(total, key)),
-                         "shard int, slot long, record binary")
-         .repartitionById(shards, "shard").sortWithinPartitions("shard", "slot")
-         .select("shard", F.col("record").cast("string").alias("value"))  # bytes as they are; the writer ends each with a newline
-         .write.partitionBy("shard").option("lineSep", "\n").text(folder))
+        place = _place(spark.sparkContext.broadcast(starts), Feistel(total, key), stride(seq_len, dtype) - 1, shard_slots)
+        (blocks.mapInArrow(place, "shard int, slot long, record binary")
+         .repartitionById(-(-total // shard_slots), "shard").sortWithinPartitions("slot").select("record")
+         .mapInArrow(_unpacked, "record binary")
+         .select(F.col("record").cast("string").alias("value"))  # bytes as they are; the writer ends each with a newline
+         .write.option("lineSep", "\n").option("maxRecordsPerFile", 0).text(folder))
     return layout
 
 
@@ -211,16 +229,18 @@ def read_shards(spark: SparkSession, layout: dict, first_slot: int = 0, last_slo
         return spark.createDataFrame([], READ_DDL if with_ids else READ_DDL.rsplit(",", 1)[0])
     size, per, step = layout["stride"], layout["shard_slots"], np.dtype(layout["dtype"]).itemsize
     schema = READ if with_ids else READ.remove(len(READ) - 1)
+    wanted = range(first_slot // per, (last - 1) // per + 1)
+    files = [f for f in spark.read.format("binaryFile").load(layout["folder"]).inputFiles() if _shard(f) in wanted]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for shard, content in zip(batch.column("shard").to_pylist(), batch.column("content")):
-                data = content.as_buffer()
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content")):
+                shard, data = _shard(path), content.as_buffer()
                 lo = max(0, first_slot - shard * per)
                 hi = min(data.size // size, last - shard * per)
-                for a in range(lo, hi, 1024):
+                for a in range(lo, hi, 256):
                     out = []
-                    for i in range(a, min(a + 1024, hi)):
+                    for i in range(a, min(a + 256, hi)):
                         raw = data.slice(i * size, size - 1).to_pybytes()
                         h = np.frombuffer(raw, dtype=HEADER, count=1)[0]
                         ids = raw[HEADER.itemsize:HEADER.itemsize + int(h["used"]) * step]
@@ -229,9 +249,12 @@ def read_shards(spark: SparkSession, layout: dict, first_slot: int = 0, last_slo
                                     int(h["used"]), hashlib.sha256(ids).hexdigest(), ids)[:len(schema)])
                     yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*out), schema)], schema=schema)
 
-    files = (spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(layout["folder"])
-             .filter(F.col("shard").between(first_slot // per, (last - 1) // per)).select("shard", "content"))
-    return files.mapInArrow(run, READ_DDL if with_ids else READ_DDL.rsplit(",", 1)[0])
+    return (spark.read.format("binaryFile").load(files).select("path", "content")
+            .mapInArrow(run, READ_DDL if with_ids else READ_DDL.rsplit(",", 1)[0]))
+
+
+def _shard(path: str) -> int:
+    return int(path.rsplit("/", 1)[1].split("-")[1])
 
 
 def op10_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,17 +2,15 @@ import hashlib
 
 import numpy as np
 import pytest
-import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from schedlens.llm import token_shards as T
-from schedlens.llm.sentencepiece_chunks import model_path
 from schedlens.session import scratch_path
 
 from .helpers import awkward, clashing, docs, sample
 
-MODEL = sentencepiece.SentencePieceProcessor(model_file=model_path())
+ENC, _, END = T.tokenizer(T.model_path())
 
 
 @settings(max_examples=60, deadline=None)
@@ -46,7 +44,7 @@ def test_round_trip(spark, seq_len, shard_slots):
     index = T.Feistel(n, layout["key"]).index(np.array([r.slot for r in got]))
     stream = b"".join(r.ids for _, r in sorted(zip(index.tolist(), got), key=lambda x: x[0]))
     scanned = [(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()]
-    want = [[*MODEL.encode(t or ""), MODEL.eos_id()] for _, t in scanned]
+    want = [[*ENC.encode_ordinary(t or ""), END] for _, t in scanned]
     assert np.frombuffer(stream, "<u2").tolist() == [i for w in want for i in w]
     assert sum(r.n_docs for r in got) >= len(pairs)
     some = T.read_shards(spark, layout, n // 3, n // 2).collect()
@@ -59,7 +57,7 @@ def test_first_document_of_each_sequence(spark):
     layout = T.write_shards(df, scratch_path(spark, "shards"), seq_len=50, shard_slots=8)
     got = T.read_shards(spark, layout).collect()
     index = T.Feistel(layout["sequences"], layout["key"]).index(np.array([r.slot for r in got]))
-    owner = [d for d, t in pairs for _ in range(len(MODEL.encode(t)) + 1)]
+    owner = [d for d, t in pairs for _ in range(len(ENC.encode_ordinary(t)) + 1)]
     for i, r in zip(index.tolist(), got):
         mine = owner[i * 50:i * 50 + 50]
         assert (r.first_doc_id, r.n_docs) == (mine[0], len(set(mine)))
