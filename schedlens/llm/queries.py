@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from schedlens.llm import exact_dedup, packing, pii, quality, sentencepiece_chunks, simhash, token_shards
+from schedlens.llm import ann, exact_dedup, packing, pii, quality, sentencepiece_chunks, simhash, token_shards
 
 QUERIES = {
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op4_quality": quality.op4_quality,
+    "op5_ann": ann.op5_ann,
     "op6_simhash": simhash.op6_simhash,
     "op7_sentencepiece": sentencepiece_chunks.op7_sentencepiece,
     "op8_packing": packing.op8_packing,
