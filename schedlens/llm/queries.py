@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from schedlens.llm import ann, exact_dedup, packing, pii, quality, sentencepiece_chunks, simhash, token_shards
+from schedlens.llm import ann, exact_dedup, lm_score, packing, pii, quality, sentencepiece_chunks, simhash, token_shards
 
 QUERIES = {
+    "op1_lm_score": lm_score.op1_lm_score,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op4_quality": quality.op4_quality,
     "op5_ann": ann.op5_ann,
