@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from schedlens.llm import ann, exact_dedup, lm_score, packing, pii, quality, sentencepiece_chunks, simhash, token_shards
+from schedlens.llm import ann, exact_dedup, license_scan, lm_score, packing, pii, quality, sentencepiece_chunks, simhash, token_shards
 
 QUERIES = {
     "op1_lm_score": lm_score.op1_lm_score,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+    "op3_license_scan": license_scan.op3_license_scan,
     "op4_quality": quality.op4_quality,
     "op5_ann": ann.op5_ann,
     "op6_simhash": simhash.op6_simhash,
