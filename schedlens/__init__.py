@@ -8,7 +8,6 @@ Layout
 ``operators``    as-of joins, consolidation, weighted percentiles, utilisation,
                  machine usage, priority series, sampling, exports
 ``plans``        the import / summaries / export pipelines and the query registry
-``streaming``    (empty on purpose: the trace workload is batch only)
 """
 
 __version__ = "0.1.0"

@@ -16,9 +16,9 @@ Three physical strategies give the same answer:
               one key in one period, however hot the key.
 ``broadcast`` right side turned into validity intervals ``[t, next t)`` and
               broadcast; a map-side range probe, no shuffle of the left side.
-              Only used when the right side's row count is checked small.
-``auto``      counts the right side: broadcast below ``broadcast_max_rows``,
-              otherwise bucketed.
+              Only used when the right side's size is checked small; beyond the
+              bound the time-split form runs instead, also when asked for by name.
+``auto``      the same check: broadcast within the bound, otherwise bucketed.
 """
 
 from __future__ import annotations
@@ -27,12 +27,13 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, DataType, DecimalType, StringType, StructType
 
 from schedlens import schemas as S
 from schedlens.functions import clamped_period
 
-BROADCAST_MAX_ROWS_CONF = "schedlens.asof.broadcastMaxRows"
-DEFAULT_BROADCAST_MAX_ROWS = 1_000_000
+BROADCAST_MAX_BYTES_CONF = "schedlens.asof.broadcastMaxBytes"
+DEFAULT_BROADCAST_MAX_BYTES = 64 << 20
 
 Merge = Callable[[Column], dict]
 
@@ -41,46 +42,59 @@ def _cols(xs: Sequence[Column | str]) -> list[Column]:
     return [F.col(x) if isinstance(x, str) else x for x in xs]
 
 
-def broadcast_max_rows(spark) -> int:
-    v = spark.conf.get(BROADCAST_MAX_ROWS_CONF, None)
-    return int(v) if v else DEFAULT_BROADCAST_MAX_ROWS
-
-
-BROADCAST_PLAIN_MAX_PER_KEY = 64
+def broadcast_max_bytes(spark) -> int:
+    v = spark.conf.get(BROADCAST_MAX_BYTES_CONF, None)
+    return int(v) if v else DEFAULT_BROADCAST_MAX_BYTES
 
 
 class RightStats:
     """Size facts of the right side, from one small aggregate over it."""
 
-    def __init__(self, n: int, n_keys: int, worst_key: int, t_min, t_max):
-        self.n, self.n_keys, self.worst_key = n, n_keys, worst_key
+    def __init__(self, n: int, n_keys: int, n_bytes: int, t_min, t_max):
+        self.n, self.n_keys, self.n_bytes = n, n_keys, n_bytes
         self.t_min, self.t_max = t_min, t_max
 
-    def probe_period(self) -> int | None:
+    def probe_period(self) -> int:
         """Period that keeps each broadcast probe to a few candidates: about one
         right row per (key, period) on average, so the exploded interval table
-        holds at most ``2 n + keys`` rows. None when plain probing is cheap."""
-        if self.worst_key <= BROADCAST_PLAIN_MAX_PER_KEY or self.t_min is None or self.t_max is None:
-            return None
-        span = max(1, self.t_max - self.t_min)
+        holds at most ``2 n + keys`` rows."""
+        span = max(1, (self.t_max or 0) - (self.t_min or 0))
         return max(1, (span * max(1, self.n_keys)) // max(1, self.n))
 
+    def broadcast_bytes(self) -> int:
+        """Upper estimate of what both broadcast tables hold."""
+        return 3 * self.n_bytes
+
+
+def _value_bytes(c: Column, t: DataType) -> Column:
+    """Estimated bytes of one value; strings and lists by their own length."""
+    if isinstance(t, StructType):
+        total = F.lit(8)
+        for f in t.fields:
+            total = total + _value_bytes(c.getField(f.name), f.dataType)
+        return total
+    if isinstance(t, (StringType, BinaryType)):
+        return F.coalesce(F.octet_length(c), F.lit(0)) + 16
+    if isinstance(t, ArrayType):
+        inner = t.elementType
+        if isinstance(inner, (StructType, StringType, BinaryType, ArrayType)):
+            return F.coalesce(F.aggregate(c, F.lit(16), lambda a, x: a + _value_bytes(x, inner)), F.lit(16))
+        return F.coalesce(F.size(c), F.lit(0)) * 8 + 16
+    return F.lit(16 if isinstance(t, DecimalType) else 8)
+
 
 def right_stats(R: DataFrame, kn: list[str]) -> RightStats:
     finite = F.when(F.col("__t") < F.lit(S.LONG_MAX), F.col("__t"))
-    per_key = R.groupBy(*kn).agg(F.count(F.lit(1)).alias("c"), F.min("__t").alias("lo"),
-                                 F.max(finite).alias("hi"))
-    r = per_key.agg(F.sum("c"), F.count(F.lit(1)), F.max("c"), F.min("lo"), F.max("hi")).first()
+    row_bytes = sum((_value_bytes(F.col(f.name), f.dataType) for f in R.schema.fields), F.lit(16))
+    per_key = R.groupBy(*kn).agg(F.count(F.lit(1)).alias("c"), F.sum(row_bytes.cast("bigint")).alias("b"),
+                                 F.min("__t").alias("lo"), F.max(finite).alias("hi"))
+    r = per_key.agg(F.sum("c"), F.count(F.lit(1)), F.sum("b"), F.min("lo"), F.max("hi")).first()
     return RightStats(int(r[0] or 0), int(r[1] or 0), int(r[2] or 0), r[3], r[4])
 
 
-def choose_strategy(right: DataFrame, max_rows: int | None = None) -> str:
-    """Broadcast only behind a checked bound on the right side's row count."""
-    limit = max_rows if max_rows is not None else broadcast_max_rows(right.sparkSession)
-    # limit(n + 1).count() stops early on big inputs: the bound is proven
-    # without scanning the whole table.
-    n = right.limit(limit + 1).count()
-    return "broadcast" if n <= limit else "bucketed"
+def choose_strategy(stats: RightStats, max_bytes: int) -> str:
+    """Broadcast only behind a checked bound on the right side's bytes."""
+    return "broadcast" if stats.broadcast_bytes() <= max_bytes else "bucketed"
 
 
 def asof_join(
@@ -98,7 +112,7 @@ def asof_join(
     passthrough: Column | None = None,
     period: int = S.TIME_PERIOD,
     max_time: int | None = None,
-    broadcast_rows: int | None = None,
+    broadcast_bytes: int | None = None,
     right_payload: Sequence[str] | None = None,
 ) -> DataFrame:
     """Left as-of join with struct merge.
@@ -125,13 +139,15 @@ def asof_join(
         F.struct(*[F.col(f"`{c}`") for c in (right_payload or right.columns)]).alias("__r"),
     ).where(F.expr(" AND ".join(f"{n} IS NOT NULL" for n in kn)))
 
-    if strategy == "auto":
-        strategy = choose_strategy(R, broadcast_rows)
+    stats = None
+    if strategy in ("auto", "broadcast"):
+        stats = right_stats(R, kn)
+        strategy = choose_strategy(stats, broadcast_max_bytes(left.sparkSession) if broadcast_bytes is None else broadcast_bytes)
 
     pt = F.coalesce(passthrough, F.lit(False)) if passthrough is not None else None
 
     if strategy == "broadcast":
-        matched = _broadcast(L, R, kn, direction, pt, right_stats(R, kn))
+        matched = _broadcast(L, R, kn, direction, pt, stats)
     else:
         L_join = L.where(~pt) if pt is not None else L
         if strategy == "window":
@@ -209,12 +225,10 @@ def _broadcast(L: DataFrame, R: DataFrame, kn: list[str], direction: str,
                pt: Column | None, stats: RightStats) -> DataFrame:
     """Map-side range probe against validity intervals of the right side.
 
-    Plain form: one broadcast hash join on the key with the interval as the
-    residual condition. When a key has many right rows (a hot machine), each
-    probe would scan all of them, so the bounded intervals are additionally
-    keyed by a time period (each interval listed under every period it
-    overlaps) and the open-ended interval of each key is probed separately:
-    two broadcast joins, a few candidates per probe.
+    A key with many right rows (a hot machine) would make each probe scan all of
+    them, so the bounded intervals are keyed by a time period as well (each listed
+    under every period it overlaps) and the open-ended interval of each key is
+    probed separately: two broadcast joins, a few candidates per probe.
     """
     w = Window.partitionBy(*kn).orderBy(F.col("__t").asc(), F.col("__o").asc_nulls_first())
     if direction == "backward":
@@ -232,14 +246,10 @@ def _broadcast(L: DataFrame, R: DataFrame, kn: list[str], direction: str,
     extra = [~pt] if pt is not None else []
 
     period = stats.probe_period()
-    if period is None:
-        cond = keys_eq + ([t >= rt, rb.isNull() | (t < rb)] if direction == "backward"
-                          else [t <= rt, rb.isNull() | (t > rb)]) + extra
-        return L.join(F.broadcast(Rv), _and(cond), "left")
-
     # periods are clamped to the right side's finite time range on both sides,
     # which keeps the lists finite even for sentinel times
-    lo_p, hi_p = stats.t_min // period, stats.t_max // period
+    lo_p = (stats.t_min or 0) // period
+    hi_p = max(lo_p, (stats.t_max or 0) // period)
 
     def per(c: Column) -> Column:
         return F.least(F.greatest(F.call_function("div", c, F.lit(period).cast("bigint")),

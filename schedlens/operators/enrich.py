@@ -112,12 +112,17 @@ def combine_usage(usage: DataFrame, task_utils: DataFrame | None = None,
     (such as ``tie``) are carried along.
     """
     extra = [c for c in usage.columns if c not in S.TASK_USAGE.fieldNames()]
-    out = usage.select(
-        F.struct(*[F.col(c) for c in S.TASK_USAGE.fieldNames()]).alias("usage"),
-        F.col("task_info.job.id").alias("__job"),
-        F.col("task_info.task_index").alias("__idx"),
-        *extra)
-    cols = ["usage", *extra]
+    out = usage.select(F.struct(*[F.col(c) for c in S.TASK_USAGE.fieldNames()]).alias("usage"), *extra)
+    return attach_summaries(out, task_utils, job_utils)
+
+
+def attach_summaries(rows: DataFrame, task_utils: DataFrame | None = None,
+                     job_utils: DataFrame | None = None) -> DataFrame:
+    """Inner equi-joins of wrapped usage (column ``usage``) with its summaries. They
+    widen every row, so joins that shuffle usage (next death) come before."""
+    cols = list(rows.columns)
+    out = rows.select("*", F.col("usage.task_info.job.id").alias("__job"),
+                      F.col("usage.task_info.task_index").alias("__idx"))
     if task_utils is not None:
         t = task_utils.select(F.col("info.job.id").alias("__job"), F.col("info.task_index").alias("__idx"),
                               F.struct(*[F.col(c) for c in task_utils.columns]).alias("task"))

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType
+
+from schedlens import schemas as S
 
 
 def task_key_of_event(prefix: str = "") -> list[Column]:
@@ -15,23 +18,40 @@ def task_key_of_usage(prefix: str = "") -> list[Column]:
 
 
 def tie_columns(df: DataFrame, exclude: tuple[str, ...] = ()) -> list[Column]:
-    """The explicit tie-break after time: the ``tie`` column when the table has
-    one (the driver views), else every remaining column (a total order)."""
+    """The explicit tie-break after time. The ``tie`` column when the table has
+    one (the driver views); else, for events, SCHEDULE last, then the type, then
+    one hash of the whole row: scalars only, so the row is not carried twice."""
     if "tie" in df.columns:
         return [F.col("tie")]
-    return [F.col(f"`{c}`") for c in df.columns if c not in exclude]
+    row = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns if c not in exclude])
+    if "type" in df.columns:
+        return [F.col("type") == S.SCHEDULE, F.col("type"), row]
+    return [row]
 
 
-def event_order(df: DataFrame) -> Column:
-    """Total order of task/job/machine events: raw time, then ties."""
-    return F.struct(F.col("time"), *tie_columns(df, ("time",)))
+# An order packed into one decimal keeps ``max_by`` in hash aggregation: the time
+# takes the digits from the 20th on, the tie the 19 below.
+_TIE_RANGE = "1" + "0" * 19
+_HASH_RANGE = 10**16
 
 
-def usage_order(df: DataFrame, prefix: str = "") -> Column:
+def event_order(df: DataFrame) -> Column:
+    """Total order of task/job/machine events: raw time, then ties. One DECIMAL(38)
+    for numeric ties, a struct for a composite tie column."""
+    time = F.col("time").cast("decimal(38,0)") * F.lit(_TIE_RANGE).cast("decimal(20,0)")
+    if "tie" in df.columns:
+        if not isinstance(df.schema["tie"].dataType, (LongType, IntegerType)):
+            return F.struct(F.col("time"), F.col("tie"))
+        sub = F.col("tie")
+    else:
+        *flags, row = tie_columns(df, ("time",))
+        sub = F.pmod(row, F.lit(_HASH_RANGE))
+        if flags:
+            sub = sub + (flags[0].cast("bigint") * 10 + F.coalesce(flags[1], F.lit(0))) * F.lit(_HASH_RANGE)
+    return (time + sub.cast("decimal(20,0)")).cast("decimal(38,0)")
+
+
+def usage_order(df: DataFrame) -> Column:
     """Total order of usage records: start, end, then ties."""
-    if prefix:
-        base = [F.col(f"{prefix}start_time"), F.col(f"{prefix}end_time")]
-        ties = [F.col("tie")] if "tie" in df.columns else [F.col(prefix.rstrip("."))]
-        return F.struct(*base, *ties)
     return F.struct(F.col("start_time"), F.col("end_time"),
                     *tie_columns(df, ("start_time", "end_time")))

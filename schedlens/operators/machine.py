@@ -18,8 +18,12 @@ def _prefix(df: DataFrame) -> str:
 
 
 def _order(df: DataFrame, p: str) -> Column:
-    tie = F.col("tie") if "tie" in df.columns else (F.col("usage") if p else F.struct(
-        *[F.col(c) for c in S.TASK_USAGE.fieldNames() if c in df.columns]))
+    if "tie" in df.columns:
+        tie = F.col("tie")
+    else:  # a hash of the fields that the summaries read, so that no others are scanned
+        fields = ("task_info.job.id", "task_info.task_index", "resources.cpus", "resources.memory",
+                  "task_info.priority", "task_info.requested_resources", "machine_info.capacity")
+        tie = F.xxhash64(*[F.col(f"{p}{f}") for f in fields])
     return F.struct(F.col(f"{p}start_time"), F.col(f"{p}end_time"), tie)
 
 
@@ -96,6 +100,24 @@ def usage_by_machine(df: DataFrame, daily: bool = False) -> DataFrame:
     )
 
 
+def machine_components(df: DataFrame, daily: bool = False) -> DataFrame:
+    """The records behind each (machine, bucket): one row per record, a long table
+    keyed like :func:`usage_by_machine`, never a list per bucket. Accepts bare usage
+    rows or usage-with-summary rows; for these ``with_avg`` holds the summaries too."""
+    p = _prefix(df)
+    start = F.col(f"{p}start_time")
+    record = F.col("usage") if p else F.struct(*[F.col(c) for c in S.TASK_USAGE.fieldNames()])
+    extra = [c for c in df.columns if c not in ("usage", *S.TASK_USAGE.fieldNames())]
+    return df.select(F.col(f"{p}machine_info.id").alias("machine_id"),
+                     (bucket_daily(start) if daily else bucket_5min(start)).alias("bucket"),
+                     record.alias("usage"), *[F.col(f"`{c}`") for c in extra])
+
+
+def components_of(components: DataFrame, machine_id: int, bucket: int) -> DataFrame:
+    """The records of one machine bucket (a pushed-down filter on a stored table)."""
+    return components.where((F.col("machine_id") == machine_id) & (F.col("bucket") == bucket))
+
+
 def usage_by_machine_daily(df: DataFrame) -> DataFrame:
     return usage_by_machine(df, daily=True)
 

@@ -35,9 +35,12 @@ _CHUNK_OFFSET = 1 << 20
 
 
 def value_chunk(v: Column) -> Column:
-    """A non-decreasing function of ``v`` with ~1 % wide steps (0 for zero)."""
+    """A non-decreasing function of ``v`` with ~1 % wide steps (0 for zero);
+    infinities and NaN, which sorts last, have end chunks of their own."""
+    end = 2 * _CHUNK_OFFSET
     mag = F.floor(F.log2(F.abs(v)) * F.lit(CHUNKS_PER_OCTAVE)).cast("bigint") + F.lit(_CHUNK_OFFSET)
-    return F.when(v > 0, mag).when(v < 0, -mag).otherwise(F.lit(0).cast("bigint"))
+    return (F.when(F.isnan(v), end + 1).when(v == float("inf"), end).when(v == float("-inf"), -end)
+            .when(v > 0, mag).when(v < 0, -mag).otherwise(F.lit(0).cast("bigint")))
 
 
 def weighted_percentiles(long: DataFrame, by: Sequence[str], ps: Sequence[float],
@@ -52,15 +55,17 @@ def weighted_percentiles(long: DataFrame, by: Sequence[str], ps: Sequence[float]
     ``min_by`` per percentile picks the answers.
     """
     by = list(by)
-    pooled = (long.groupBy(*by, F.col(value).alias("v")).agg(F.sum(weight).alias("w"))
+    # weights may be as long as the "after the trace" time: their sums need more than 64 bits
+    long = long.withColumn(weight, F.col(weight).cast("decimal(20,0)"))
+    pooled = (long.groupBy(*by, F.col(value).alias("v")).agg(F.sum(weight).cast("decimal(38,0)").alias("w"))
               .withColumn("__c", value_chunk(F.col("v"))))
     # chunk totals straight from the input: partial aggregation leaves one row
     # per (group, chunk) per task to shuffle, and the pooled table is read once
-    chunks = long.groupBy(*by, value_chunk(F.col(value)).alias("__c")).agg(F.sum(weight).alias("__cw"))
+    chunks = long.groupBy(*by, value_chunk(F.col(value)).alias("__c")).agg(F.sum(weight).cast("decimal(38,0)").alias("__cw"))
     w_before = (Window.partitionBy(*by).orderBy("__c")
                 .rowsBetween(Window.unboundedPreceding, -1))
     offsets = chunks.select(*by, "__c",
-                            F.coalesce(F.sum("__cw").over(w_before), F.lit(0)).alias("__off"),
+                            F.coalesce(F.sum("__cw").over(w_before), F.lit(0)).cast("decimal(38,0)").alias("__off"),
                             F.sum("__cw").over(Window.partitionBy(*by)).alias("tw"))
     w_run = (Window.partitionBy(*by, "__c").orderBy("v")
              .rowsBetween(Window.unboundedPreceding, Window.currentRow))

@@ -5,9 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-USAGE_SHARDS = 2000
-TASK_SHARDS = 250
-
 
 def sample_machines_from_usage(rate: int, usage: DataFrame) -> DataFrame:
     """Usage on machines with ``id % rate == 0``; no machine reads as id 0."""
@@ -32,34 +29,25 @@ def sample_jobs_from_usage(rate: int, usage: DataFrame) -> DataFrame:
     return usage.where(F.col("task_info.job.id") % rate == 0)
 
 
-def usage_shards_for(rate: int) -> int:
-    return max(1, USAGE_SHARDS // rate)
-
-
-def task_shards_for(rate: int) -> int:
-    return max(1, TASK_SHARDS // rate)
-
-
 def sample_path(base: str, rate: int, name: str) -> str:
     return f"{base.rstrip('/')}/sample{rate}_{name}"
 
 
+def _write(df: DataFrame, path: str) -> str:
+    """Files of Spark's advisory partition size: a rebalance splits and merges by bytes."""
+    df.hint("rebalance").write.mode("overwrite").parquet(path)
+    return path
+
+
 def write_machine_sample(base: str, rate: int, tasks: DataFrame, usage: DataFrame) -> tuple[str, str]:
-    """Write the machine sample (``tasks``, ``usage``) with file counts scaled
-    down by the rate; returns the two paths."""
-    t = sample_path(base, rate, "tasks")
-    u = sample_path(base, rate, "usage")
-    sample_machines_from_tasks(rate, tasks).repartition(task_shards_for(rate)).write.mode("overwrite").parquet(t)
-    sample_machines_from_usage(rate, usage).repartition(usage_shards_for(rate)).write.mode("overwrite").parquet(u)
-    return t, u
+    """Write the machine sample (``tasks``, ``usage``); returns the two paths."""
+    return (_write(sample_machines_from_tasks(rate, tasks), sample_path(base, rate, "tasks")),
+            _write(sample_machines_from_usage(rate, usage), sample_path(base, rate, "usage")))
 
 
 def write_job_sample(base: str, rate: int, tasks: DataFrame, usage: DataFrame) -> tuple[str, str]:
-    t = sample_path(base, rate, "job-tasks")
-    u = sample_path(base, rate, "job-usage")
-    sample_jobs_from_tasks(rate, tasks).repartition(task_shards_for(rate)).write.mode("overwrite").parquet(t)
-    sample_jobs_from_usage(rate, usage).repartition(usage_shards_for(rate)).write.mode("overwrite").parquet(u)
-    return t, u
+    return (_write(sample_jobs_from_tasks(rate, tasks), sample_path(base, rate, "job-tasks")),
+            _write(sample_jobs_from_usage(rate, usage), sample_path(base, rate, "job-usage")))
 
 
 def read_machine_sample(spark: SparkSession, base: str, rate: int) -> tuple[DataFrame, DataFrame]:

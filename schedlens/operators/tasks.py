@@ -16,8 +16,9 @@ def consolidate_task_events(events: DataFrame) -> DataFrame:
     trace tool's value, the *first* EVICT/FAIL/FINISH/KILL/LOST time
     (``last_deschedule_time_actual`` is the last one); ``num_missing`` keeps the
     tool's count of all events (``num_missing_actual`` counts set missing types).
-    A plain hash aggregate: partial aggregation runs map-side, so a task with a
-    huge number of events is combined before the shuffle.
+    Every aggregate is a scalar, so it runs as a hash aggregate with partial
+    aggregation map-side: a task with a huge number of events is combined before
+    the shuffle.
     """
     t = F.col("type")
     death = t.isin(*S.DEATH_TYPES)
@@ -69,25 +70,13 @@ def task_samples(events: DataFrame) -> DataFrame:
     ).agg(F.min_by("info", event_order(events)).alias("info"))
 
 
-def task_samples_per_job(events: DataFrame) -> DataFrame:
-    """``(job_id, task_samples)`` with the samples as a list ordered by task index.
-
-    Use only where the list itself is wanted: the list of a job holds one entry
-    per task of that job.
-    """
-    s = task_samples(events)
-    return s.groupBy("job_id").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("task_index", "info"))), lambda x: x["info"])
-        .alias("task_samples"))
-
-
-def mark_job_utilization(job_utils: DataFrame, events: DataFrame, keep_list: bool = False) -> DataFrame:
+def mark_job_utilization(job_utils: DataFrame, events: DataFrame) -> DataFrame:
     """Attach the per-task samples of each job (inner join on the job id).
 
     Adds ``num_samples``, ``samples_num_missing``, ``samples_num_events`` and
     the first sample (smallest task index) as ``task_samples = [first]`` --
-    the sums the feature table needs, computed as aggregates. With
-    ``keep_list=True`` ``task_samples`` holds every sample (one list per job).
+    the sums the feature table needs, computed as aggregates. All samples of a
+    job are the rows of :func:`task_samples`; they are never gathered in a list.
     """
     s = task_samples(events)
     agg = s.groupBy(F.col("job_id").alias("__job")).agg(
@@ -97,11 +86,5 @@ def mark_job_utilization(job_utils: DataFrame, events: DataFrame, keep_list: boo
         F.min_by("info", "task_index").alias("__first"),
     )
     out = job_utils.join(agg, job_utils["job_info.id"] == agg["__job"], "inner")
-    if keep_list:
-        lists = task_samples_per_job(events).select(
-            F.col("job_id").alias("__job2"), F.col("task_samples").alias("__list"))
-        out = (out.join(lists, out["__job"] == lists["__job2"], "inner")
-               .withColumn("task_samples", F.col("__list")))
-    else:
-        out = out.withColumn("task_samples", F.array(F.col("__first")))
+    out = out.withColumn("task_samples", F.array(F.col("__first")))
     return out.select(*job_utils.columns, "num_samples", "samples_num_missing", "samples_num_events")

@@ -19,6 +19,12 @@ TASK_MEASURES = {
 }
 
 
+def _total_time(c):
+    """Sum of times, exact, saturating at the "after the trace" time."""
+    exact = F.sum(c.cast("decimal(20,0)")).cast("decimal(38,0)")
+    return F.least(exact, F.lit(S.LONG_MAX).cast("decimal(38,0)")).cast("bigint")
+
+
 def _resources(cpus, memory):
     return typed_struct(S.RESOURCES, {"cpus": cpus, "memory": memory})
 
@@ -29,6 +35,7 @@ def task_utilizations(usage: DataFrame, percentiles=S.TASK_PERCENTILES) -> DataF
 
     * ``info``: the task description of the first such record (by start, end, tie)
     * ``start_time``/``end_time``/``running_time``: min, max, sum over all records
+      (the sum saturates at Long.MAX_VALUE)
     * ``min_request``/``max_request``: over records with requests, unset = 0
     * ``percentile_task_usage[i]``: weighted percentile of ``max_resources``,
       ``percentile_mean_task_usage[i]`` of ``resources``; weight = end - start.
@@ -43,7 +50,7 @@ def task_utilizations(usage: DataFrame, percentiles=S.TASK_PERCENTILES) -> DataF
         F.min_by("task_info", F.when(has_req, usage_order(usage))).alias("info"),
         F.min("start_time").alias("start_time"),
         F.max("end_time").alias("end_time"),
-        F.try_sum(F.col("end_time") - F.col("start_time")).alias("running_time"),
+        _total_time(F.col("end_time") - F.col("start_time")).alias("running_time"),
         F.min(F.when(has_req, zero(f"{req}.cpus"))).alias("__min_c"),
         F.min(F.when(has_req, zero(f"{req}.memory"))).alias("__min_m"),
         F.max(F.when(has_req, zero(f"{req}.cpus"))).alias("__max_c"),
@@ -56,7 +63,7 @@ def task_utilizations(usage: DataFrame, percentiles=S.TASK_PERCENTILES) -> DataF
         {m: zero(f"{a}.{f}") for m, (a, f) in TASK_MEASURES.items()},
         F.col("end_time") - F.col("start_time"))
     pct = weighted_percentiles(long, ["__job", "__idx", "measure"], percentiles)
-    arrays = _percentile_arrays(pct, ["__job", "__idx"], len(percentiles))
+    arrays = _percentile_arrays(pct, ["__job", "__idx"])
 
     out = scalar.join(arrays, ["__job", "__idx"], "inner")
     return out.select(
@@ -71,11 +78,11 @@ def task_utilizations(usage: DataFrame, percentiles=S.TASK_PERCENTILES) -> DataF
     )
 
 
-def _percentile_arrays(pct: DataFrame, by: list[str], n: int) -> DataFrame:
+def _percentile_arrays(pct: DataFrame, by: list[str]) -> DataFrame:
     """Pivot long percentiles back to the two arrays of Resources.
 
     One row per (key, percentile) with the four measures, then a sorted list
-    of exactly ``n`` entries per key (bounded by the percentile count)."""
+    of one entry per percentile and key."""
     def pick(measure):
         return F.max(F.when(F.col("measure") == measure, F.col("value")))
     per_p = pct.groupBy(*by, "pi").agg(
@@ -126,17 +133,16 @@ def job_utilizations(task_utils: DataFrame, percentiles=S.JOB_PERCENTILES) -> Da
         F.min(zero("min_request.memory")).alias("__min_m"),
         F.max(zero("max_request.cpus")).alias("__max_c"),
         F.max(zero("max_request.memory")).alias("__max_m"),
-        F.try_sum("running_time").alias("running_time"),
+        _total_time(F.col("running_time")).alias("running_time"),
         F.min("start_time").alias("start_time"),
         F.max("end_time").alias("end_time"),
     )
     long = task_utilization_long(task_utils).withColumn("w", F.lit(1).cast("bigint"))
     pct = weighted_percentiles(long, ["job_id", "ui", "measure"], percentiles)
-    n_task_p = len(S.TASK_PERCENTILES)
     n = len(percentiles)
 
     pct = pct.withColumn("pi", F.col("ui") * n + F.col("pi")).drop("ui")
-    arrays = _percentile_arrays(pct.withColumnRenamed("job_id", "__job"), ["__job"], n_task_p * n)
+    arrays = _percentile_arrays(pct.withColumnRenamed("job_id", "__job"), ["__job"])
     out = scalar.join(arrays, "__job", "left")
     return out.select(
         F.col("__first.job").alias("job_info"),

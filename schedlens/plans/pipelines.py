@@ -17,9 +17,9 @@ from schedlens.sources import ingest, store
 class TraceStages:
     """The import and summary stages over typed trace tables, built on demand.
 
-    Each stage is computed once and materialised with a reliable checkpoint
-    (``materialize=True``) because later stages read it more than once; the
-    plans of later stages then start from the stored stage.
+    Each stage is computed once and written as a table (``materialize=True``)
+    because later stages read it more than once; the plans of later stages then
+    start from the stored stage.
     """
 
     def __init__(self, task_events: DataFrame, job_events: DataFrame, machine_events: DataFrame,
@@ -67,9 +67,9 @@ class TraceStages:
 
     @property
     def usage_with_avg(self) -> DataFrame:
-        return self._stage("usage_with_avg", lambda: enrich.attach_next_death(
-            enrich.combine_usage(self.usage_with_jobs_and_machines, self.task_utils, self.job_utils),
-            self.tasks_with_jobs_and_machines, strategy=self.task_join))
+        return self._stage("usage_with_avg", lambda: usage_with_avg(
+            self.usage_with_jobs_and_machines, self.tasks_with_jobs_and_machines,
+            self.task_utils, self.job_utils, self.task_join))
 
     @property
     def usage_by_machine(self) -> DataFrame:
@@ -80,16 +80,12 @@ class TraceStages:
         return machine.usage_by_machine(self.usage_with_avg, daily=True)
 
 
-def enrich_trace(task_events: DataFrame, job_events: DataFrame, machine_events: DataFrame,
-                 usage: DataFrame, **kw) -> dict[str, DataFrame]:
-    """Mark tasks, then the four as-of denormalisations."""
-    st = TraceStages(task_events, job_events, machine_events, usage, **kw)
-    return {
-        "tasks_marked": st.tasks_marked,
-        "tasks_with_jobs_and_machines": st.tasks_with_jobs_and_machines,
-        "usage_with_machines": st.usage_with_machines,
-        "usage_with_jobs_and_machines": st.usage_with_jobs_and_machines,
-    }
+def usage_with_avg(usage: DataFrame, task_events: DataFrame, task_utils: DataFrame, job_utils: DataFrame,
+                   strategy: str = "bucketed") -> DataFrame:
+    """Usage with its next death and summaries. The death join shuffles the narrow
+    usage rows; the wide summaries are joined last."""
+    deaths = enrich.attach_next_death(enrich.combine_usage(usage), task_events, strategy=strategy)
+    return enrich.attach_summaries(deaths, task_utils, job_utils)
 
 
 def import_trace(spark: SparkSession, raw_dirs: dict[str, str], out_dir: str,
@@ -136,27 +132,6 @@ def import_trace(spark: SparkSession, raw_dirs: dict[str, str], out_dir: str,
     return paths
 
 
-def make_utilizations(task_events: DataFrame, usage: DataFrame, materialize: bool = True) -> dict[str, DataFrame]:
-    """The five summaries: job and task summaries, usage with its summaries and
-    next death, machine x five minutes, machine x time of day."""
-    task_utils = utilization.task_utilizations(usage)
-    if materialize:
-        task_utils = cut(task_utils)
-    job_utils = utilization.job_utilizations(task_utils)
-    if materialize:
-        job_utils = cut(job_utils)
-    uwa = enrich.attach_next_death(enrich.combine_usage(usage, task_utils, job_utils), task_events)
-    if materialize:
-        uwa = cut(uwa)
-    return {
-        "job_utils": job_utils,
-        "task_utils": task_utils,
-        "usage_with_avg": uwa,
-        "usage_by_machine": machine.usage_by_machine(uwa),
-        "usage_by_machine_daily": machine.usage_by_machine(uwa, daily=True),
-    }
-
-
 def run_summaries(spark: SparkSession, tasks_path: str, usage_path: str, out_dir: str) -> dict[str, str]:
     """Compute and store the summaries plus the four priority series.
 
@@ -172,22 +147,21 @@ def run_summaries(spark: SparkSession, tasks_path: str, usage_path: str, out_dir
     job_utils = utilization.job_utilizations(task_utils)
     paths["job_utils"] = store.write_table(job_utils, "job_utilization", f"{out}/job_utils_with_tasks")
     job_utils = store.read_table(spark, "job_utilization", paths["job_utils"])
-    uwa = enrich.attach_next_death(enrich.combine_usage(usage, task_utils, job_utils), ev)
-    paths["usage_with_avg"] = f"{out}/task_usage_w_avg"
-    uwa.write.mode("overwrite").parquet(paths["usage_with_avg"])
-    uwa = spark.read.parquet(paths["usage_with_avg"])
-    paths["usage_by_machine"] = f"{out}/usage_by_machine_w_avg"
-    machine.usage_by_machine(uwa).write.mode("overwrite").parquet(paths["usage_by_machine"])
-    paths["usage_by_machine_daily"] = f"{out}/usage_by_machine_w_avg_daily"
-    machine.usage_by_machine(uwa, daily=True).write.mode("overwrite").parquet(paths["usage_by_machine_daily"])
-    paths.update(series.write_priority_series(series.priority_series(uwa), out))
+    uwa = usage_with_avg(usage, ev, task_utils, job_utils)
+    paths["usage_with_avg"] = store.write_table(uwa, "task_usage_with_avg", f"{out}/task_usage_w_avg")
+    uwa = store.read_table(spark, "task_usage_with_avg", paths["usage_with_avg"])
+    for name, daily in (("usage_by_machine", False), ("usage_by_machine_daily", True)):
+        folder = f"{out}/usage_by_machine_w_avg" + ("_daily" if daily else "")
+        paths[name] = store.write_table(machine.usage_by_machine(uwa, daily=daily), "usage_by_machine", folder)
+    # one aggregation, read back by the four text files
+    paths.update(series.write_priority_series(cut(series.priority_series(uwa), "series"), out))
     return paths
 
 
 def export_jobs(spark: SparkSession, job_utils: DataFrame, task_events: DataFrame, out_dir: str) -> dict[str, str]:
     """Mark job summaries with their task samples and write the feature table
     for each of the seven duration bands (Parquet, distributed)."""
-    marked = tasks.mark_job_utilization(job_utils, task_events)
+    marked = cut(tasks.mark_job_utilization(job_utils, task_events), "marked-jobs")  # one pass over the events
     out = out_dir.rstrip("/")
     paths = {}
     for name, cond in export.job_bands().items():

@@ -18,7 +18,7 @@ from schedlens.operators import asof, enrich, export, machine, percentile, sampl
 from schedlens.plans import oracle as O
 from schedlens.plans import oracle_chain as C
 from schedlens.plans import pipelines
-from schedlens.session import scratch_path
+from schedlens.session import cut, scratch_path
 from schedlens.sources import driver_views as V
 from schedlens.sources import ingest, store
 
@@ -536,13 +536,21 @@ for _m in SERIES_SQL_MEASURES:
 SELECT bucket, {_series_cols([_m])} FROM ({SQL_PRIORITY_MEANS}) GROUP BY bucket"""))(_one_series(_m))
 
 
-@register("priority_series_text")
+_TEXT_SERIES = {"cpu_usage": "cpu_usage", "mem_usage": "mem_usage", "cpu_reservation": "cpu_reservation", "mem_reservation": "mem_reservation"}
+
+
+@register("priority_series_text", chain_sql("cud", " UNION ALL ".join(
+    f"SELECT '{name}' AS series, bucket, {', '.join(f'coalesce(sum({col}) FILTER (WHERE priority = {p}), 0) AS v{p + 1}' for p in range(-1, 12))} "
+    f"FROM ({SQL_PRIORITY_MEANS}) GROUP BY bucket" for name, col in _TEXT_SERIES.items())))
 def q_priority_series_text(spark, sf):
-    """The four series as text files (``bucket v-1 ... v11`` lines), read back."""
+    """The four series as text files (``bucket v-1 ... v11`` lines), read back into numbers."""
     s = series.priority_series(stages(spark, sf).usage_with_avg)
     base = scratch_path(spark, "series")
-    paths = series.write_priority_series(s, base)
-    parts = [spark.read.text(p).select(F.lit(m).alias("series"), F.col("value")) for m, p in paths.items()]
+    paths = series.write_priority_series(cut(s, "series"), base)
+    word = F.split("value", " ")
+    parts = [spark.read.text(p).select(F.lit(m).alias("series"), word[0].cast("bigint").alias("bucket"),
+                                       *[word[i + 1].cast("double").alias(f"v{i}") for i in range(13)])
+             for m, p in paths.items()]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -692,7 +700,12 @@ FROM te"""
 
 @register("dedupe_raw", O.with_views(_raw_te_sql()))
 def q_dedupe_raw(spark, sf):
-    return ingest.raw_columns(V.task_events(spark, sf), "task_event").dropDuplicates()
+    """Every line written twice, read through the de-duplicating raw reader."""
+    src = V.task_events(spark, sf)
+    path = scratch_path(spark, "csv-doubled")
+    ingest.write_raw(src.unionByName(src), "task_event", path)
+    raw = ingest.read_raw(spark, path, "task_event", pattern="part-*")
+    return raw.select(*[F.when(F.col(c) != "", F.col(c)).alias(c) for c in raw.columns])
 
 
 def _roundtrip(spark, sf, kind: str) -> DataFrame:
@@ -833,8 +846,43 @@ def q_machine_config_export(spark, sf):
     return spark.read.parquet(p)
 
 
-@register("machine_breakdown_text")
+_BREAKDOWN = [("used", "used"), ("capacity", "capacity"), ("reserved", "reserved"),
+              ("reservedHigh", "reserved_high"), ("usedHigh", "used_high")]
+
+
+@register("machine_breakdown_text", "SELECT machine_id, bucket, " + ", ".join(
+    f"'{label}' AS {r}_label{i}, CAST(CAST({col}_{r} AS FLOAT) AS DOUBLE) AS {r}_value{i}"
+    for r in ("cpus", "memory") for i, (label, col) in enumerate(_BREAKDOWN)) + f" FROM ({ORACLE['machine_breakdown']})")
 def q_machine_breakdown_text(spark, sf):
-    """The one-line usage summaries of each machine bucket (text)."""
+    """The one-line usage summaries of each machine bucket: labels and numbers parsed
+    back from the text."""
     b = machine.machine_breakdown(stages(spark, sf).usage_with_avg)
-    return b.select("machine_id", "bucket", "summary_cpus", "summary_memory")
+    out = []
+    for r in ("cpus", "memory"):
+        word = F.split(f"summary_{r}", " ")
+        for i in range(5):
+            out += [word[2 * i].alias(f"{r}_label{i}"), word[2 * i + 1].cast("float").cast("double").alias(f"{r}_value{i}")]
+    return b.select("machine_id", "bucket", *out)
+
+
+_COMPONENT_SQL = """SELECT machine_id, start_time // 300000000 AS bucket, tie AS usage_id, start_time, end_time, job_id, task_index, cpus, memory FROM {t}"""
+
+
+def _components_flat(df):
+    u = "usage."
+    return df.select("machine_id", "bucket", F.col("tie").alias("usage_id"), f"{u}start_time", f"{u}end_time",
+                     F.col(f"{u}task_info.job.id").alias("job_id"), F.col(f"{u}task_info.task_index").alias("task_index"),
+                     F.col(f"{u}resources.cpus").alias("cpus"), F.col(f"{u}resources.memory").alias("memory"))
+
+
+@register("machine_components", O.with_views(_COMPONENT_SQL.format(t="ue")))
+def q_machine_components(spark, sf):
+    """Records of every machine bucket, from bare usage, through the store."""
+    path = store.write_table(machine.machine_components(V.task_usage(spark, sf)), "machine_component", scratch_path(spark, "components"))
+    return _components_flat(store.read_table(spark, "machine_component", path))
+
+
+@register("machine_components_with_avg", chain_sql("cu", _COMPONENT_SQL.format(t="cu")))
+def q_machine_components_with_avg(spark, sf):
+    """The same from usage with its summaries."""
+    return _components_flat(machine.machine_components(stages(spark, sf).usage_with_avg))

@@ -35,17 +35,7 @@ MAX_TIME = 30 * DAY
 
 # Task event types, codes 0..8 in this order.
 SUBMIT, SCHEDULE, EVICT, FAIL, FINISH, KILL, LOST, UPDATE_PENDING, UPDATE_RUNNING = range(9)
-EVENT_TYPE_NAMES = [
-    "submit", "schedule", "evict", "fail", "finish", "kill", "lost",
-    "update_pending", "update_running",
-]
 DEATH_TYPES = [EVICT, FAIL, FINISH, KILL, LOST]
-# Missing-record types 0..2.
-MISSING_TYPE_NAMES = [
-    "SNAPSHOT_BUT_NO_TRANSITION", "NO_SNAPSHOT_OR_TRANSITION", "EXISTS_BUT_NO_CREATION",
-]
-# Machine constraint comparison types 0..3.
-CONSTRAINT_TYPE_NAMES = ["EQUAL", "NOT_EQUAL", "LESS_THAN", "GREATER_THAN"]
 # Machine event raw types that mean "machine is up": ADD (0) and UPDATE (2).
 MACHINE_UP_RAW_TYPES = (0, 2)
 
@@ -191,8 +181,7 @@ TASK_USAGE_WITH_AVG = _s(
     ("next_death", TASK_EVENT),
 )
 
-# Machine x time bucket. The component list is optional (it can be large);
-# all breakdowns run on the long rows, never on the list.
+# Machine x time bucket. Its records are a long table of their own, keyed alike.
 USAGE_BY_MACHINE = _s(
     ("machine_id", LongType()),
     ("bucket", LongType()),
@@ -203,6 +192,12 @@ USAGE_BY_MACHINE = _s(
     ("num_components", LongType()),
 )
 
+MACHINE_COMPONENT = _s(
+    ("machine_id", LongType()),
+    ("bucket", LongType()),
+    ("usage", TASK_USAGE),
+)
+
 TABLE_SCHEMAS = {
     "task_usage": TASK_USAGE,
     "task_event": TASK_EVENT,
@@ -212,4 +207,5 @@ TABLE_SCHEMAS = {
     "job_utilization": JOB_UTILIZATION,
     "task_usage_with_avg": TASK_USAGE_WITH_AVG,
     "usage_by_machine": USAGE_BY_MACHINE,
+    "machine_component": MACHINE_COMPONENT,
 }

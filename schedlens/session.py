@@ -29,11 +29,16 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
     return spark
 
 
+def _is_local(master: str) -> bool:
+    return master == "local" or master.startswith("local[")
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for lineage cuts and intermediate tables.
 
-    Uses the cluster's ``spark.checkpoint.dir``; only when it is unset (local
-    runs, tests) a fresh folder is created and registered.
+    Uses the cluster's ``spark.checkpoint.dir``. Only a local master may run
+    without it: there a fresh folder is created and registered. On a cluster
+    each executor would write to a disk of its own, so that is refused.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -41,6 +46,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf = spark.conf.get("spark.checkpoint.dir", None)
     if not conf:
+        if not _is_local(sc.master):
+            raise ValueError(f"spark.checkpoint.dir must name a shared folder on {sc.master}")
         conf = tempfile.mkdtemp(prefix="schedlens-ckpt-")
     sc.setCheckpointDir(conf)
     return sc.getCheckpointDir()
@@ -66,16 +73,15 @@ def cut(df, name: str = "stage"):
     return spark.read.parquet(path)
 
 
-def scale_settings(input_bytes: int, partition_bytes: int = 512 << 20,
-                   max_partitions: int = 100_000) -> dict[str, str]:
+def scale_settings(input_bytes: int, partition_bytes: int = 512 << 20) -> dict[str, str]:
     """SQL settings sized for an input of ``input_bytes`` on a cluster.
 
-    Shuffle partitions start at about one per ``partition_bytes`` of input
-    (clamped to [200, max_partitions]) so no reducer has to hold more than it
-    can sort in memory; AQE then coalesces small partitions and splits skewed
-    join partitions at run time. Scan splits match the partition size.
+    Shuffle partitions start at about one per ``partition_bytes`` of input (at
+    least 200, no upper limit) so no reducer has to hold more than it can sort in
+    memory; AQE then coalesces small partitions and splits skewed join
+    partitions at run time. Scan splits match the partition size.
     """
-    n = max(200, min(max_partitions, -(-int(input_bytes) // int(partition_bytes))))
+    n = max(200, -(-int(input_bytes) // int(partition_bytes)))
     size = f"{max(1, partition_bytes >> 20)}m"
     return {
         "spark.sql.shuffle.partitions": str(n),

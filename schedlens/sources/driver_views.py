@@ -3,10 +3,10 @@
 The driver's parquet tables are not a cluster trace, so each trace table is a
 deterministic projection of one of them (FIXTURES.md section B):
 
-* task events  <- ``events`` rows with odd ``event_id``
-* task usage   <- ``events`` rows with even ``event_id``
+* task events  <- ``events``
+* task usage   <- ``events``
 * job events   <- ``orders``
-* machine events <- ``lineitem`` rows with ``l_linenumber = 1``
+* machine events <- ``lineitem``
 
 Every view carries a ``tie`` column (the source row's unique id) that the
 operators use as the explicit tie-break after time. Time is compressed
@@ -47,7 +47,7 @@ def _days_since_1995(c: str) -> Column:
 
 
 def task_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = read_table(spark, sf_dir, "events").where(F.col("event_id") % 2 == 1)
+    ev = read_table(spark, sf_dir, "events")
     eid, uid = F.col("event_id"), F.col("user_id")
     etype = (idiv(eid, 2) % 9).cast("int")
     job = typed_struct(S.JOB_INFO, {"id": idiv(uid, 10) + 1})
@@ -77,7 +77,7 @@ def task_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def task_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = read_table(spark, sf_dir, "events").where(F.col("event_id") % 2 == 0)
+    ev = read_table(spark, sf_dir, "events")
     eid, uid = F.col("event_id"), F.col("user_id")
     start = idiv(_micros_since_2024(ev, "ts"), 10)
     cpus = (eid % 64) / _d(128)
@@ -126,7 +126,7 @@ def job_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def machine_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = read_table(spark, sf_dir, "lineitem").where(F.col("l_linenumber") == 1)
+    li = read_table(spark, sf_dir, "lineitem")
     q = F.col("l_quantity")
     info = typed_struct(S.MACHINE_INFO, {
         "id": F.col("l_suppkey") % 5 + 1,

@@ -2,7 +2,8 @@
 
 Files are ``<dir>/*?????-of-?????.csv*`` (plain or compressed), split on commas
 with no quoting; an empty field is unset (NULL). Required fields must be
-present: an empty one fails the job, as does text that is not a number.
+present: an empty one fails the job, as does text that is not a number or a line
+with too few fields (further fields are ignored).
 The unsigned "after the trace" time ``18446744073709551615`` maps to
 Long.MAX_VALUE.
 """
@@ -38,14 +39,20 @@ def raw_schema(kind: str) -> StructType:
 def read_raw(spark: SparkSession, in_dir: str, kind: str, pattern: str = TRACE_GLOB,
              dedupe: bool | None = None) -> DataFrame:
     """Raw string columns ``c0..cN`` of one table; each distinct line once when
-    ``dedupe`` (default on for task events and usage)."""
-    df = (spark.read.schema(raw_schema(kind))
-          .option("sep", ",").option("quote", "").option("escape", "")
-          .option("mode", "PERMISSIVE")
-          .csv(f"{in_dir.rstrip('/')}/{pattern}"))
+    ``dedupe`` (default on for task events and usage). The whole line is compared,
+    so lines that differ only past the last known column both stay."""
+    lines = spark.read.text(f"{in_dir.rstrip('/')}/{pattern}").select("value")
     if dedupe if dedupe is not None else DEDUPE_DEFAULT[kind]:
-        df = df.dropDuplicates()
-    return df
+        lines = lines.dropDuplicates()
+    width = RAW_WIDTH[kind]
+    rows = lines.select(F.split("value", ",", -1).alias("f"))
+    # checks are filters, which column pruning does not remove
+    short = F.raise_error(F.concat(F.lit(f"{kind}: expected {width} fields, found "), F.size("f").cast("string")))
+    rows = rows.where(F.when(F.size("f") >= width, True).otherwise(short.cast("boolean")))
+    for i in REQUIRED[kind]:
+        empty = F.raise_error(F.lit(f"{kind}: required column c{i} is empty"))
+        rows = rows.where(F.when(F.get("f", F.lit(i)) != "", True).otherwise(empty.cast("boolean")))
+    return rows.select(*[F.get("f", F.lit(i)).alias(f"c{i}") for i in range(width)])
 
 
 def _field(c: str) -> Column:

@@ -97,13 +97,11 @@ def test_carry_partition_empty(spark):
 
 
 @pytest.mark.parametrize("direction", ["backward", "forward"])
-def test_strategies_agree_on_hot_keys(spark, monkeypatch, direction):
+def test_strategies_agree_on_hot_keys(spark, direction):
     """Many right rows per key (the period-keyed broadcast probe), ties,
     sentinel times and negative times: every strategy gives the same rows."""
     import random
 
-    from schedlens.operators import asof as A
-    monkeypatch.setattr(A, "BROADCAST_PLAIN_MAX_PER_KEY", 4)
     rnd = random.Random(7)
     right = [(rnd.randrange(-50, 5000) * 1000, rnd.randrange(3), f"r{i}", i) for i in range(600)]
     right += [(S.LONG_MAX, 1, "rmax", 10_000)]
@@ -122,15 +120,25 @@ def test_strategies_agree_on_hot_keys(spark, monkeypatch, direction):
 
 
 def test_auto_falls_back_above_broadcast_bound(spark):
-    """``auto`` broadcasts only under a proven row bound; above it the
-    time-split join runs, with the same answer."""
-    from schedlens.operators.asof import choose_strategy
-
-    b = spark.createDataFrame(RIGHT + RIGHT_X, "t long, k int, y string")
-    assert choose_strategy(b, max_rows=10) == "broadcast"
-    assert choose_strategy(b, max_rows=2) == "bucketed"
-    out = {r.x for r in _join(spark, LEFT + LEFT_X, RIGHT + RIGHT_X, "auto", broadcast_rows=2).collect()}
-    assert out == EXPECTED | EXPECTED_X
+    """``auto`` and ``broadcast`` broadcast only under a proven byte bound; above
+    it the time-split join runs, with the same answer."""
+    for strategy in ("auto", "broadcast"):
+        for bound, broadcasts in ((1 << 20, True), (100, False)):
+            df = _join(spark, LEFT + LEFT_X, RIGHT + RIGHT_X, strategy, broadcast_bytes=bound)
+            plan = df._jdf.queryExecution().optimizedPlan().toString()
+            assert ("strategy=broadcast" in plan) is broadcasts
+            assert {r.x for r in df.collect()} == EXPECTED | EXPECTED_X
+
+
+def test_size_check_is_one_small_aggregate(spark):
+    from schedlens.operators import asof as A
+
+    b = spark.createDataFrame([(t, k, "y" * 100) for t in range(50) for k in range(3)], "t long, k int, y string")
+    R = b.select(F.col("k").alias("__k0"), F.col("t").alias("__t"), F.struct("y").alias("__r"))
+    stats = A.right_stats(R, ["__k0"])
+    assert (stats.n, stats.n_keys, stats.t_min, stats.t_max) == (150, 3, 0, 49)
+    assert stats.n_bytes > 150 * 100
+    assert stats.probe_period() == 49 * 3 // 150 or stats.probe_period() == 1
 
 
 def test_stages_are_stored_under_checkpoint_dir(spark):

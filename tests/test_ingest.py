@@ -54,3 +54,27 @@ def test_store_roundtrip(spark):
     store.write_table(df, "job_event", d, partitions=2)
     back = store.read_table(spark, "job_event", d).collect()
     assert back == df.collect()
+
+
+def test_short_line_rejected_even_when_few_columns_are_read(spark):
+    d = tempfile.mkdtemp(prefix="schedlens-csv-")
+    _write(d, "part-00000-of-00001.csv", ["1,2,3,4,5"])
+    with pytest.raises((PySparkException, Py4JJavaError)):
+        ingest.read_trace(spark, d, "task_usage").select("start_time").collect()
+    _write(d, "part-00000-of-00001.csv", ["10,,,4,5,0,,,,,,,0"])
+    with pytest.raises((PySparkException, Py4JJavaError)):
+        ingest.read_trace(spark, d, "task_event").select("time").collect()
+
+
+def test_lines_that_differ_past_the_last_column_both_stay(spark):
+    d = tempfile.mkdtemp(prefix="schedlens-csv-")
+    line = "10,2,7,4,5,0,,,,,,,0"
+    _write(d, "part-00000-of-00001.csv", [line + ",x", line + ",y", line + ",x"])
+    assert ingest.read_trace(spark, d, "task_event").count() == 2
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from schedlens.session import _is_local
+
+    assert _is_local("local") and _is_local("local[8]")
+    assert not _is_local("local-cluster[3,2,1000]") and not _is_local("yarn")

@@ -63,3 +63,19 @@ def test_chunked_running_weight_matches_brute_force(spark):
             cands = [(int(c), -v) for v, c in zip(vals, cws) if np.float32(c) >= place]
             want = -min(cands)[1] if cands else max(vals)
             assert got[(g, p)] == want, (g, p)
+
+
+def test_infinities_and_nan_sort_at_the_ends(spark):
+    inf, nan = float("inf"), float("nan")
+    rows = [(1, v, 1) for v in (100.0, 1.0, 0.5, inf, nan, -inf, -3.0, 0.0)]
+    df = spark.createDataFrame(rows, "g int, v double, w long")
+    ps = [i / 8 for i in range(1, 9)]
+    got = [r.value for r in sorted(weighted_percentiles(df, ["g"], ps).collect(), key=lambda r: r.pi)]
+    assert got[:7] == [-inf, -3.0, 0.0, 0.5, 1.0, 100.0, inf] and got[7] != got[7]
+
+
+def test_weights_as_long_as_the_sentinel(spark):
+    big = 2**63 - 1
+    df = spark.createDataFrame([(1, 1.0, big), (1, 2.0, big), (1, 3.0, big)], "g int, v double, w long")
+    got = [r.value for r in sorted(weighted_percentiles(df, ["g"], [0.2, 0.5, 0.9]).collect(), key=lambda r: r.pi)]
+    assert got == [1.0, 2.0, 3.0]

@@ -72,3 +72,14 @@ def test_job_utilization_one_task(spark):
     assert j.num_events_by_type == list(range(1, 10))
     assert (j.start_time, j.end_time, j.running_time) == (0, 20, 10)
     assert j.task_samples[0].task_index == 10
+
+
+def test_sentinel_ends_saturate(spark):
+    rows = [usage(i, S.LONG_MAX, res=resources(0.5, 0.25), mx=resources(1.0, 1.0), req=resources(0.25, 0.75)) for i in range(3)]
+    rows.append(usage(5, 15, res=resources(float("inf"), 0.0), mx=resources(float("nan"), 0.0), req=resources(0.25, 0.75)))
+    (t,) = _tu(spark, rows)
+    assert t.running_time == S.LONG_MAX and t.end_time == S.LONG_MAX
+    assert t.percentile_task_usage[2].cpus == 1.0 and t.percentile_mean_task_usage[2].cpus == 0.5
+    df = task_utilizations(spark.createDataFrame(rows, S.TASK_USAGE))
+    (j,) = job_utilizations(df.unionByName(df)).collect()
+    assert j.running_time == S.LONG_MAX
