@@ -43,25 +43,24 @@ def value_chunk(v: Column) -> Column:
             .when(v > 0, mag).when(v < 0, -mag).otherwise(F.lit(0).cast("bigint")))
 
 
-def weighted_percentiles(long: DataFrame, by: Sequence[str], ps: Sequence[float],
-                         value: str = "v", weight: str = "w") -> DataFrame:
-    """``(by..., pi, p, value)`` for each group of ``by`` and each ``ps[pi]``.
+def percentile_columns(long: DataFrame, by: Sequence[str], ps: Sequence[float],
+                       value: str = "v", weight: str = "w") -> DataFrame:
+    """``(by..., __p0, __p1, ...)``: one row per group of ``by``, a column per ``ps[i]``.
 
     Plan: pre-aggregate equal values (partial aggregation map-side); split each
-    group's values into contiguous value chunks; chunk totals give each chunk's
-    offset (a window over at most one row per chunk); the running weight inside
-    a chunk is a window over that chunk only. So the exact cumulative weight of
-    a hot group is computed by many tasks. One aggregate with a filtered
-    ``min_by`` per percentile picks the answers.
+    group's values into contiguous value chunks; chunk totals, aggregated from the
+    pooled values (whose exchange is reused, so the input is scanned and expanded
+    once), give each chunk's offset (a window over at most one row per chunk); the
+    running weight inside a chunk is a window over that chunk only. So the exact
+    cumulative weight of a hot group is computed by many tasks. One aggregate with
+    a filtered ``min_by`` per percentile picks the answers.
     """
     by = list(by)
     # weights may be as long as the "after the trace" time: their sums need more than 64 bits
     long = long.withColumn(weight, F.col(weight).cast("decimal(20,0)"))
     pooled = (long.groupBy(*by, F.col(value).alias("v")).agg(F.sum(weight).cast("decimal(38,0)").alias("w"))
               .withColumn("__c", value_chunk(F.col("v"))))
-    # chunk totals straight from the input: partial aggregation leaves one row
-    # per (group, chunk) per task to shuffle, and the pooled table is read once
-    chunks = long.groupBy(*by, value_chunk(F.col(value)).alias("__c")).agg(F.sum(weight).cast("decimal(38,0)").alias("__cw"))
+    chunks = pooled.groupBy(*by, "__c").agg(F.sum("w").cast("decimal(38,0)").alias("__cw"))
     w_before = (Window.partitionBy(*by).orderBy("__c")
                 .rowsBetween(Window.unboundedPreceding, -1))
     offsets = chunks.select(*by, "__c",
@@ -79,7 +78,13 @@ def weighted_percentiles(long: DataFrame, by: Sequence[str], ps: Sequence[float]
             F.min_by(F.when(cw_f >= place, F.col("v")),
                      F.when(cw_f >= place, F.struct(F.col("cw"), -F.col("v")))),
             F.max("v")).alias(f"__p{i}"))
-    agg = ranked.groupBy(*by).agg(*picks)
-    return agg.select(*by, F.explode(F.array(*[
+    return ranked.groupBy(*by).agg(*picks)
+
+
+def weighted_percentiles(long: DataFrame, by: Sequence[str], ps: Sequence[float],
+                         value: str = "v", weight: str = "w") -> DataFrame:
+    """``(by..., pi, p, value)`` for each group of ``by`` and each ``ps[pi]``."""
+    wide = percentile_columns(long, by, ps, value, weight)
+    return wide.select(*by, F.explode(F.array(*[
         F.struct(F.lit(i).alias("pi"), F.lit(float(p)).alias("p"), F.col(f"__p{i}").alias("value"))
         for i, p in enumerate(ps)])).alias("__x")).select(*by, "__x.pi", "__x.p", "__x.value")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from schedlens import schemas as S
 from schedlens.functions import typed_struct, zero
 from schedlens.operators.keys import usage_order
-from schedlens.operators.percentile import unpivot_measures, weighted_percentiles
+from schedlens.operators.percentile import percentile_columns, unpivot_measures
 
 # measure name -> (resources array, resources field)
 TASK_MEASURES = {
@@ -62,8 +62,7 @@ def task_utilizations(usage: DataFrame, percentiles=S.TASK_PERCENTILES) -> DataF
         usage, [job.alias("__job"), idx.alias("__idx")],
         {m: zero(f"{a}.{f}") for m, (a, f) in TASK_MEASURES.items()},
         F.col("end_time") - F.col("start_time"))
-    pct = weighted_percentiles(long, ["__job", "__idx", "measure"], percentiles)
-    arrays = _percentile_arrays(pct, ["__job", "__idx"])
+    arrays = _measure_columns(percentile_columns(long, ["__job", "__idx", "measure"], percentiles), ["__job", "__idx"], len(percentiles))
 
     out = scalar.join(arrays, ["__job", "__idx"], "inner")
     return out.select(
@@ -78,21 +77,17 @@ def task_utilizations(usage: DataFrame, percentiles=S.TASK_PERCENTILES) -> DataF
     )
 
 
-def _percentile_arrays(pct: DataFrame, by: list[str]) -> DataFrame:
-    """Pivot long percentiles back to the two arrays of Resources.
+def _measure_columns(wide: DataFrame, by: list[str], n: int) -> DataFrame:
+    """One row per key: the four measures of each percentile, by one conditional
+    aggregate of scalars (a hash aggregate), as two arrays of Resources."""
+    cells = wide.groupBy(*by).agg(*[
+        F.max(F.when(F.col("measure") == m, F.col(f"__p{i}"))).alias(f"{m}_{i}") for m in TASK_MEASURES for i in range(n)])
 
-    One row per (key, percentile) with the four measures, then a sorted list
-    of one entry per percentile and key."""
-    def pick(measure):
-        return F.max(F.when(F.col("measure") == measure, F.col("value")))
-    per_p = pct.groupBy(*by, "pi").agg(
-        _resources(pick("max_cpus"), pick("max_memory")).alias("tu"),
-        _resources(pick("cpus"), pick("memory")).alias("mu"))
-    lst = F.array_sort(F.collect_list(F.struct("pi", "tu", "mu")))
-    return per_p.groupBy(*by).agg(lst.alias("__l")).select(
-        *by,
-        F.transform("__l", lambda x: x["tu"]).alias("percentile_task_usage"),
-        F.transform("__l", lambda x: x["mu"]).alias("percentile_mean_task_usage"))
+    def array(cpus, memory):
+        return F.array(*[_resources(F.col(f"{cpus}_{i}"), F.col(f"{memory}_{i}")) for i in range(n)])
+
+    return cells.select(*by, array("max_cpus", "max_memory").alias("percentile_task_usage"),
+                        array("cpus", "memory").alias("percentile_mean_task_usage"))
 
 
 def task_utilization_long(task_utils: DataFrame) -> DataFrame:
@@ -138,11 +133,13 @@ def job_utilizations(task_utils: DataFrame, percentiles=S.JOB_PERCENTILES) -> Da
         F.max("end_time").alias("end_time"),
     )
     long = task_utilization_long(task_utils).withColumn("w", F.lit(1).cast("bigint"))
-    pct = weighted_percentiles(long, ["job_id", "ui", "measure"], percentiles)
     n = len(percentiles)
-
-    pct = pct.withColumn("pi", F.col("ui") * n + F.col("pi")).drop("ui")
-    arrays = _percentile_arrays(pct.withColumnRenamed("job_id", "__job"), ["__job"])
+    per_ui = _measure_columns(percentile_columns(long, ["job_id", "ui", "measure"], percentiles), ["job_id", "ui"], n)
+    # one entry per usage percentile of the tasks, in their order
+    entries = F.array_sort(F.collect_list(F.struct("ui", "percentile_task_usage", "percentile_mean_task_usage")))
+    arrays = per_ui.groupBy(F.col("job_id").alias("__job")).agg(entries.alias("__l")).select(
+        "__job", *[F.flatten(F.transform("__l", lambda x: x[c])).alias(c)
+                   for c in ("percentile_task_usage", "percentile_mean_task_usage")])
     out = scalar.join(arrays, "__job", "left")
     return out.select(
         F.col("__first.job").alias("job_info"),

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from schedlens.operators import enrich, export, machine, series, tasks, utilization
-from schedlens.session import cut
+from schedlens.session import apply_scale_settings, cut
 from schedlens.sources import ingest, store
 
 
@@ -89,12 +89,15 @@ def usage_with_avg(usage: DataFrame, task_events: DataFrame, task_utils: DataFra
 
 
 def import_trace(spark: SparkSession, raw_dirs: dict[str, str], out_dir: str,
-                 pattern: str = ingest.TRACE_GLOB) -> dict[str, str]:
+                 pattern: str = ingest.TRACE_GLOB, input_bytes: int | None = None) -> dict[str, str]:
     """Read the four raw tables, store them, then store each enriched stage.
 
     ``raw_dirs`` maps ``task_event``, ``task_usage``, ``job_event``,
-    ``machine_event`` to CSV folders. Returns the written paths.
+    ``machine_event`` to CSV folders; ``input_bytes`` sizes the session's shuffles
+    for them. Returns the written paths.
     """
+    if input_bytes:
+        apply_scale_settings(spark, input_bytes)
     out = out_dir.rstrip("/")
     paths: dict[str, str] = {}
     kinds = {"task_event": "tasks", "task_usage": "usage", "job_event": "jobs", "machine_event": "machines"}
@@ -132,11 +135,15 @@ def import_trace(spark: SparkSession, raw_dirs: dict[str, str], out_dir: str,
     return paths
 
 
-def run_summaries(spark: SparkSession, tasks_path: str, usage_path: str, out_dir: str) -> dict[str, str]:
+def run_summaries(spark: SparkSession, tasks_path: str, usage_path: str, out_dir: str,
+                  input_bytes: int | None = None) -> dict[str, str]:
     """Compute and store the summaries plus the four priority series.
 
     Task and job summaries and the joined usage are written once and read back
-    by every later stage (machine tables, series)."""
+    by every later stage (machine tables, series). ``input_bytes`` sizes the
+    session's shuffles for the stored usage."""
+    if input_bytes:
+        apply_scale_settings(spark, input_bytes)
     out = out_dir.rstrip("/")
     ev = store.read_table(spark, "task_event", tasks_path)
     usage = store.read_table(spark, "task_usage", usage_path)
