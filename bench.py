@@ -17,10 +17,12 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from schedlens.operators import enrich, machine, series, utilization  # noqa: E402
+from schedlens.operators import enrich, export, machine, series, tasks, utilization  # noqa: E402
 from schedlens.plans import pipelines  # noqa: E402
 from schedlens.session import local_session  # noqa: E402
+from schedlens.session import scratch_path  # noqa: E402
 from schedlens.sources import driver_views as V  # noqa: E402
+from schedlens.sources import ingest  # noqa: E402
 
 
 def run(df) -> None:
@@ -49,8 +51,16 @@ def main() -> None:
     uf = st.usage_with_jobs_and_machines
     tutils = st.task_utils
     uwa = st.usage_with_avg
+    jutils, wide = st.job_utils, st.usage_with_jobs_and_machines
+    marked = tasks.mark_job_utilization(jutils, st.tasks_with_jobs_and_machines)
+    csv = ingest.write_raw(tu, "task_usage", scratch_path(spark, "bench-csv"))
 
     q = {
+        "import_usage_csv": lambda: run(ingest.read_trace(spark, csv, "task_usage", pattern="part-*")),
+        "mark_tasks": lambda: run(tasks.mark_tasks(te)),
+        "combine_usage": lambda: run(enrich.combine_usage(wide, tutils, jutils)),
+        "job_features": lambda: run(export.job_features(marked)),
+        "machine_components": lambda: run(machine.machine_components(uwa)),
         "asof_task_usage_window": lambda: run(enrich.insert_task_in_usage(tu, te, strategy="window")),
         "asof_task_usage_bucketed": lambda: run(enrich.insert_task_in_usage(tu, te, strategy="bucketed")),
         "asof_machine_usage_broadcast": lambda: run(enrich.insert_machine_in_usage(tu, me, strategy="broadcast")),

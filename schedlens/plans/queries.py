@@ -768,54 +768,81 @@ def q_store_roundtrip(spark, sf):
                     F.col("resources.memory").alias("memory"))
 
 
-def _counts(spark, paths: dict[str, str], readers: dict[str, Callable[[str], DataFrame]] | None = None) -> DataFrame:
+def _contents(spark, paths: dict[str, str], sums: dict[str, tuple[str, str]]) -> DataFrame:
+    """Per stored output its rows and two sums over its content; text outputs sum the
+    bucket and count the values of their lines."""
     out = None
     for name, p in paths.items():
-        reader = (readers or {}).get(name, spark.read.parquet)
-        x = reader(p).groupBy().agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(name).alias("output"), "n_rows")
+        if name in series.SERIES_FILES:
+            word = F.split("value", " ")
+            x = spark.read.text(p).select(word[0].cast("bigint").alias("a"), F.size(word).cast("bigint").alias("b"))
+            first, second = "a", "b"
+        else:
+            x, (first, second) = spark.read.parquet(p), sums[name]
+        x = x.agg(F.count(F.lit(1)).alias("n_rows"), F.expr(f"sum({first})").cast("bigint").alias("sum_1"),
+                  F.expr(f"sum({second})").cast("bigint").alias("sum_2")).select(F.lit(name).alias("output"), "n_rows", "sum_1", "sum_2")
         out = x if out is None else out.unionByName(x)
     return out
 
 
-@register("import_pipeline", chain_sql("uf", """
-SELECT 'tasks' AS output, count(*) AS n_rows FROM te
-UNION ALL SELECT 'usage', count(*) FROM ue
-UNION ALL SELECT 'jobs', count(*) FROM je
-UNION ALL SELECT 'machines', count(*) FROM me
-UNION ALL SELECT 'tasks_marked', count(*) FROM mte
-UNION ALL SELECT 'tasks_with_jobs', count(*) FROM tj
-UNION ALL SELECT 'tasks_with_jobs_and_machines', count(*) FROM tjm
-UNION ALL SELECT 'usage_with_machines', count(*) FROM um
-UNION ALL SELECT 'usage_with_jobs_and_machines', count(*) FROM uf"""))
+def _contents_sql(rows: list[tuple[str, str, str, str]]) -> str:
+    return "\nUNION ALL ".join(
+        f"SELECT '{name}' AS output, count(*) AS n_rows, CAST(sum({a}) AS BIGINT) AS sum_1, CAST(sum({b}) AS BIGINT) AS sum_2 FROM {src}"
+        for name, src, a, b in rows)
+
+
+def _set(c: str) -> str:
+    return f"CASE WHEN {c} IS NULL THEN 0 ELSE 1 END"
+
+
+@register("import_pipeline", chain_sql("uf", _contents_sql([
+    ("tasks", "te", "time", _set("req_memory")), ("usage", "ue", "start_time", _set("memory")),
+    ("jobs", "je", "time", _set("logical_name")), ("machines", "me", "time", "CASE WHEN up THEN 1 ELSE 0 END"),
+    ("tasks_marked", "mte", "num_events", "coalesce(first_submit_time, 0)"), ("tasks_with_jobs", "tj", "time", _set("job_user")),
+    ("tasks_with_jobs_and_machines", "tjm", "num_events", _set("cap_cpus")),
+    ("usage_with_machines", "um", "start_time", _set("cap_cpus")),
+    ("usage_with_jobs_and_machines", "uf", "end_time", "coalesce(num_events, 0)")])))
 def q_import_pipeline(spark, sf):
-    """CSV (derived from the driver tables) -> import pipeline -> rows per stored table."""
+    """CSV (derived from the driver tables, without a tie column) -> import pipeline ->
+    rows and content sums per stored table. The sums are over values that equal times
+    cannot change: which rows found a match, and what marking counted."""
     raw = {}
     for kind in ("task_event", "task_usage", "job_event", "machine_event"):
         p = scratch_path(spark, f"raw-{kind}")
         ingest.write_raw(V.VIEWS[kind](spark, sf), kind, p)
         raw[kind] = p
     paths = pipelines.import_trace(spark, raw, scratch_path(spark, "import"), pattern="part-*")
-    return _counts(spark, paths)
-
-
-@register("summaries_pipeline", chain_sql("cud", f"""
-SELECT 'task_utils' AS output, count(*) AS n_rows FROM tu
-UNION ALL SELECT 'job_utils', count(*) FROM ju
-UNION ALL SELECT 'usage_with_avg', count(*) FROM cud
-UNION ALL SELECT 'usage_by_machine', count(*) FROM (SELECT DISTINCT machine_id, start_time // 300000000 FROM cud)
-UNION ALL SELECT 'usage_by_machine_daily', count(*) FROM
-  (SELECT DISTINCT machine_id, (start_time % 86400000000) // 300000000 FROM cud)
-{"".join(f" UNION ALL SELECT '{m}', count(DISTINCT start_time // 300000000) FROM cud" for m in series.SERIES_FILES)}"""))
+    capacity = "machine_info.capacity.cpus"
+    return _contents(spark, paths, {
+        "tasks": ("time", _set("info.requested_resources.memory")), "usage": ("start_time", _set("resources.memory")),
+        "jobs": ("time", _set("info.logical_name")), "machines": ("time", "CASE WHEN up THEN 1 ELSE 0 END"),
+        "tasks_marked": ("info.num_events", "coalesce(info.first_submit_time, 0)"),
+        "tasks_with_jobs": ("time", _set("info.job.user")),
+        "tasks_with_jobs_and_machines": ("info.num_events", _set(capacity)),
+        "usage_with_machines": ("start_time", _set(capacity)),
+        "usage_with_jobs_and_machines": ("end_time", "coalesce(task_info.num_events, 0)")})
+
+
+@register("summaries_pipeline", chain_sql("cud", _contents_sql([
+    ("task_utils", "tu", "running_time", "start_time"), ("job_utils", "ju", "num_tasks", "end_time"),
+    ("usage_with_avg", "cud", "start_time", "end_time"),
+    ("usage_by_machine", "(SELECT min(start_time) AS a, max(end_time) AS b FROM cud GROUP BY machine_id, start_time // 300000000)", "a", "b"),
+    ("usage_by_machine_daily", "(SELECT min(start_time) AS a, max(end_time) AS b FROM cud "
+     "GROUP BY machine_id, (start_time % 86400000000) // 300000000)", "a", "b"),
+    *[(m, "(SELECT DISTINCT start_time // 300000000 AS a FROM cud)", "a", "14")
+      for m in ("cpu_usage", "mem_usage", "cpu_reservation", "mem_reservation")]])))
 def q_summaries_pipeline(spark, sf):
-    """Stored enriched tables -> summaries pipeline -> rows per output."""
+    """Stored enriched tables -> summaries pipeline -> rows and content sums per output."""
     st = stages(spark, sf)
     base = scratch_path(spark, "summ")
     tp, up = f"{base}/tasks", f"{base}/usage"
     st.tasks_with_jobs_and_machines.write.parquet(tp)
     st.usage_with_jobs_and_machines.write.parquet(up)
     paths = pipelines.run_summaries(spark, tp, up, f"{base}/out")
-    readers = {m: spark.read.text for m in series.SERIES_FILES}
-    return _counts(spark, paths, readers)
+    return _contents(spark, paths, {
+        "task_utils": ("running_time", "start_time"), "job_utils": ("num_tasks", "end_time"),
+        "usage_with_avg": ("usage.start_time", "usage.end_time"),
+        "usage_by_machine": ("start_time", "end_time"), "usage_by_machine_daily": ("start_time", "end_time")})
 
 
 @register("job_band_exports", chain_sql("ju", "\nUNION ALL ".join(
