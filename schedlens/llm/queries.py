@@ -19,5 +19,6 @@ QUERIES = {
 
 ORACLE = {
     "op2_exact_dedup": exact_dedup.ORACLE,
+    "op3_license_scan": license_scan.ORACLE,
     "op8_packing": packing.ORACLE,
 }
