@@ -25,6 +25,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from copy import copy
 
 import numpy as np
 import pyarrow as pa
@@ -193,7 +194,7 @@ def _train(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        model: Model = shared.value
+        model: Model = copy(shared.value)  # a worker keeps the broadcast one for its next tasks
         model.weights = model.weights.copy()
         seen = 0
         for batch in batches:
