@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from schedlens.llm.common import stage, table
+from schedlens.llm.common import ship_package, stage, table
 
 LIST_ROWS = 64
 MAX_CENTROIDS = 16_384
@@ -129,6 +129,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 def valid_vectors(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     """(vec_id, vec array<double>) of the rows that take part."""
+    ship_package(df.sparkSession)
     v = F.col("vec")
     rows = df.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), F.col(f"`{vec_col}`").cast("array<double>").alias("vec"))
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import schedlens
 from schedlens.session import cut
 
 #: Largest piece of text, in bytes, that a task puts into one Arrow batch.
@@ -17,6 +21,26 @@ BATCH_BYTES = 8 << 20
 BLANKS = r"[\x20\x09-\x0D]"
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Gives the tasks of this application the package, as ``--py-files`` would, once.
+    Nothing to do where it is already imported from an archive."""
+    sc, home = spark.sparkContext, os.path.dirname(os.path.abspath(schedlens.__file__))
+    if sc.applicationId in _SHIPPED or not os.path.isdir(home):
+        return
+    archive = os.path.join(tempfile.mkdtemp(prefix="schedlens-"), "schedlens.zip")  # the driver serves it
+    with zipfile.ZipFile(archive, "w") as z:
+        for folder, _, names in os.walk(home):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    z.write(path, os.path.relpath(path, os.path.dirname(home)))
+    sc.addPyFile(archive)
+    _SHIPPED.add(sc.applicationId)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
@@ -24,6 +48,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The two columns an operator reads, as (doc_id long, text string); a null
     text counts as empty. All other columns, whatever their names, are left out."""
+    ship_package(df.sparkSession)
     return df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"),
                      F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from schedlens.llm.common import hex16, stage, table, text_rows, texts
+from schedlens.llm.common import hex16, ship_package, stage, table, text_rows, texts
 from schedlens.llm.components import components
 from schedlens.llm.xxh import xxh64_slices
 
@@ -245,6 +245,7 @@ def mask_levels(n: int, radius: int) -> list[dict[int, list[list[int]]]]:
 def near_links(fps: DataFrame, radius: int = 2, hot: int = HOT) -> DataFrame:
     """(u, v) links, u > v, that connect exactly the distinct fingerprints (column fp)
     which a chain of distances of at most ``radius`` connects."""
+    ship_package(fps.sparkSession)
     links, rows = None, fps.select("fp", F.lit(-1).alias("mask_id"))
     levels = mask_levels(fps.count(), radius)
     for depth, level in enumerate(levels):

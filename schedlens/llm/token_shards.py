@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from schedlens.llm.common import stage, table, texts
+from schedlens.llm.common import ship_package, stage, table, texts
 from schedlens.session import scratch_path
 
 SEQ_LEN = 4096
@@ -224,6 +224,7 @@ def read_shards(spark: SparkSession, layout: dict, first_slot: int = 0, last_slo
                 with_ids: bool = True) -> DataFrame:
     """Sequences of a range of slots (the last excluded), read from the shards that
     hold them at fixed offsets; ``ids`` are the raw little-endian integers."""
+    ship_package(spark)
     last = layout["sequences"] if last_slot is None else min(last_slot, layout["sequences"])
     if first_slot >= last:
         return spark.createDataFrame([], READ_DDL if with_ids else READ_DDL.rsplit(",", 1)[0])
