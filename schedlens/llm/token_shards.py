@@ -43,6 +43,8 @@ KEY = 0x5DEECE66D
 ROUNDS = 6
 #: Ids that are cut into sequences at a time, and sequences in a stored block.
 CUT_BYTES, BLOCK = 1 << 20, 64
+#: Compression of stored blocks and of records on their way.
+BLOCK_LEVEL, RECORD_LEVEL = 9, 6
 NULL_ID = -(1 << 63)
 HEADER = np.dtype([("slot", "<i8"), ("first_doc", "<i8"), ("used", "<i4"), ("docs", "<i4"), ("spare", "<i8")])
 
@@ -122,7 +124,7 @@ def _blocks(path: str, seq_len: int):
 
         enc, dtype, end = tokenizer(path)
         part, size, done = TaskContext.get().partitionId(), seq_len * dtype.itemsize, 0
-        pack = zstandard.ZstdCompressor(level=3).compress
+        pack = zstandard.ZstdCompressor(level=BLOCK_LEVEL).compress
         held, held_size, owners = [], 0, []  # ids not cut yet; (document, byte at which it starts)
 
         def cut(last: bool) -> list[bytes]:
@@ -173,7 +175,7 @@ def _place(starts, order: Feistel, size: int, shard_slots: int):
     schema = pa.schema([("shard", pa.int32()), ("slot", pa.int64()), ("record", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack, unpack = zstandard.ZstdCompressor(level=3).compress, zstandard.ZstdDecompressor().decompress
+        pack, unpack = zstandard.ZstdCompressor(level=RECORD_LEVEL).compress, zstandard.ZstdDecompressor().decompress
         for batch in batches:
             for part, first, n, data in zip(*(batch.column(c) for c in ("part", "first", "n", "data"))):
                 raw, n = unpack(data.as_py()), n.as_py()
