@@ -41,6 +41,8 @@ SAMPLE_ROWS = 40_000
 REPLICAS, CLOSURE = 4, 0.10
 PRUNE, MIN_LISTS = 0.18, 8
 BLOCK_ROWS = 4_096
+#: Answers a task holds before it merges them per query.
+MERGE_ROWS = 400_000
 DEGREE, BEAM = 24, 16
 LLOYD_STEPS, LONG = 16, 2.0
 
@@ -233,14 +235,25 @@ def _nearest(k: int):
             out.append((own[row[keep]], ids[at[keep]], exact[keep]))
         return out
 
+    def merged(found):
+        """The k nearest of each query among what this task has found so far, once each."""
+        q, v, score = (np.concatenate(c) for c in zip(*found))
+        order = np.lexsort((v, score, q))
+        q, v, score = q[order], v[order], score[order]
+        first = np.ones(len(q), dtype=bool)  # copies of a vector are neighbours here
+        first[1:] = (q[1:] != q[:-1]) | (v[1:] != v[:-1])
+        q, v, score = q[first], v[first], score[first]
+        keep = np.arange(len(q)) - np.searchsorted(q, q) < k
+        return q[keep], v[keep], score[keep]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, ids, vecs, block = None, [], [], None
+        found: list = []
         for batch in batches:
             lists, blocks, side, rows = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("list", "block", "side", "id"))
             x = _matrix(batch.column("vec"))
             change = (lists[1:] != lists[:-1]) | (blocks[1:] != blocks[:-1]) | (side[1:] != side[:-1])
             cuts = [0, *(np.flatnonzero(change) + 1).tolist(), len(lists)]
-            found = []
             for a, b in zip(cuts, cuts[1:]):
                 if a == b:
                     continue
@@ -252,8 +265,13 @@ def _nearest(k: int):
                 elif ids:
                     block = block or (np.concatenate(ids), np.concatenate(vecs))
                     found += best(*block, rows[a:b], x[a:b])
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], schema=schema)
+            if sum(len(f[0]) for f in found) > MERGE_ROWS:
+                found = [merged(found)]
+                if len(found[0][0]) > MERGE_ROWS // 2:  # many queries: let the shuffle merge them
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in found[0]], schema=schema)
+                    found = []
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in merged(found)], schema=schema)
 
     return run
 
