@@ -5,10 +5,17 @@ one shuffle); the ``vocabulary`` most frequent ones get ids of their own, all ot
 share ``oov_ids`` ids by hash. Ids are grouped into ``classes`` of about equal
 root-frequency; within a class an id has its share of the corpus counts.
 
+Words. With ``per_word`` (the query) an id that words share is only their embedding: each of
+them has the id's probability times its own counted share of the id, one count of which is
+kept for words never seen. The documents' words outside the vocabulary are joined to the
+whole count table for that. None of them can be hot: its count is below that of every word
+of the vocabulary, so it holds at most 1 / ``vocabulary`` of the tokens.
+
 Network. Every token is predicted from the ``window`` tokens on both sides, never from
 itself: position-specific embeddings of the neighbours are added, squashed, and give a
 softmax over classes; P(token | both sides) = P(class | both sides) * P(token | class).
-A document's score is the sum of its tokens' conditional log-probabilities.
+A document's score is the sum of its tokens' conditional log-probabilities: of words with
+``per_word``, of ids without it.
 
 Training covers all documents once, in ``rounds`` parts. In a round every partition runs
 minibatch gradient steps in numpy from the shared weights; the weights are averaged by
@@ -26,6 +33,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from copy import copy
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -87,6 +95,7 @@ class Model:
         held = np.maximum(counts, 1.0)
         share = np.bincount(self.klass, weights=held, minlength=self.classes)
         self.within = np.log(held / share[self.klass])
+        self.counts = counts
         rng = np.random.default_rng(seed)
         # a row past the end stands for what lies outside the text
         self.shapes = [(2 * window, self.size + 1, width), (width,), (width, self.classes), (self.classes,)]
@@ -149,24 +158,63 @@ class Model:
             emb[j][near[cut]] -= scale * g / np.sqrt(n).astype(np.float32)  # frequent words move by less a time
 
 
+ENCODED_DDL = "doc_id long, n long, part int, ids binary, row long, rare binary"
+
+
 def _encode(words):
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("part", pa.int32()), ("ids", pa.binary())])
+    """Ids of every text, a number for its row, and its words outside the vocabulary."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("part", pa.int32()), ("ids", pa.binary()),
+                        ("row", pa.int64()), ("rare", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
         ids = Ids(*words.value)
+        row = count(TaskContext.get().partitionId() << 40)
 
         def rows():
             for batch in batches:
                 for doc, raw in zip(batch.column("doc_id").to_pylist(), text_rows(batch)):
                     w = raw.split()
-                    x = np.fromiter(map(ids.__getitem__, w), dtype="<u2", count=len(w)).tobytes()
-                    yield (doc, len(w), xxhash.xxh64_intdigest(raw) & 0xFFFF, x), len(x)
+                    x = np.fromiter(map(ids.__getitem__, w), dtype="<u2", count=len(w))
+                    rare = b" ".join([w[i] for i in np.flatnonzero(x >= ids.first).tolist()])
+                    x = x.tobytes()
+                    yield (doc, len(w), xxhash.xxh64_intdigest(raw) & 0xFFFF, x, next(row), rare), len(x) + len(rare)
 
         yield from batched(rows(), schema)
 
     return run
 
 
+def _rare_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every row's distinct words outside the vocabulary, with how often they occur in it."""
+    schema = pa.schema([("row", pa.int64()), ("word", pa.binary()), ("tf", pa.int64())])
+
+    def rows():
+        for batch in batches:
+            for row, raw in zip(batch.column("row").to_pylist(), text_rows(batch, "rare")):
+                for word, tf in Counter(raw.split()).items():
+                    yield (row, word, tf), len(word)
+
+    return batched(rows(), schema)
+
+
+def _id_counts(words):
+    """Counts of the ids from those of the words."""
+    schema = pa.schema([("id", pa.int32()), ("n", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids = Ids(*words.value)
+        total = np.zeros(ids.first + ids.oov_ids, dtype=np.int64)
+        for batch in batches:
+            at = np.fromiter(map(ids.__getitem__, batch.column("word").to_pylist()), dtype=np.int64, count=batch.num_rows)
+            np.add.at(total, at, batch.column("n").to_numpy())
+        held = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(held, pa.int32()), pa.array(total[held])], schema=schema)
+
+    return run
+
+
 def _chunks(docs: Iterator[np.ndarray], tokens: int) -> Iterator[list[np.ndarray]]:
     part, size = [], 0
     for d in docs:
@@ -226,18 +274,18 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                           pa.array([(w / n).astype(np.float32).tobytes()], pa.binary())], schema=PARTIAL)
 
 
-def corpus_counts(docs: DataFrame, vocabulary: int = VOCABULARY, oov_ids: int = OOV_IDS) -> tuple[list[bytes], np.ndarray]:
-    """The most frequent words of all documents, and the counts of all ids."""
+def corpus_counts(docs: DataFrame, vocabulary: int = VOCABULARY, oov_ids: int = OOV_IDS) -> tuple[DataFrame, list[bytes], np.ndarray]:
+    """The counts of all words, the most frequent of them, and the counts of all ids."""
     counted = stage(docs.select("text").mapInArrow(_count_words, "word binary, n long")
                     .groupBy("word").agg(F.sum("n").alias("n")), "word-counts")
     top = counted.orderBy(F.desc("n"), "word").limit(vocabulary).collect()  # at most ``vocabulary`` rows
     words = [bytes(r.word) for r in top]
-    rest = counted.agg(F.sum("n").alias("n"), F.count("*").alias("words")).first()
+    shared = docs.sparkSession.sparkContext.broadcast((words, oov_ids))
+    held = counted.mapInArrow(_id_counts(shared), "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()  # at most the ids
     counts = np.zeros(len(words) + oov_ids)
-    counts[:len(words)] = [r.n for r in top]
-    # words outside the vocabulary fall on their ids evenly
-    counts[len(words):] = ((rest.n or 0) - counts.sum()) / oov_ids
-    return words, counts
+    for r in held:
+        counts[r.id] = r.n
+    return counted, words, counts
 
 
 def train(encoded: DataFrame, model: Model, rounds: int = ROUNDS) -> Model:
@@ -253,8 +301,12 @@ def train(encoded: DataFrame, model: Model, rounds: int = ROUNDS) -> Model:
     return model
 
 
-def _score(shared):
-    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("log_prob", pa.float64())])
+SCORED_DDL = "doc_id long, n_tokens long, log_prob double, row long"
+
+
+def _score(shared, offsets=None):
+    """Sums of the conditionals; ``offsets`` (by id) are added to those of the tokens."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("log_prob", pa.float64()), ("row", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = shared.value
@@ -265,34 +317,56 @@ def _score(shared):
                 flat, at = model.padded(docs)
                 lp = [model.log_probs(flat, at[i:i + BATCH], parts) for i in range(0, len(at), BATCH)]
                 lp = np.concatenate(lp) if lp else np.empty(0)
+                if offsets is not None:
+                    lp = lp + offsets[flat[at]]
                 lens = np.array([len(d) for d in docs])
                 sums.append(np.bincount(np.repeat(np.arange(len(docs)), lens), weights=lp, minlength=len(docs)))
             if sums:
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n"), pa.array(np.concatenate(sums))], schema=schema)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n"), pa.array(np.concatenate(sums)),
+                                                  batch.column("row")], schema=schema)
 
     return run
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: int = VOCABULARY,
-        oov_ids: int = OOV_IDS, rounds: int = ROUNDS) -> tuple[DataFrame, Model]:
-    """The stored encoded documents and the network trained on all of them."""
+def _fit(docs: DataFrame, id_col: str, text_col: str, vocabulary: int, oov_ids: int, rounds: int) -> tuple[DataFrame, Model, DataFrame]:
     if vocabulary + oov_ids >= 1 << 16:
         raise ValueError("ids are stored in 16 bits")
     rows = texts(docs, id_col, text_col)
-    words, counts = corpus_counts(rows, vocabulary, oov_ids)
+    counted, words, counts = corpus_counts(rows, vocabulary, oov_ids)
     shared = rows.sparkSession.sparkContext.broadcast((words, oov_ids))
-    encoded = stage(rows.mapInArrow(_encode(shared), "doc_id long, n long, part int, ids binary"), "encoded")
-    return encoded, train(encoded, Model(counts), rounds)
+    encoded = stage(rows.mapInArrow(_encode(shared), ENCODED_DDL), "encoded")
+    return encoded, train(encoded, Model(counts), rounds), counted
+
+
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: int = VOCABULARY,
+        oov_ids: int = OOV_IDS, rounds: int = ROUNDS) -> tuple[DataFrame, Model]:
+    """The stored encoded documents and the network trained on all of them."""
+    return _fit(docs, id_col, text_col, vocabulary, oov_ids, rounds)[:2]
+
+
+def word_shares(encoded: DataFrame, counted: DataFrame) -> DataFrame:
+    """row, gain: the logarithms of the counts of its words outside the vocabulary, added up.
+    Words counted once add nothing and need no partner."""
+    rare = encoded.filter(F.length("rare") > 0).select("row", "rare").mapInArrow(_rare_words, "row long, word binary, tf long")
+    return rare.join(counted.filter("n > 1"), "word").groupBy("row").agg(F.sum(F.col("tf") * F.log("n")).alias("gain"))
 
 
-def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """doc_id, n_tokens, log_prob (sum over tokens), mean_log_prob and perplexity."""
-    encoded, model = fit(docs, id_col, text_col, **options)
+def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: int = VOCABULARY,
+                    oov_ids: int = OOV_IDS, rounds: int = ROUNDS, per_word: bool = False) -> DataFrame:
+    """doc_id, n_tokens, log_prob (sum over tokens), mean_log_prob and perplexity; of the
+    words with ``per_word``, else of the ids."""
+    encoded, model, counted = _fit(docs, id_col, text_col, vocabulary, oov_ids, rounds)
+    offsets = None
+    if per_word:
+        offsets = -np.log(model.counts + 1)
+        offsets[:model.size - oov_ids] = 0.0
     shared = encoded.sparkSession.sparkContext.broadcast(model)
-    scored = encoded.select("doc_id", "n", "ids").mapInArrow(_score(shared), "doc_id long, n_tokens long, log_prob double")
+    scored = encoded.select("doc_id", "n", "ids", "row").mapInArrow(_score(shared, offsets), SCORED_DDL)
+    if per_word:
+        scored = scored.join(word_shares(encoded, counted), "row", "left").withColumn("log_prob", F.col("log_prob") + F.coalesce("gain", F.lit(0.0)))
     mean = F.when(F.col("n_tokens") > 0, F.col("log_prob") / F.col("n_tokens"))
     return scored.select("doc_id", "n_tokens", "log_prob", mean.alias("mean_log_prob"), F.exp(-mean).alias("perplexity"))
 
 
 def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score_documents(table(spark, sf_dir, "documents"))
+    return score_documents(table(spark, sf_dir, "documents"), per_word=True)

@@ -64,6 +64,27 @@ def test_gradient_step_lowers_the_loss():
     assert model.log_probs(flat, at).mean() > before + 0.1
 
 
+def test_words_outside_the_vocabulary_have_their_own_counts(spark):
+    common = "the cat sat on the mat and the dog lay on the rug"
+    pairs = [(i, f"{common} " + ("often " if i % 4 else "") + f"once{i}") for i in range(200)]
+    pairs += [(1000, f"{common} often"), (1001, f"{common} junk"), (None, f"{common} junk2 junk2"), (1002, None)]
+    encoded, model, counted = L._fit(clashing(docs(spark, pairs)), "doc_id", "text", 9, 3, 2)
+    n = {bytes(r.word): r.n for r in counted.collect()}
+    ids = L.Ids([w for w, _ in sorted(n.items(), key=lambda x: (-x[1], x[0]))[:9]], 3)
+    totals = np.bincount([ids[w] for w in n], weights=list(n.values()), minlength=12)
+    assert model.counts.tolist() == totals.tolist() and n[b"often"] == 151 and b"often" not in ids
+    want = {}
+    for r in encoded.filter("n > 0").collect():
+        text = dict(pairs)[r.doc_id]
+        x = np.frombuffer(r.ids, dtype="<u2")
+        share = sum(math.log(n[w] / (totals[ids[w]] + 1)) for w in text.encode().split() if w not in ids)
+        want[r.doc_id] = model.log_probs(*model.padded([x])).sum() + share
+    got = {r.doc_id: r.log_prob for r in L.score_documents(docs(spark, pairs), vocabulary=9, oov_ids=3, per_word=True).collect()}
+    assert got.pop(1002) == 0.0 and got.keys() == want.keys()
+    assert all(abs(got[d] - want[d]) < 0.5 for d in want)
+    assert got[1000] > got[1001] + 2
+
+
 def test_empty(spark):
     assert L.score_documents(docs(spark, [])).collect() == []
     out = L.score_documents(docs(spark, [(1, None), (2, " ")])).collect()
