@@ -14,6 +14,9 @@ of the vocabulary, so it holds at most 1 / ``vocabulary`` of the tokens.
 Network. Every token is predicted from the ``window`` tokens on both sides, never from
 itself: position-specific embeddings of the neighbours are added, squashed, and give a
 softmax over classes; P(token | both sides) = P(class | both sides) * P(token | class).
+With ``inner`` (the query) the last factor is a second softmax, from the same hidden layer
+over the ids of the class, trained in the same steps; it starts at the corpus shares, which
+it stays at without ``inner``.
 A document's score is the sum of its tokens' conditional log-probabilities: of words with
 ``per_word``, of ids without it.
 
@@ -80,11 +83,17 @@ class Ids(dict):
         return self.first + xxhash.xxh64_intdigest(word) % self.oov_ids
 
 
+def _order(ids: np.ndarray) -> np.ndarray:
+    """Stable order of ids, which fit into 16 bits: numpy sorts these by their digits."""
+    return np.argsort(ids.astype(np.uint16), kind="stable")
+
+
 class Model:
     """All weights of the network in one float32 vector, and the corpus shares."""
 
-    def __init__(self, counts: np.ndarray, classes: int = CLASSES, window: int = WINDOW, width: int = WIDTH, seed: int = 0):
-        self.window, self.width, self.size = window, width, len(counts)
+    def __init__(self, counts: np.ndarray, classes: int = CLASSES, window: int = WINDOW, width: int = WIDTH, seed: int = 0,
+                 inner: bool = False):
+        self.window, self.width, self.size, self.inner = window, width, len(counts), inner
         root = np.sqrt(np.maximum(counts, 1.0))
         order = np.argsort(-root, kind="stable")
         at = np.cumsum(root[order]) - root[order] / 2
@@ -101,6 +110,13 @@ class Model:
         self.shapes = [(2 * window, self.size + 1, width), (width,), (width, self.classes), (self.classes,)]
         parts = [rng.normal(scale=0.1, size=s) for s in self.shapes]
         parts[3] = np.log(share / share.sum())
+        if inner:  # rows of the second softmax: the ids class by class
+            members = np.argsort(self.klass, kind="stable")
+            self.first = np.searchsorted(self.klass[members], np.arange(self.classes + 1))
+            self.row = np.empty(self.size, dtype=np.int64)
+            self.row[members] = np.arange(self.size)
+            self.shapes += [(self.size, width), (self.size,)]
+            parts += [np.zeros((self.size, width)), self.within[members]]
         self.weights = np.concatenate([p.ravel() for p in parts]).astype(np.float32)
 
     def parts(self) -> list[np.ndarray]:
@@ -121,7 +137,7 @@ class Model:
         return [*range(-self.window, 0), *range(1, self.window + 1)]
 
     def forward(self, flat: np.ndarray, at: np.ndarray, parts=None):
-        emb, bias, out, prior = parts or self.parts()
+        emb, bias, out, prior = (parts or self.parts())[:4]
         h = np.broadcast_to(bias, (len(at), self.width)).copy()
         for j, d in enumerate(self._neighbours()):
             h += emb[j][flat[at + d]]
@@ -130,27 +146,59 @@ class Model:
         z -= z.max(1, keepdims=True)
         return h, z
 
+    def _inside(self, h: np.ndarray, token: np.ndarray, parts):
+        """Class by class, for tokens ordered by class: which of them, its rows of the second
+        softmax, their scores at each of the tokens, and which score is the token's."""
+        of = self.klass[token]
+        cut, hit = np.searchsorted(of, np.arange(self.classes + 1)), self.row[token] - self.first[of]
+        nth = np.arange(np.diff(cut).max(initial=0))
+        for c in np.flatnonzero(np.diff(cut)).tolist():
+            here, members = slice(cut[c], cut[c + 1]), slice(self.first[c], self.first[c + 1])
+            g = h[here] @ parts[4][members].T
+            g += parts[5][members]
+            g -= g.max(1, keepdims=True)
+            yield here, members, g, (nth[:cut[c + 1] - cut[c]], hit[here])
+
     def log_probs(self, flat: np.ndarray, at: np.ndarray, parts=None) -> np.ndarray:
-        _, z = self.forward(flat, at, parts)
+        parts = parts or self.parts()
+        h, z = self.forward(flat, at, parts)
         token = flat[at]
         of = self.klass[token]
-        return z[np.arange(len(at)), of].astype(np.float64) - np.log(np.exp(z).sum(1, dtype=np.float64)) + self.within[token]
+        inside = self.within[token]
+        if self.inner:
+            order = _order(of)
+            for here, _, g, hit in self._inside(h[order], token[order], parts):
+                inside[order[here]] = g[hit] - np.log(np.exp(g).sum(1, dtype=np.float64))
+        return z[np.arange(len(at)), of].astype(np.float64) - np.log(np.exp(z).sum(1, dtype=np.float64)) + inside
 
     def step(self, flat: np.ndarray, at: np.ndarray, rate: float = RATE) -> None:
         parts = self.parts()
-        emb, bias, out, prior = parts
+        emb, bias, out, prior = parts[:4]
         h, z = self.forward(flat, at, parts)
         np.exp(z, out=z)
         z /= z.sum(1, keepdims=True)
         z[np.arange(len(at)), self.klass[flat[at]]] -= 1
-        back = (z @ out.T) * (1 - h * h)
         scale, mean = np.float32(rate), np.float32(OUT_RATE / len(at))
+        back = z @ out.T
+        if self.inner:
+            order = _order(self.klass[flat[at]])
+            sorted_h, more = h[order], np.empty_like(back)
+            for here, members, g, hit in self._inside(sorted_h, flat[at[order]], parts):
+                np.exp(g, out=g)
+                g /= g.sum(1, keepdims=True)
+                g[hit] -= 1
+                np.matmul(g, parts[4][members], out=more[here])
+                by = scale / np.float32(np.sqrt(len(g)))  # as for the embeddings
+                parts[4][members] -= by * (g.T @ sorted_h[here])
+                parts[5][members] -= by * g.sum(0)
+            back[order] += more
+        back *= 1 - h * h
         out -= mean * (h.T @ z)
         prior -= mean * z.sum(0)
         bias -= mean * back.sum(0)
         for j, d in enumerate(self._neighbours()):
             near = flat[at + d]
-            order = np.argsort(near, kind="stable")
+            order = _order(near)
             near = near[order]
             cut = np.flatnonzero(np.concatenate(([True], near[1:] != near[:-1])))
             g = np.add.reduceat(back[order], cut, axis=0)
@@ -328,14 +376,15 @@ def _score(shared, offsets=None):
     return run
 
 
-def _fit(docs: DataFrame, id_col: str, text_col: str, vocabulary: int, oov_ids: int, rounds: int) -> tuple[DataFrame, Model, DataFrame]:
+def _fit(docs: DataFrame, id_col: str, text_col: str, vocabulary: int, oov_ids: int, rounds: int,
+         inner: bool = False) -> tuple[DataFrame, Model, DataFrame]:
     if vocabulary + oov_ids >= 1 << 16:
         raise ValueError("ids are stored in 16 bits")
     rows = texts(docs, id_col, text_col)
     counted, words, counts = corpus_counts(rows, vocabulary, oov_ids)
     shared = rows.sparkSession.sparkContext.broadcast((words, oov_ids))
     encoded = stage(rows.mapInArrow(_encode(shared), ENCODED_DDL), "encoded")
-    return encoded, train(encoded, Model(counts), rounds), counted
+    return encoded, train(encoded, Model(counts, inner=inner), rounds), counted
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: int = VOCABULARY,
@@ -352,10 +401,11 @@ def word_shares(encoded: DataFrame, counted: DataFrame) -> DataFrame:
 
 
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: int = VOCABULARY,
-                    oov_ids: int = OOV_IDS, rounds: int = ROUNDS, per_word: bool = False) -> DataFrame:
+                    oov_ids: int = OOV_IDS, rounds: int = ROUNDS, per_word: bool = False,
+                    inner: bool = False) -> DataFrame:
     """doc_id, n_tokens, log_prob (sum over tokens), mean_log_prob and perplexity; of the
     words with ``per_word``, else of the ids."""
-    encoded, model, counted = _fit(docs, id_col, text_col, vocabulary, oov_ids, rounds)
+    encoded, model, counted = _fit(docs, id_col, text_col, vocabulary, oov_ids, rounds, inner)
     offsets = None
     if per_word:
         offsets = -np.log(model.counts + 1)
@@ -369,4 +419,4 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score_documents(table(spark, sf_dir, "documents"), per_word=True)
+    return score_documents(table(spark, sf_dir, "documents"), per_word=True, inner=True)

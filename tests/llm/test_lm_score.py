@@ -85,6 +85,58 @@ def test_words_outside_the_vocabulary_have_their_own_counts(spark):
     assert got[1000] > got[1001] + 2
 
 
+def whole_softmax(model, ids, i):
+    """P(every id | both sides of position i) with both softmaxes, from the definition."""
+    emb, bias, out, prior, own, level = (p.astype(np.float64) for p in model.parts())
+    h = bias.copy()
+    for j, d in enumerate([-2, -1, 1, 2]):
+        h = h + emb[j][ids[i + d] if 0 <= i + d < len(ids) else model.size]
+    h = np.tanh(h)
+    z, g = h @ out + prior, own @ h + level
+    g = np.exp(g[model.row])
+    return np.exp(z)[model.klass] / np.exp(z).sum() * g / np.bincount(model.klass, weights=g)[model.klass]
+
+
+def test_inner_softmax_is_a_distribution_and_its_gradient_is_right():
+    rng = np.random.default_rng(1)
+    model = L.Model(rng.integers(1, 50, 40).astype(float), classes=6, inner=True)
+    ids = rng.integers(0, 40, 60)
+    flat, at = model.padded([ids])
+    model.weights = (model.weights + rng.normal(scale=0.3, size=len(model.weights))).astype(np.float32)
+    ps = [whole_softmax(model, ids, i) for i in range(len(ids))]
+    assert all(abs(p.sum() - 1) < 1e-9 for p in ps)
+    assert np.abs(model.log_probs(flat, at) - [math.log(p[t]) for p, t in zip(ps, ids)]).max() < 1e-4
+    before, start = model.weights.copy(), model.log_probs(flat, at).sum()
+    model.step(flat, at, rate=1e-3)
+    moved = model.weights - before
+    sizes = np.cumsum([0] + [int(np.prod(s)) for s in model.shapes])
+    for i in (0, 4, 5):  # embeddings and both parts of the second softmax: uphill by themselves
+        model.weights = before.copy()
+        model.weights[sizes[i]:sizes[i + 1]] += moved[sizes[i]:sizes[i + 1]]
+        assert model.log_probs(flat, at).sum() > start
+
+
+def test_a_wrong_word_of_like_frequency_costs_at_its_own_position(spark):
+    pattern = "the cat sat on a mat and some dog lay by one door".split()
+    pairs = [(i, " ".join(pattern[(i + j) % len(pattern)] for j in range(200))) for i in range(120)]
+    spread = {}
+    for inner in (False, True):
+        encoded, model, _ = L._fit(docs(spark, pairs), "doc_id", "text", 13, 4, 2, inner)
+        model = L.Model(model.counts, classes=2, inner=inner)  # words of one class
+        L.train(encoded, model)
+        ids = np.frombuffer(encoded.filter("doc_id = 0").first().ids, dtype="<u2").astype(np.int64)[:41]
+        lps = []
+        same = np.flatnonzero((model.klass == model.klass[ids[20]]) & (np.arange(model.size) < 13))
+        for t in same:
+            x = ids.copy()
+            x[20] = t
+            flat, at = model.padded([x])
+            lps.append(model.log_probs(flat, at)[20])
+        assert len(same) > 2
+        spread[inner] = lps[list(same).index(ids[20])] - np.mean(lps)
+    assert abs(spread[False]) < 1e-9 and spread[True] > 0.3
+
+
 def test_empty(spark):
     assert L.score_documents(docs(spark, [])).collect() == []
     out = L.score_documents(docs(spark, [(1, None), (2, " ")])).collect()
