@@ -17,7 +17,9 @@ estimates the labelers' reliabilities and each pattern's posterior.
 Classifier. A logistic regression on span features (kind with digits, length, signs,
 context and structure) is fitted to these posteriors. Both fits read one grouped table,
 whose size is bounded by the number of feature and vote values, not by the documents.
-A candidate scored 0.5 or more that overlaps no base span is added; base spans stay.
+A candidate scored 0.5 or more that overlaps no base span is added; base spans stay. A
+secret is also added, whole, when base spans leave ``SECRET`` signs of its value or more:
+a run of digits inside a long key does not release the rest of it.
 
 Everything but that grouping is row-local: no shuffle of texts, no grouping of a
 document's spans, so neither hot sources nor copies matter. A null or empty text has no
@@ -37,11 +39,11 @@ KINDS = ("email", "ip", "card", "phone", "ssn", "iban", "secret")
 BASE = KINDS[:4]
 HOLD = "\ue000"  # stands for a separator inside a run; its own occurrences become OTHER
 OTHER = "\ue001"
-LEFT = 40
+LEFT, SECRET = 40, 6
 EM_STEPS, FIT_STEPS, FIT_RATE, FIT_L2 = 30, 400, 1.0, 1e-3
 VOTES = ("v_regex", "v_gazetteer", "v_context", "v_structure")
 
-#: Loose candidates: kind -> (what a text must contain, pattern). Quantifiers are bounded.
+#: Loose candidates: kind -> (what a text must contain, pattern). Quantifiers are bounded, or possessive on one class of signs.
 LOOSE = {
     "email": (r"(?i)[\[(]at[\])]| at [a-z0-9-]{1,40} dot ",
               r"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]{1,64} ?(?:\[at\]|\(at\)| at ) ?[a-z0-9-]{1,60} ?(?:\[dot\]|\(dot\)| dot |\.) ?[a-z]{2,12}(?![a-z0-9])"),
@@ -50,7 +52,7 @@ LOOSE = {
     "ssn": (r"[0-9]{3}-[0-9]{2}-[0-9]{4}", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
     "iban": (r"[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4}", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
     "secret": (r"(?i)passw|secret|token|api[_-]?key|AKIA",
-               r"(?i)(?<![a-z0-9])(?:(?:password|passwd|secret|token|api[_-]?key) {0,2}[=:] {0,2}[\"']?[a-z0-9+/_.-]{6,200}|AKIA[0-9A-Z]{16}(?![a-z0-9]))"),
+               r"(?i)(?<![a-z0-9])(?:(?:password|passwd|secret|token|api[_-]?key) {0,2}[=:] {0,2}[\"']?[a-z0-9+/_.-]{6,}+|AKIA[0-9A-Z]{16}(?![a-z0-9]))"),
 }
 
 #: Words to the left that speak for (by kind) or against personal data.
@@ -271,7 +273,11 @@ def with_spans(found: DataFrame, weights: dict[str, float], column: str = "found
                        F.filter(column, lambda c: ~c["base"] & (_score(c, weights) >= 0)).alias("__more"))
 
     def free(c):
-        return ~F.exists("__base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
+        value = c["end"] - F.length(F.regexp_replace(c["m"], "^[^=:]*[=:] {0,2}[\"']?", ""))
+        covered = F.aggregate("__base", F.lit(0), lambda n, b: n + F.greatest(
+            F.lit(0), F.least(b["end"], c["end"]) - F.greatest(b["start"], value)))
+        alone = ~F.exists("__base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
+        return alone | (c["kind"] == "secret") & (c["end"] - value - covered >= SECRET)
 
     out = out.select(*own, "__base", F.filter("__more", free).alias("__more"))
     return out.select(*own, _sorted(F.col("__base")).alias("__base"), _sorted(F.concat("__base", "__more")).alias("__all"))

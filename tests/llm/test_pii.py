@@ -86,6 +86,22 @@ def test_redaction(spark):
     assert "10.0" not in out[5] and "555" not in out[5]
 
 
+def test_long_secrets_are_covered_whole(spark):
+    rng = random.Random(7)
+    long = {n: "".join(rng.choice("abcdefXYZ0123456789+/_.-") for _ in range(n - 1)) + "7" for n in (199, 200, 201, 1000, 50_000)}
+    filler = [(i, f"my password=e3b3ed3cc8548923d{i:03d} ok") for i in range(40)]
+    pairs = filler + [(n, f"é the token={x} ends") for n, x in long.items()]
+    pairs += [(2000, "password=alice@example.com"), (2001, "token=10.20.30.40"), (2002, f"token={'ab3/' * 100}+49 30 1234567890")]
+    got = {r.doc_id: [(s.kind, s.start, s.end) for s in r["all"]] for r in P.find_pii(docs(spark, pairs)).collect()}
+    clear = {r.doc_id: r.text for r in P.redact(docs(spark, pairs)).collect()}
+    for n in long:
+        assert ("secret", 6, 6 + len("token=") + n) in got[n] and all(a >= 6 and b <= 12 + n for _, a, b in got[n])
+        assert clear[n] == "é the [SECRET] ends"
+    assert got[1000] == [("secret", 6, 1012)] and len(got[50_000]) > 1  # the longest holds what looks like a phone number
+    assert [x[0] for x in got[2000]] == ["email"] and [x[0] for x in got[2001]] == ["ip"]
+    assert clear[2002] == "[SECRET]"
+
+
 def test_empty(spark):
     assert P.find_pii(docs(spark, [])).collect() == [] and P.redact(docs(spark, [])).collect() == []
 
