@@ -7,9 +7,10 @@ over it: the ``buckets`` upper bounds that minimise the total padding (of equal
 solutions the one with the smallest lower bounds). Inside a bucket of bound b, batches
 hold ``token_budget // b`` pieces (at least one), in the order of (salt, id, piece).
 
-A bucket may hold a third of all rows: its rows are numbered inside salted groups of
-about ``GROUP_ROWS``, whose running totals give the offsets, so no task sees a bucket
-whole and the numbering is still contiguous.
+A bucket may hold a third of all rows, and one id (or null) too: rows are numbered inside
+ranges of about ``GROUP_ROWS`` of that order, whose running totals give the offsets. A
+stored row number is the last part of the order, so rows that are equal in all others are
+divided as well: no task sees a bucket or an id whole, and the numbering is contiguous.
 
 Defined results: a null or empty text is its end token, one piece of length 1. Null
 ids sort as -1. Repeated rows are packed like any others. An empty table gives an
@@ -60,6 +61,14 @@ def word_tokens(text: Column) -> Column:
     return F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long") + 1
 
 
+ORDER = ("bucket", "salt", "order", "piece", "length", "row")
+
+
+def _ranges(rows: DataFrame, n: int) -> DataFrame:
+    """The rows with the number of their range, of ``n`` of about equal size in ``ORDER``."""
+    return stage(rows.repartitionByRange(n, *ORDER).withColumn("range", F.spark_partition_id()), "ranges")
+
+
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokens: Column | None = None,
          max_len: int = MAX_LEN, buckets: int = BUCKETS, token_budget: int = TOKEN_BUDGET,
          group_rows: int = GROUP_ROWS) -> DataFrame:
@@ -72,7 +81,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokens
     pieces = stage(sized.select("doc_id", "tokens", F.explode(F.sequence(
         F.lit(0), F.floor((F.greatest("tokens", F.lit(1)) - 1) / F.lit(max_len)).cast("int"))).alias("piece"))
         .select("doc_id", "piece", F.greatest(F.lit(1), F.least(F.lit(max_len), F.col("tokens") - F.col("piece") * max_len))
-                .cast("int").alias("length")), "pieces")
+                .cast("int").alias("length"), F.monotonically_increasing_id().alias("row")), "pieces")
     histogram = sorted((r.length, r.n) for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect())  # <= max_len rows
     lengths, counts = (np.array([h[i] for h in histogram], dtype=np.int64) for i in (0, 1))
     bounds = optimal_bounds(lengths, counts, buckets)
@@ -86,13 +95,15 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokens
     order = F.coalesce("doc_id", F.lit(-1))
     rows = pieces.withColumn("bucket", bucket).withColumn("groups", groups).withColumn(
         "salt", F.pmod(F.pmod(order, F.col("groups")) + F.col("piece"), F.col("groups")))
-    totals = rows.groupBy("bucket", "salt").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("bucket").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select("bucket", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    inside = Window.partitionBy("bucket", "salt").orderBy(order, "piece", "length")
+    rows = _ranges(rows.select("doc_id", "piece", "length", "bucket", "salt", order.alias("order"), "row"),
+                   max(1, -(-int(counts.sum()) // group_rows)))
+    totals = rows.groupBy("bucket", "range").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("bucket").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select("bucket", "range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    inside = Window.partitionBy("bucket", "range").orderBy(*ORDER[1:])
     rank = F.col("start") + F.col("nth") - 1
     per_batch = F.greatest(F.lit(1), F.floor(F.lit(token_budget) / F.col("bucket")))
-    return (rows.withColumn("nth", F.row_number().over(inside)).join(starts, ["bucket", "salt"])
+    return (rows.withColumn("nth", F.row_number().over(inside)).join(starts, ["bucket", "range"])
             .select("doc_id", "piece", "length", "bucket", F.floor(rank / per_batch).cast("long").alias("batch"),
                     F.pmod(rank, per_batch).cast("int").alias("slot")))
 

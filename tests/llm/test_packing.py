@@ -52,6 +52,18 @@ def test_batches_hold_every_piece_once(spark):
         check(pairs, out, 500, 1500)
 
 
+def test_rows_of_one_id_are_divided(spark, monkeypatch):
+    seen = []
+    inner = P._ranges
+    monkeypatch.setattr(P, "_ranges", lambda rows, n: seen.append((inner(rows, n), n)) or seen[-1][0])
+    pairs = [(None, "a b")] * 3000 + [(8 * i, "a") for i in range(2000)] + [(7, "a b c")] * 1000
+    out = P.pack(docs(spark, pairs).repartition(3), max_len=500, buckets=2, token_budget=400, group_rows=500).collect()
+    check(pairs, out, 500, 400)
+    (ranged, n), = seen
+    groups = [r["count"] for r in ranged.groupBy("bucket", "range").count().collect()]
+    assert n == 12 and sum(groups) == 6000 and max(groups) < 1000
+
+
 def test_empty_and_own_token_counts(spark):
     from pyspark.sql import functions as F
 
