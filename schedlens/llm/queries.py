@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from schedlens.llm import ann, exact_dedup, license_scan, lm_score, packing, pii, quality, sentencepiece_chunks, simhash, token_shards
+from schedlens.llm import ann, exact_dedup, license_scan, lm_score, merkle, packing, pii, quality, sentencepiece_chunks, simhash, token_shards
 
 QUERIES = {
     "op1_lm_score": lm_score.op1_lm_score,
@@ -15,10 +15,12 @@ QUERIES = {
     "op8_packing": packing.op8_packing,
     "op9_pii": pii.op9_pii,
     "op10_token_shards": token_shards.op10_token_shards,
+    "op11_merkle": merkle.op11_merkle,
 }
 
 ORACLE = {
     "op2_exact_dedup": exact_dedup.ORACLE,
     "op3_license_scan": license_scan.ORACLE,
     "op8_packing": packing.ORACLE,
+    "op11_merkle": merkle.ORACLE,
 }
