@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from schedlens.llm import ann, exact_dedup, license_scan, lm_score, merkle, packing, pii, quality, sentencepiece_chunks, simhash, token_shards
+from schedlens.llm import ann, exact_dedup, license_scan, lm_score, merkle, packing, phrases, pii, quality, sentencepiece_chunks, simhash, token_shards
 
 QUERIES = {
     "op1_lm_score": lm_score.op1_lm_score,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_pii": pii.op9_pii,
     "op10_token_shards": token_shards.op10_token_shards,
     "op11_merkle": merkle.op11_merkle,
+    "op13_phrases": phrases.op13_phrases,
 }
 
 ORACLE = {
@@ -23,4 +24,5 @@ ORACLE = {
     "op3_license_scan": license_scan.ORACLE,
     "op8_packing": packing.ORACLE,
     "op11_merkle": merkle.ORACLE,
+    "op13_phrases": phrases.ORACLE,
 }
