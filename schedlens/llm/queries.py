@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from schedlens.llm import ann, exact_dedup, license_scan, lm_score, merkle, packing, phrases, pii, quality, sentencepiece_chunks, simhash, token_shards
+from schedlens.llm import (
+    ann, exact_dedup, jaccard_join, license_scan, lm_score, merkle, packing, phrases, pii, quality, sentencepiece_chunks,
+    simhash, token_shards,
+)
 
 QUERIES = {
     "op1_lm_score": lm_score.op1_lm_score,
@@ -16,6 +19,7 @@ QUERIES = {
     "op9_pii": pii.op9_pii,
     "op10_token_shards": token_shards.op10_token_shards,
     "op11_merkle": merkle.op11_merkle,
+    "op12_jaccard_join": jaccard_join.op12_jaccard_join,
     "op13_phrases": phrases.op13_phrases,
 }
 
@@ -24,5 +28,6 @@ ORACLE = {
     "op3_license_scan": license_scan.ORACLE,
     "op8_packing": packing.ORACLE,
     "op11_merkle": merkle.ORACLE,
+    "op12_jaccard_join": jaccard_join.ORACLE,
     "op13_phrases": phrases.ORACLE,
 }
