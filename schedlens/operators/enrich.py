@@ -15,6 +15,7 @@ from schedlens.functions import (
     machine_event_join_time,
     merge_struct,
     usage_join_time,
+    zero,
 )
 from schedlens.operators.asof import asof_join
 from schedlens.operators.keys import task_key_of_event, task_key_of_usage, tie_columns
@@ -119,17 +120,17 @@ def combine_usage(usage: DataFrame, task_utils: DataFrame | None = None,
 def attach_summaries(rows: DataFrame, task_utils: DataFrame | None = None,
                      job_utils: DataFrame | None = None) -> DataFrame:
     """Inner equi-joins of wrapped usage (column ``usage``) with its summaries. They
-    widen every row, so joins that shuffle usage (next death) come before."""
+    widen every row, so joins that shuffle usage (next death) come before. An unset job
+    id or task index reads 0 on both sides."""
     cols = list(rows.columns)
-    out = rows.select("*", F.col("usage.task_info.job.id").alias("__job"),
-                      F.col("usage.task_info.task_index").alias("__idx"))
+    out = rows.select("*", zero("usage.task_info.job.id", 0).alias("__job"), zero("usage.task_info.task_index", 0).alias("__idx"))
     if task_utils is not None:
-        t = task_utils.select(F.col("info.job.id").alias("__job"), F.col("info.task_index").alias("__idx"),
+        t = task_utils.select(zero("info.job.id", 0).alias("__job"), zero("info.task_index", 0).alias("__idx"),
                               F.struct(*[F.col(c) for c in task_utils.columns]).alias("task"))
         out = out.join(t, ["__job", "__idx"], "inner")
         cols.append("task")
     if job_utils is not None:
-        j = job_utils.select(F.col("job_info.id").alias("__job"),
+        j = job_utils.select(zero("job_info.id", 0).alias("__job"),
                              F.struct(*[F.col(c) for c in job_utils.columns]).alias("job"))
         out = out.join(j, ["__job"], "inner")
         cols.append("job")

@@ -68,7 +68,11 @@ def percentile_columns(long: DataFrame, by: Sequence[str], ps: Sequence[float],
                             F.sum("__cw").over(Window.partitionBy(*by)).alias("tw"))
     w_run = (Window.partitionBy(*by, "__c").orderBy("v")
              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    ranked = pooled.join(offsets, [*by, "__c"]).select(
+    same = F.col("__c") == F.col("__oc")
+    for b in by:  # a group may have unset keys
+        same = same & F.col(f"`{b}`").eqNullSafe(F.col(f"__o_{b}"))
+    offsets = offsets.select(*[F.col(b).alias(f"__o_{b}") for b in by], F.col("__c").alias("__oc"), "__off", "tw")
+    ranked = pooled.join(offsets, same).select(
         *by, "v", (F.col("__off") + F.sum("w").over(w_run)).alias("cw"), "tw")
     cw_f = F.col("cw").cast("float")
     picks = []

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from schedlens import schemas as S
-from schedlens.functions import bucket_5min, zero
+from schedlens.functions import bucket_5min, exact, zero
 
 # measure -> value of one usage-with-summary row
 SERIES_MEASURES = {
@@ -32,29 +32,28 @@ def priority_means(uwa: DataFrame) -> DataFrame:
     """Per (machine, five-minute bucket, priority): duration-weighted mean of
     each measure. Priority comes from the task summary, -1 when unset; an unset
     value reads 0 (no next death => 0 reservation). Zero total weight gives
-    NULL (counted as 0 by the series)."""
+    NULL (counted as 0 by the series). The sums are exact."""
     w = F.col("usage.end_time") - F.col("usage.start_time")
-    return uwa.groupBy(
+    sums = exact.exact_sums(uwa.groupBy(
         F.col("usage.machine_info.id").alias("machine_id"),
         bucket_5min("usage.start_time").alias("bucket"),
         F.coalesce(F.col("task.info.priority"), F.lit(-1)).alias("priority"),
-    ).agg(*[
-        F.try_divide(F.sum(w * zero(c)), F.sum(w).cast("double")).alias(m)
-        for m, c in SERIES_MEASURES.items()
-    ])
+    ), {m: w * zero(c) for m, c in SERIES_MEASURES.items()}, F.sum(w).cast("double").alias("__w"))
+    return sums.select("machine_id", "bucket", "priority", *[F.try_divide(F.col(m), F.col("__w")).alias(m) for m in SERIES_MEASURES])
 
 
 def priority_series(uwa: DataFrame) -> DataFrame:
-    """Per bucket: for each measure and priority -1..11 the sum over machines
+    """Per bucket: for each measure and priority -1..11 the exact sum over machines
     of the per-machine means (missing = 0; other priorities dropped). All four
-    series in one aggregation (a fixed-value pivot)."""
-    means = priority_means(uwa)
+    series in one aggregation, then a fixed-value pivot of its few rows."""
+    level = F.when(F.col("priority").isin(*S.SERIES_PRIORITIES), F.col("priority"))
+    sums = exact.exact_sums(priority_means(uwa).groupBy("bucket", level.alias("priority")), {m: F.col(m) for m in SERIES_MEASURES})
     cols = []
     for m in SERIES_MEASURES:
         for p in S.SERIES_PRIORITIES:
-            cols.append(F.coalesce(F.sum(F.when(F.col("priority") == p, F.col(m))), F.lit(0.0))
+            cols.append(F.coalesce(F.max(F.when(F.col("priority") == p, F.col(m))), F.lit(0.0))
                         .alias(f"{m}_{prio_label(p)}"))
-    return means.groupBy("bucket").agg(*cols)
+    return sums.groupBy("bucket").agg(*cols)
 
 
 def series_lines(series: DataFrame, measure: str) -> DataFrame:

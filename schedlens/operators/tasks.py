@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from schedlens import schemas as S
-from schedlens.operators.keys import event_order
+from schedlens.functions import zero
+from schedlens.operators.keys import event_order, event_tie, extreme_rows
 
 
 def consolidate_task_events(events: DataFrame) -> DataFrame:
@@ -65,9 +66,9 @@ def task_samples(events: DataFrame) -> DataFrame:
     Long form ``(job_id, task_index, info)``: a job's samples stay one row per
     task and are never gathered into one list.
     """
-    return events.groupBy(
-        F.col("info.job.id").alias("job_id"), F.col("info.task_index").alias("task_index")
-    ).agg(F.min_by("info", event_order(events)).alias("info"))
+    first = extreme_rows(events, {"job_id": F.col("info.job.id"), "__index": F.col("info.task_index")},
+                         event_order(events), event_tie(events), last=False)
+    return first.select("job_id", F.col("__index").alias("task_index"), "info")
 
 
 def mark_job_utilization(job_utils: DataFrame, events: DataFrame) -> DataFrame:
@@ -79,12 +80,17 @@ def mark_job_utilization(job_utils: DataFrame, events: DataFrame) -> DataFrame:
     job are the rows of :func:`task_samples`; they are never gathered in a list.
     """
     s = task_samples(events)
-    agg = s.groupBy(F.col("job_id").alias("__job")).agg(
+    agg = s.groupBy(zero("job_id", 0).alias("__job")).agg(
         F.count(F.lit(1)).alias("num_samples"),
         F.sum(F.coalesce(F.col("info.num_missing"), F.lit(0))).alias("samples_num_missing"),
         F.sum(F.coalesce(F.col("info.num_events"), F.lit(0))).alias("samples_num_events"),
-        F.min_by("info", "task_index").alias("__first"),
+        F.min(zero("task_index", 0)).alias("__index"),
     )
-    out = job_utils.join(agg, job_utils["job_info.id"] == agg["__job"], "inner")
-    out = out.withColumn("task_samples", F.array(F.col("__first")))
+    first = s.select(zero("job_id", 0).alias("__j"), zero("task_index", 0).alias("__i"), F.col("task_index").isNotNull().alias("__set"),
+                     F.struct("info").alias("__first"))
+    one = Window.partitionBy("__j", "__i").orderBy("__set")  # an unset index reads 0, as does index 0
+    first = first.withColumn("__n", F.row_number().over(one)).where("__n = 1")
+    agg = agg.join(first, (F.col("__job") == F.col("__j")) & (F.col("__index") == F.col("__i")))
+    out = job_utils.join(agg, zero("job_info.id", 0) == agg["__job"], "inner")
+    out = out.withColumn("task_samples", F.array(F.col("__first.info")))
     return out.select(*job_utils.columns, "num_samples", "samples_num_missing", "samples_num_events")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from schedlens import schemas as S
 from schedlens.functions import typed_struct, zero
-from schedlens.operators.keys import usage_order
+from schedlens.operators.keys import extreme_rows, time_order, usage_tie
 from schedlens.operators.percentile import percentile_columns, unpivot_measures
 
 # measure name -> (resources array, resources field)
@@ -40,14 +40,15 @@ def task_utilizations(usage: DataFrame, percentiles=S.TASK_PERCENTILES) -> DataF
     * ``percentile_task_usage[i]``: weighted percentile of ``max_resources``,
       ``percentile_mean_task_usage[i]`` of ``resources``; weight = end - start.
 
-    Two aggregates over the same key (job, task index), joined on it: the
-    scalar one and the percentile one (pre-aggregated values + window).
+    An unset job id or task index reads 0, like every unset field of the trace. Two
+    aggregates over the same key (job, task index), joined on it: the scalar one and the
+    percentile one (pre-aggregated values + window); the first record's description is
+    fetched by its order.
     """
-    job, idx = F.col("task_info.job.id"), F.col("task_info.task_index")
+    job, idx = zero("task_info.job.id", 0), zero("task_info.task_index", 0)
     has_req = F.col("task_info").isNotNull() & F.col("task_info.requested_resources").isNotNull()
     req = "task_info.requested_resources"
     scalar = usage.groupBy(job.alias("__job"), idx.alias("__idx")).agg(
-        F.min_by("task_info", F.when(has_req, usage_order(usage))).alias("info"),
         F.min("start_time").alias("start_time"),
         F.max("end_time").alias("end_time"),
         _total_time(F.col("end_time") - F.col("start_time")).alias("running_time"),
@@ -64,7 +65,10 @@ def task_utilizations(usage: DataFrame, percentiles=S.TASK_PERCENTILES) -> DataF
         F.col("end_time") - F.col("start_time"))
     arrays = _measure_columns(percentile_columns(long, ["__job", "__idx", "measure"], percentiles), ["__job", "__idx"], len(percentiles))
 
-    out = scalar.join(arrays, ["__job", "__idx"], "inner")
+    first = extreme_rows(usage.where(has_req), {"__job": job, "__idx": idx}, time_order(F.col("start_time"), F.col("end_time")),
+                         usage_tie(usage), last=False)
+    first = first.select("__job", "__idx", F.col("task_info").alias("info"))
+    out = scalar.join(arrays, ["__job", "__idx"], "inner").join(first, ["__job", "__idx"], "inner")
     return out.select(
         F.col("info"),
         F.lit(None).cast(S.TASK_UTILIZATION["task_samples"].dataType).alias("task_samples"),
@@ -94,7 +98,7 @@ def task_utilization_long(task_utils: DataFrame) -> DataFrame:
     """``(job_id, task_index, ui, measure, v)``: the four percentile measures of
     each task, one row per (usage percentile, measure)."""
     x = task_utils.select(
-        F.col("info.job.id").alias("job_id"), F.col("info.task_index").alias("task_index"),
+        zero("info.job.id", 0).alias("job_id"), zero("info.task_index", 0).alias("task_index"),
         F.posexplode(F.arrays_zip("percentile_task_usage", "percentile_mean_task_usage")).alias("ui", "z"))
     pairs = F.array(
         F.struct(F.lit("max_cpus").alias("measure"), zero("z.percentile_task_usage.cpus").alias("v")),
@@ -115,11 +119,11 @@ def job_utilizations(task_utils: DataFrame, percentiles=S.JOB_PERCENTILES) -> Da
     tasks of their ``p`` values: ``len(p) * len(p2)`` Resources entries.
     """
     info = F.col("info")
-    job = F.col("info.job.id").alias("__job")
-    scalar = task_utils.groupBy(job).agg(
-        F.min_by("info", "info.task_index").alias("__first"),
-        F.min_by("usage_percentile", "info.task_index").alias("__up"),
-        F.count_distinct("info.task_index").cast("int").alias("num_tasks"),
+    job, idx = zero("info.job.id", 0), zero("info.task_index", 0)  # unset reads 0
+    scalar = task_utils.groupBy(job.alias("__job")).agg(
+        F.min_by("info", idx).alias("__first"),
+        F.min_by("usage_percentile", idx).alias("__up"),
+        F.count_distinct(idx).cast("int").alias("num_tasks"),
         F.array(*[F.count_if(zero(info.getField("final_event"), 0) == i).cast("int") for i in range(9)])
         .alias("num_tasks_final"),
         F.array(*[F.sum(zero(F.get(info.getField("num_events_by_type"), i), 0)).cast("int") for i in range(9)])
