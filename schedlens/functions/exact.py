@@ -62,46 +62,57 @@ def merge(name: str) -> list[Column]:
     return [_wide(F.sum(n)).alias(n) if i <= _LAST else F.sum(n).alias(n) for i, n in enumerate(columns(name))]
 
 
-def _carried(df: DataFrame, names: Sequence[str], digit: str) -> DataFrame:
-    """Brings all but the first bin into 0 .. 2 ** WIDTH - 1; the excess moves up."""
-    base = F.lit(str(2 ** WIDTH)).cast("decimal(19,0)")
-    for i in range(_LAST, 0, -1):
-        df = df.withColumns({f"{n}{digit}_low": _wide(F.pmod(F.col(f"{n}{digit}{i}"), _wide(base))) for n in names})
-        up = {f"{n}{digit}{i - 1}": _wide(F.col(f"{n}{digit}{i - 1}") + F.call_function(
-            "div", _wide(F.col(f"{n}{digit}{i}") - F.col(f"{n}{digit}_low")), base)) for n in names}
-        df = df.withColumns({**up, **{f"{n}{digit}{i}": F.col(f"{n}{digit}_low") for n in names}})
-    return df.drop(*[f"{n}{digit}_low" for n in names])
-
-
-def _rounded(n: str) -> Column:
-    """The double nearest to the digits: the first two that count, and whether any follows."""
-    base = F.lit(str(2 ** WIDTH)).cast("decimal(19,0)")
-    d = [F.col(f"{n}__m{i}") for i in range(_LAST + 1)]
-    d = [_wide(F.call_function("div", d[0], base)), _wide(F.pmod(d[0], _wide(base))), *d[1:]]
-    out = None
+_BASE = f"CAST('{2 ** WIDTH}' AS DECIMAL(38,0))"
+
+
+def _let(value: str, name: str, body: str) -> str:
+    """SQL in which ``name`` stands for ``value``, computed once."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+
+
+def _digits(*values: str) -> str:
+    return "named_struct(" + ", ".join(f"'d{i}', CAST({v} AS DECIMAL(38,0))" for i, v in enumerate(values)) + ")"
+
+
+def _carried(digits: str) -> str:
+    """Brings all but the first digit into 0 .. 2 ** WIDTH - 1; the excess moves up."""
+    steps = []
+    for i in range(_LAST):
+        x, at = f"v{i}", _LAST - i
+        low = f"pmod({x}.d{at}, {_BASE})"
+        steps.append(_digits(*[f"{x}.d{k} + ({x}.d{at} - {low}) div {_BASE}" if k == at - 1 else low if k == at else f"{x}.d{k}"
+                               for k in range(_LAST + 1)]))
+    body = steps[-1]
+    for i in range(_LAST - 1, 0, -1):
+        body = _let(steps[i - 1], f"v{i}", body)
+    return _let(digits, "v0", body)
+
+
+def _nearest(digits: str) -> str:
+    """The double nearest to the carried digits. Digits are put together from the highest
+    until they fill a double with room to spare; whether any bit follows decides ties."""
+    full, cases, whole = 2 ** (WIDTH - 3), [], f"{digits}.d0"
     for i, scale in enumerate(SHIFTS):
-        follows = d[i + 2:]
-        odd = F.when(F.greatest(*follows, _wide(F.lit(0))) > 0, 1).otherwise(0) if follows else F.lit(0)
-        whole = _wide(_wide(_wide(d[i] * base) + d[i + 1]) * F.lit(2)) + odd.cast("decimal(1,0)")
-        value = _wide(whole).cast("double") * F.lit(2.0 ** (scale - 1))
-        if out is None:
-            out = F.when(d[i] > 0, value)
-        else:
-            out = out.when(d[i] > 0, value) if i < _LAST else out.otherwise(value)
+        follows = " + ".join(f"{digits}.d{k}" for k in range(i + 1, _LAST + 1))
+        odd = f"if({follows} > 0, 1, 0)" if follows else "0"
+        value = f"CAST(CAST({whole} * 2 + {odd} AS DECIMAL(38,0)) AS DOUBLE) * CAST('{2.0 ** (scale - 1)!r}' AS DOUBLE)"
+        cases.append((whole, f"if(abs({whole}) >= {full}, {value}, " if i < _LAST else value))
+        whole = f"w{i}"
+    out = cases[-1][1]
+    for i in range(_LAST - 1, -1, -1):
+        out = cases[i][1] + _let(f"CAST({cases[i][0]} * {_BASE} + {digits}.d{i + 1} AS DECIMAL(38,0))", f"w{i}", out) + ")"
     return out
 
 
+def _sum(n: str) -> Column:
+    *bins, rest = [f"`{c}`" for c in columns(n)]
+    return F.expr(_let(_carried(_digits(*bins)), "m", _nearest("m")) + f" + {rest}")
+
+
 def finish(df: DataFrame, names: Sequence[str]) -> DataFrame:
     """Replaces the accumulators ``names`` by their sums, after the other columns."""
     kept = [c for c in df.columns if c not in {x for n in names for x in columns(n)}]
-    # the sign, from the highest digit once the others are not negative
-    df = df.withColumns({f"{n}__s{i}": _wide(F.col(f"{n}__{i}")) for n in names for i in range(_LAST + 1)})
-    df = _carried(df, names, "__s")
-    df = df.withColumns({f"{n}__sign": F.when(F.col(f"{n}__s0") < 0, -1).otherwise(1) for n in names})
-    df = df.withColumns({f"{n}__m{i}": _wide(F.col(f"{n}__{i}") * F.col(f"{n}__sign").cast("decimal(2,0)"))
-                         for n in names for i in range(_LAST + 1)})
-    df = _carried(df, names, "__m")
-    return df.select(*kept, *[(_rounded(n) * F.col(f"{n}__sign") + F.col(f"{n}__r")).alias(n) for n in names])
+    return df.select(*[F.col(f"`{c}`") for c in kept], *[_sum(n).alias(n) for n in names])
 
 
 def exact_sums(groups: GroupedData, sums: Mapping[str, Column], *others: Column) -> DataFrame:

@@ -79,8 +79,8 @@ def _daily_cells(cells: DataFrame) -> DataFrame:
         *[F.min_by(c, "day_bucket").alias(c) for c in ("first_at", "first_tie", "info_key")])
 
 
-def machine_buckets(df: DataFrame, daily: bool = False) -> DataFrame:
-    """One row per (machine, bucket) with usage and breakdown sums, from usage or from its
+def machine_buckets(df: DataFrame, daily: bool = False, breakdown: bool = True) -> DataFrame:
+    """One row per (machine, bucket) with usage (and breakdown) sums, from usage or from its
     cells. The sums are exact, whatever the order and partitioning."""
     cells = df if "first_at" in df.columns else machine_task_cells(df)
     infos = cells.select("machine_id", "info_key", "info")
@@ -92,6 +92,8 @@ def machine_buckets(df: DataFrame, daily: bool = False) -> DataFrame:
             **{n: F.when(high, F.col(c)).otherwise(F.lit(0.0)) for n, c in (
                 ("reserved_high_cpus", "req_cpu"), ("reserved_high_memory", "req_mem"),
                 ("used_high_cpus", "cpu"), ("used_high_memory", "mem"))}}
+    if not breakdown:
+        sums = {"memory": sums["memory"]}
     # cells whose first records have equal times meet first: only their ties differ
     same_time = cells.groupBy("machine_id", "bucket", "first_at").agg(
         F.min("start_time").alias("start_time"), F.max("end_time").alias("end_time"), F.sum("n").alias("n"),
@@ -115,7 +117,7 @@ def usage_by_machine(df: DataFrame, daily: bool = False) -> DataFrame:
     Accepts bare usage rows, usage-with-summary rows (column ``usage``) or the cells of
     either (:func:`machine_task_cells`).
     """
-    b = machine_buckets(df, daily)
+    b = machine_buckets(df, daily, breakdown=False)
     return b.select(
         "machine_id", "bucket", "start_time", "end_time",
         typed_struct(S.RESOURCES, {"cpus": F.col("cpus"), "memory": F.col("memory")}).alias("resources"),

@@ -119,11 +119,11 @@ def job_utilizations(task_utils: DataFrame, percentiles=S.JOB_PERCENTILES) -> Da
     tasks of their ``p`` values: ``len(p) * len(p2)`` Resources entries.
     """
     info = F.col("info")
-    job, idx = zero("info.job.id", 0), zero("info.task_index", 0)  # unset reads 0
-    scalar = task_utils.groupBy(job.alias("__job")).agg(
-        F.min_by("info", idx).alias("__first"),
-        F.min_by("usage_percentile", idx).alias("__up"),
-        F.count_distinct(idx).cast("int").alias("num_tasks"),
+    keyed = task_utils.select("*", zero("info.job.id", 0).alias("__job"), zero("info.task_index", 0).alias("__idx"))  # unset reads 0
+    scalar = keyed.groupBy("__job").agg(
+        F.min_by("info", "__idx").alias("__first"),
+        F.min_by("usage_percentile", "__idx").alias("__up"),
+        F.count_distinct("__idx").cast("int").alias("num_tasks"),
         F.array(*[F.count_if(zero(info.getField("final_event"), 0) == i).cast("int") for i in range(9)])
         .alias("num_tasks_final"),
         F.array(*[F.sum(zero(F.get(info.getField("num_events_by_type"), i), 0)).cast("int") for i in range(9)])

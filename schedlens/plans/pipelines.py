@@ -71,13 +71,17 @@ class TraceStages:
             self.usage_with_jobs_and_machines, self.tasks_with_jobs_and_machines,
             self.task_utils, self.job_utils, self.task_join))
 
+    @property
+    def machine_cells(self) -> DataFrame:
+        return self._stage("machine_cells", lambda: machine.machine_task_cells(self.usage_with_avg))
+
     @property
     def usage_by_machine(self) -> DataFrame:
-        return machine.usage_by_machine(self.usage_with_avg)
+        return machine.usage_by_machine(self.machine_cells)
 
     @property
     def usage_by_machine_daily(self) -> DataFrame:
-        return machine.usage_by_machine(self.usage_with_avg, daily=True)
+        return machine.usage_by_machine(self.machine_cells, daily=True)
 
 
 def usage_with_avg(usage: DataFrame, task_events: DataFrame, task_utils: DataFrame, job_utils: DataFrame,
@@ -157,9 +161,10 @@ def run_summaries(spark: SparkSession, tasks_path: str, usage_path: str, out_dir
     uwa = usage_with_avg(usage, ev, task_utils, job_utils)
     paths["usage_with_avg"] = store.write_table(uwa, "task_usage_with_avg", f"{out}/task_usage_w_avg")
     uwa = store.read_table(spark, "task_usage_with_avg", paths["usage_with_avg"])
+    cells = cut(machine.machine_task_cells(uwa), "machine-cells")  # one pass over usage for both machine tables
     for name, daily in (("usage_by_machine", False), ("usage_by_machine_daily", True)):
         folder = f"{out}/usage_by_machine_w_avg" + ("_daily" if daily else "")
-        paths[name] = store.write_table(machine.usage_by_machine(uwa, daily=daily), "usage_by_machine", folder)
+        paths[name] = store.write_table(machine.usage_by_machine(cells, daily=daily), "usage_by_machine", folder)
     # one aggregation, read back by the four text files
     paths.update(series.write_priority_series(cut(series.priority_series(uwa), "series"), out))
     return paths

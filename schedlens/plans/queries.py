@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from schedlens import schemas as S
 from schedlens.functions import event_join_time
 from schedlens.operators import asof, enrich, export, machine, percentile, sample, series, tasks, utilization
+from schedlens.operators.keys import tie_columns
 from schedlens.plans import oracle as O
 from schedlens.plans import oracle_chain as C
 from schedlens.plans import pipelines
@@ -397,6 +398,47 @@ def q_job_utilization_direct(spark, sf):
     return job_utils_flat(utilization.job_utilizations_direct(stages(spark, sf).usage_with_jobs_and_machines))
 
 
+def _some_unset(usage: DataFrame) -> DataFrame:
+    """Every third job id and every fifth task index (0 included) is unset."""
+    job, idx = F.col("task_info.job.id"), F.col("task_info.task_index")
+    return usage.withColumn("task_info", F.col("task_info").withField("job.id", F.when(job % 3 != 0, job))
+                            .withField("task_index", F.when(idx % 5 != 0, idx)))
+
+
+_UNSET = ("us", "SELECT * REPLACE (CASE WHEN job_id % 3 = 0 THEN 0 ELSE job_id END AS job_id, "
+          "CASE WHEN task_index % 5 = 0 THEN 0 ELSE task_index END AS task_index) FROM uf")
+_UNSET_TASKS = ("ut", """SELECT job_id, task_index, min(start_time) AS start_time, max(end_time) AS end_time,
+  CAST(sum(end_time - start_time) AS BIGINT) AS running_time,
+  min(coalesce(req_cpus, 0)) FILTER (WHERE task_tie IS NOT NULL) AS min_req_cpus,
+  max(coalesce(req_memory, 0)) FILTER (WHERE task_tie IS NOT NULL) AS max_req_memory
+FROM us GROUP BY job_id, task_index HAVING count_if(task_tie IS NOT NULL) > 0""")
+
+
+def _unset_sql(body: str) -> str:
+    return O.with_views(body, *C.chain_upto("uf"), _UNSET, _UNSET_TASKS)
+
+
+@register("task_utilization_unset_keys", _unset_sql(
+    "SELECT t.*, p.v AS mean_cpus_max FROM ut t JOIN (SELECT job_id, task_index, max(coalesce(cpus, 0)) AS v "
+    "FROM us GROUP BY job_id, task_index) p USING (job_id, task_index)"))
+def q_task_utilization_unset_keys(spark, sf):
+    """Records without a job id or task index count for id or index 0, like the reference's unset fields."""
+    tu = utilization.task_utilizations(_some_unset(stages(spark, sf).usage_with_jobs_and_machines))
+    last = F.element_at("percentile_mean_task_usage", -1)
+    return tu.select(F.coalesce("info.job.id", F.lit(0)).alias("job_id"), F.coalesce("info.task_index", F.lit(0)).alias("task_index"),
+                     "start_time", "end_time", "running_time", F.col("min_request.cpus").alias("min_req_cpus"),
+                     F.col("max_request.memory").alias("max_req_memory"), last.getField("cpus").alias("mean_cpus_max"))
+
+
+@register("job_utilization_unset_keys", _unset_sql("""
+SELECT job_id, CAST(count(*) AS INTEGER) AS num_tasks, min(start_time) AS start_time, max(end_time) AS end_time,
+  CAST(sum(running_time) AS BIGINT) AS running_time FROM ut GROUP BY job_id"""))
+def q_job_utilization_unset_keys(spark, sf):
+    tu = utilization.task_utilizations(_some_unset(stages(spark, sf).usage_with_jobs_and_machines))
+    return utilization.job_utilizations(tu).select(F.coalesce("job_info.id", F.lit(0)).alias("job_id"), "num_tasks",
+                                                   "start_time", "end_time", "running_time")
+
+
 # ---------------------------------------------------------------------------
 # Usage with summaries, machines, priorities
 # ---------------------------------------------------------------------------
@@ -490,8 +532,7 @@ FROM (
   FROM cu GROUP BY machine_id, bucket, job_id, task_index)
 GROUP BY machine_id, bucket"""))
 def q_machine_breakdown(spark, sf):
-    uwa = stages(spark, sf).usage_with_avg
-    return machine.machine_breakdown(uwa).drop("summary_cpus", "summary_memory")
+    return machine.machine_breakdown(stages(spark, sf).machine_cells).drop("summary_cpus", "summary_memory")
 
 
 SERIES_SQL_MEASURES = {
@@ -684,6 +725,19 @@ def q_machine_latest_config(spark, sf):
     return machine.machine_configs(V.machine_events(spark, sf))
 
 
+@register("machine_tie_order", O.with_views("""
+SELECT machine_id, max(time) AS time, true AS same FROM me WHERE up GROUP BY machine_id"""))
+def q_machine_tie_order(spark, sf):
+    """Without a tie column, as in real traces: the latest machine and the machine that the
+    as-of join finds at that same time are the same record."""
+    up = V.machine_events(spark, sf).drop("tie").where(F.col("up"))
+    latest = machine.latest_up_machines(up)
+    found = asof.asof_join(
+        latest, up, left_keys=["machine_id"], right_keys=[F.col("info.id")], left_time=F.col("time"), right_time=F.col("time"),
+        ties=tie_columns(up, ("time",)), strategy="bucketed", right_payload=["info"], merge=lambda r: {"found": r.getField("info")})
+    return found.select("machine_id", "time", F.col("found").eqNullSafe(F.col("info")).alias("same"))
+
+
 # ---------------------------------------------------------------------------
 # Sources and sinks (S1-S12) and the pipelines
 # ---------------------------------------------------------------------------
@@ -883,7 +937,7 @@ _BREAKDOWN = [("used", "used"), ("capacity", "capacity"), ("reserved", "reserved
 def q_machine_breakdown_text(spark, sf):
     """The one-line usage summaries of each machine bucket: labels and numbers parsed
     back from the text."""
-    b = machine.machine_breakdown(stages(spark, sf).usage_with_avg)
+    b = machine.machine_breakdown(stages(spark, sf).machine_cells)
     out = []
     for r in ("cpus", "memory"):
         word = F.split(f"summary_{r}", " ")
