@@ -188,10 +188,13 @@ class Index:
 
     def _blocks(self) -> DataFrame:
         posted = stage(self._assigned(self.rows, CLOSURE, REPLICAS, 1), "posting-lists")
-        sizes = stage(posted.groupBy("list").agg(F.count("*").alias("n")), "list-sizes")
+        sizes = stage(posted.groupBy("list").agg(F.count("*").alias("n"), F.count_distinct("id").alias("ids")), "list-sizes")
         self.held = np.zeros(len(self.graph.c), dtype=np.int64)
         for r in sizes.collect():  # at most MAX_CENTROIDS rows
-            self.held[r.list] = r.n
+            self.held[r.list] = r.ids
+        # an id is in so many lists at most: REPLICAS, or more where rows share an id
+        spread = posted.groupBy("id").agg(F.count_distinct("list").alias("n")).agg(F.max("n")).first()[0]
+        self.spread = max(REPLICAS, spread or 0)
         self.sizes = sizes.select("list", F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("blocks"))
         return posted.join(self.sizes, "list").select(
             "list", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("side"), "id", "vec")
@@ -201,7 +204,7 @@ class Index:
         if self.graph is None:
             return self.spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
         probes = self._assigned(queries.filter(F.size("vec") == self.dim), PRUNE, len(self.graph.c), MIN_LISTS,
-                                self.held, REPLICAS * (k + 1))
+                                self.held, self.spread * (k + 1))
         sent = probes.join(self.sizes, "list").select(
             "list", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("side"), "id", "vec")
         near = (self.blocks.unionByName(sent).repartition("list", "block").sortWithinPartitions("list", "block", "side")
@@ -217,17 +220,25 @@ def _nearest(k: int):
     schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
     def best(ids, x, q_ids, q):
-        out = []
+        """The k nearest ids of a block for each query; rows of an id stand together."""
+        out, heads = [], np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
         for i in range(0, len(q), 256):
             a, own = q[i:i + 256], q_ids[i:i + 256]
             d = _distances(a, x)
             d[own[:, None] == ids[None]] = np.inf
-            kth = np.partition(d, min(k, d.shape[1]) - 1, axis=1)[:, min(k, d.shape[1]) - 1]
+            by_id = d if len(heads) == len(ids) else np.minimum.reduceat(d, heads, axis=1)
+            nth = min(k, by_id.shape[1]) - 1
+            kth = np.partition(by_id, nth, axis=1)[:, nth]
             # the expansion above is only a filter: all that may be among the k nearest
             slack = 1e-6 * (1 + np.sqrt((a * a).sum(1)) + np.sqrt((x * x).sum(1)).max())
             row, at = np.nonzero((d <= (kth + slack)[:, None]) & np.isfinite(d))
             diff = a[row] - x[at]
             exact = np.sqrt(np.einsum("ij,ij->i", diff, diff))
+            order = np.lexsort((exact, ids[at], row))
+            row, at, exact = row[order], at[order], exact[order]
+            first = np.ones(len(row), dtype=bool)  # of an id its nearest row
+            first[1:] = (row[1:] != row[:-1]) | (ids[at[1:]] != ids[at[:-1]])
+            row, at, exact = row[first], at[first], exact[first]
             order = np.lexsort((ids[at], exact, row))
             row, at, exact = row[order], at[order], exact[order]
             rank = np.arange(len(row)) - np.searchsorted(row, row)
@@ -263,7 +274,10 @@ def _nearest(k: int):
                     ids.append(rows[a:b])
                     vecs.append(x[a:b])
                 elif ids:
-                    block = block or (np.concatenate(ids), np.concatenate(vecs))
+                    if block is None:
+                        block_ids = np.concatenate(ids)
+                        by = np.argsort(block_ids, kind="stable")
+                        block = block_ids[by], np.concatenate(vecs)[by]
                     found += best(*block, rows[a:b], x[a:b])
             if sum(len(f[0]) for f in found) > MERGE_ROWS:
                 found = [merged(found)]

@@ -80,3 +80,26 @@ def test_lists_are_balanced():
     x = np.concatenate([rng.normal(size=(3000, 8)) * 0.1, rng.normal(size=(1000, 8))])
     size = np.bincount(A._distances(x, A.balanced_centroids(x, 40)).argmin(1), minlength=40)
     assert size.max() < 4 * size.mean()
+
+
+def test_repeated_ids_do_not_displace_other_ids(spark):
+    """Ten different neighbours are found although one id, or every id, has many near rows."""
+    rng = np.random.default_rng(8)
+    rows = [(0, [0.0, 1.0])] + [(1, [0.01 * i, 1.0]) for i in range(1, 16)] + [(101 + i, [1.0 + i, 1.0]) for i in range(1, 13)]
+    many = [(i, rng.normal(size=4).tolist()) for i in range(500) for _ in range(13)]
+    for table in (rows, many):
+        df = spark.createDataFrame(table, "vec_id long, embedding array<double>")
+        got = {}
+        for r in A.nearest(df, F.col("vec_id") % 100 == 0).collect():
+            got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+        assert got
+        for q, found in got.items():
+            found.sort()
+            assert [x[0] for x in found] == list(range(1, 11)) and len({x[1] for x in found}) == 10 and q not in {x[1] for x in found}
+    near = {}
+    for i, v in rows[1:]:
+        near[i] = min(near.get(i, np.inf), abs(v[0]))
+    want = sorted((d, i) for i, d in near.items())[:10]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(r.score, r.vec_id) for r in A.nearest(df, F.col("vec_id") == 0).collect()]
+    assert sorted(got) == want
