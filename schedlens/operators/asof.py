@@ -10,15 +10,19 @@ Three physical strategies give the same answer:
 
 ``window``    union both sides, one window per key, ``last(ignorenulls)``.
               One shuffle; a hot key lands in one task.
-``bucketed``  time-split for hot keys: one window per (key, time period) plus a
-              carry-in from earlier periods computed on a table with at most
-              one row per (key, period). Work per task is bounded by the rows of
-              one key in one period, however hot the key.
+``bucketed``  time-split for hot keys: their times are cut at quantiles of their own
+              rows, one window per (key, cell) plus a carry-in from earlier cells
+              computed on a table with one row per (key, cell). Work per task is
+              bounded by the rows of one cell, however hot the key and however
+              narrow a burst; without a hot key it is the ``window`` form.
 ``broadcast`` right side turned into validity intervals ``[t, next t)`` and
               broadcast; a map-side range probe, no shuffle of the left side.
               Only used when the right side's size is checked small; beyond the
               bound the time-split form runs instead, also when asked for by name.
 ``auto``      the same check: broadcast within the bound, otherwise bucketed.
+
+Each side is read once by the join itself. Left rows that skip the join and rows with an
+unset key go through the same scan and shuffle under a spread partition key.
 """
 
 from __future__ import annotations
@@ -31,9 +35,13 @@ from pyspark.sql.types import ArrayType, BinaryType, DataType, DecimalType, Stri
 
 from schedlens import schemas as S
 from schedlens.functions import clamped_period
+from schedlens.session import cut
 
 BROADCAST_MAX_BYTES_CONF = "schedlens.asof.broadcastMaxBytes"
 DEFAULT_BROADCAST_MAX_BYTES = 64 << 20
+CELL_ROWS_CONF = "schedlens.asof.cellRows"
+DEFAULT_CELL_ROWS = 500_000
+MAX_SPLITTERS = 1 << 20
 
 Merge = Callable[[Column], dict]
 
@@ -47,6 +55,11 @@ def broadcast_max_bytes(spark) -> int:
     return int(v) if v else DEFAULT_BROADCAST_MAX_BYTES
 
 
+def cell_rows_of(spark) -> int:
+    v = spark.conf.get(CELL_ROWS_CONF, None)
+    return int(v) if v else DEFAULT_CELL_ROWS
+
+
 class RightStats:
     """Size facts of the right side, from one small aggregate over it."""
 
@@ -113,6 +126,7 @@ def asof_join(
     period: int = S.TIME_PERIOD,
     max_time: int | None = None,
     broadcast_bytes: int | None = None,
+    cell_rows: int | None = None,
     right_payload: Sequence[str] | None = None,
 ) -> DataFrame:
     """Left as-of join with struct merge.
@@ -122,6 +136,8 @@ def asof_join(
     columns are replaced, new names are added. Rows without a match keep their
     left values (new columns are NULL). Rows where ``passthrough`` holds skip the
     join entirely. ``right_payload`` limits the right columns carried in ``r``.
+    ``cell_rows`` is about the number of rows of a hot key that one task sorts. ``period``
+    and ``max_time`` are accepted from callers that cut by the clock; cells follow the data.
     """
     if direction not in ("backward", "forward"):
         raise ValueError(f"direction must be backward or forward, not {direction!r}")
@@ -144,18 +160,20 @@ def asof_join(
         stats = right_stats(R, kn)
         strategy = choose_strategy(stats, broadcast_max_bytes(left.sparkSession) if broadcast_bytes is None else broadcast_bytes)
 
-    pt = F.coalesce(passthrough, F.lit(False)) if passthrough is not None else None
+    pt = F.coalesce(passthrough, F.lit(False)) if passthrough is not None else F.lit(False)
+    unset = F.lit(False)
+    for n in kn:
+        unset = unset | F.col(n).isNull()
+    L = L.withColumn("__free", pt | unset)
 
     if strategy == "broadcast":
-        matched = _broadcast(L, R, kn, direction, pt, stats)
+        matched = _broadcast(L, R, kn, direction, stats)
+    elif strategy == "window":
+        matched = _window(L, R, kn, direction)
+    elif strategy == "bucketed":
+        matched = _bucketed(L, R, kn, direction, cell_rows or cell_rows_of(left.sparkSession))
     else:
-        L_join = L.where(~pt) if pt is not None else L
-        if strategy == "window":
-            matched = _window(L_join, R, kn, direction)
-        elif strategy == "bucketed":
-            matched = _bucketed(L_join, R, kn, direction, period, max_time)
-        else:
-            raise ValueError(f"unknown strategy {strategy!r}")
+        raise ValueError(f"unknown strategy {strategy!r}")
 
     m = F.col("__m")
     updates = merge(m)
@@ -168,10 +186,7 @@ def asof_join(
     for c, e in updates.items():
         if c not in out_cols:
             exprs.append(F.when(m.isNotNull(), e).alias(c))
-    result = matched.select(*exprs)
-    if pt is not None and strategy != "broadcast":
-        result = result.unionByName(left.where(pt), allowMissingColumns=True)
-    return result
+    return matched.select(*exprs)
 
 
 def _order(direction: str) -> list[Column]:
@@ -185,44 +200,88 @@ def _union(L: DataFrame, R: DataFrame) -> DataFrame:
         R.withColumn("__side", F.lit(0)), allowMissingColumns=True)
 
 
-def _window(L: DataFrame, R: DataFrame, kn: list[str], direction: str) -> DataFrame:
-    w = (Window.partitionBy(*kn).orderBy(*_order(direction))
+def _windowed(U: DataFrame, by: list[str], direction: str) -> DataFrame:
+    w = (Window.partitionBy(*by).orderBy(*_order(direction))
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return (_union(L, R)
-            .withColumn("__m", F.last("__r", ignorenulls=True).over(w))
+    return (U.withColumn("__ml", F.last("__r", ignorenulls=True).over(w))
             .where(F.col("__side") == 1))
 
 
-def _bucketed(L: DataFrame, R: DataFrame, kn: list[str], direction: str,
-              period: int, max_time: int | None) -> DataFrame:
-    L = L.withColumn("__p", clamped_period("__t", period, max_time))
-    R = R.withColumn("__p", clamped_period("__t", period, max_time))
-    # 1. matches inside the same (key, period)
-    w_local = (Window.partitionBy(*kn, "__p").orderBy(*_order(direction))
-               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    local = (_union(L, R)
-             .withColumn("__ml", F.last("__r", ignorenulls=True).over(w_local))
-             .where(F.col("__side") == 1))
-    # 2. carry-in: the extreme right row of each (key, period), propagated to the
-    #    (key, period) cells of the left side that lie strictly later (earlier
-    #    for forward). At most one row per (key, period) on either side.
+def _spread(loose: Column) -> Column:
+    """A spread partition key for left rows that need no right row in their window, NULL for
+    the others. A retried task gives the same value, identical rows of different input
+    partitions do not meet."""
+    return F.when(loose, F.xxhash64(F.spark_partition_id(), F.col("__t")))
+
+
+def _window(L: DataFrame, R: DataFrame, kn: list[str], direction: str) -> DataFrame:
+    U = _union(L, R).withColumn("__z", _spread(F.coalesce(F.col("__free"), F.lit(False))))
+    return _windowed(U, [*kn, "__z"], direction).withColumn("__m", F.col("__ml"))
+
+
+def find_splits(L: DataFrame, R: DataFrame, kn: list[str], cell_rows: int) -> DataFrame | None:
+    """(keys, sorted splitter times) of the keys that have more than about one cell of rows.
+
+    One narrow pass: every row of either side is drawn with probability ``1 / cell_rows``, so
+    a key of n rows gets about ``n / cell_rows`` splitters at the quantiles of its own times,
+    and keys drawn less than twice stay whole. The drawn times are stored, so a rerun sees
+    the same splitters; any splitters give the same answer. Beyond ``MAX_SPLITTERS`` every
+    f-th is kept (cells grow by f), which bounds the broadcast. ``None`` without a hot key."""
+    times = L.where(~F.col("__free")).select(*kn, "__t").unionByName(R.select(*kn, "__t"))
+    drawn = times.where(F.col("__t").isNotNull() & (F.rand(7) < 1.0 / cell_rows))
+    hot = cut(drawn.groupBy(*kn).agg(F.count(F.lit(1)).alias("__n"), F.sort_array(F.collect_set("__t")).alias("__s"))
+              .where("__n > 1").drop("__n"), "asof-splits")
+    total = hot.agg(F.sum(F.size("__s"))).first()[0]
+    if not total:
+        return None
+    step = -(-total // MAX_SPLITTERS)
+    return hot.withColumn("__s", F.filter("__s", lambda x, i: i % step == 0)) if step > 1 else hot
+
+
+def _cell(s: Column, t: Column) -> Column:
+    """Number of a time among sorted splitters: ``2 i`` between the splitters i - 1 and i,
+    ``2 i + 1`` at splitter i; 0 without splitters. Binary search."""
+    def halve(a, _):
+        mid = F.floor((a["lo"] + a["hi"]) / 2).cast("int")
+        below = (a["lo"] < a["hi"]) & (F.get(s, mid) < t)
+        return F.struct(F.when(below, mid + 1).otherwise(a["lo"]).alias("lo"),
+                        F.when((a["lo"] < a["hi"]) & ~below, mid).otherwise(a["hi"]).alias("hi"))
+
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.size(s) + 1)).cast("int"))
+    found = F.aggregate(steps, F.struct(F.lit(0).alias("lo"), F.size(s).alias("hi")), halve, lambda a: a["lo"])
+    place = F.element_at(F.transform(F.array(found), lambda i: i * 2 + F.coalesce((F.get(s, i) == t).cast("int"), F.lit(0))), 1)
+    return F.when(s.isNull() | t.isNull(), 0).otherwise(place)
+
+
+def _bucketed(L: DataFrame, R: DataFrame, kn: list[str], direction: str, cell_rows: int) -> DataFrame:
+    """Time split at the data's own quantiles. Keys within a cell's size take one window, one
+    shuffle and no carry. Of a hot key each interval between splitters is a cell of its own and
+    so is each splitter instant; the rows that cells hand on are kept per (key, cell). At one
+    instant all left rows have the same answer, which is the carry itself: they are spread
+    freely, and the right rows there pre-aggregate, so a burst at one time divides as well."""
+    splits = find_splits(L, R, kn, cell_rows)
+    if splits is None:
+        return _window(L, R, kn, direction)
+
+    def celled(df: DataFrame, how: str) -> DataFrame:
+        return df.join(F.broadcast(splits), kn, how).withColumn("__c", _cell(F.col("__s"), F.col("__t"))).drop("__s")
+
+    at = F.col("__c") % 2 == 1
+    U = celled(_union(L, R), "left").where((F.col("__side") == 1) | ~at)
+    U = U.withColumn("__z", _spread(F.coalesce(F.col("__free"), F.lit(False)) | at))
+    local = _windowed(U, [*kn, "__c", "__z"], direction)
     pick = F.max_by if direction == "backward" else F.min_by
-    r_last = R.groupBy(*kn, "__p").agg(pick("__r", F.struct("__t", "__o")).alias("__c"))
-    l_cells = L.select(*kn, "__p").distinct()
-    cells = l_cells.withColumn("__side", F.lit(1)).unionByName(
-        r_last.withColumn("__side", F.lit(0)), allowMissingColumns=True)
-    p_order = F.col("__p").asc() if direction == "backward" else F.col("__p").desc()
-    w_carry = (Window.partitionBy(*kn).orderBy(p_order, F.col("__side").desc())
-               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    carry = (cells.withColumn("__carry", F.last("__c", ignorenulls=True).over(w_carry))
-             .where(F.col("__side") == 1)
-             .select(*kn, "__p", "__carry"))
-    return (local.join(carry, on=[*kn, "__p"], how="left")
-            .withColumn("__m", F.coalesce("__ml", "__carry")))
-
-
-def _broadcast(L: DataFrame, R: DataFrame, kn: list[str], direction: str,
-               pt: Column | None, stats: RightStats) -> DataFrame:
+    handed = celled(R, "inner").groupBy(*kn, "__c").agg(pick("__r", F.struct("__t", "__o")).alias("__own"))
+    cells = splits.select(*kn, F.explode(F.sequence(F.lit(0), F.size("__s") * 2)).alias("__c"))
+    order = F.col("__c").asc() if direction == "backward" else F.col("__c").desc()
+    before = Window.partitionBy(*kn).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    carry = cells.join(handed, [*kn, "__c"], "left").withColumn("__before", F.last("__own", ignorenulls=True).over(before))
+    carry = carry.select(*kn, "__c", F.when(at, F.coalesce("__own", "__before")).otherwise(F.col("__before")).alias("__carry"))
+    return (local.join(carry.where("__carry IS NOT NULL"), [*kn, "__c"], "left")
+            .withColumn("__m", F.when(~F.col("__free"), F.coalesce("__ml", "__carry"))))
+
+
+def _broadcast(L: DataFrame, R: DataFrame, kn: list[str], direction: str, stats: RightStats) -> DataFrame:
     """Map-side range probe against validity intervals of the right side.
 
     A key with many right rows (a hot machine) would make each probe scan all of
@@ -243,7 +302,7 @@ def _broadcast(L: DataFrame, R: DataFrame, kn: list[str], direction: str,
     t, rt, rb = F.col("__t"), F.col("__rt"), F.col("__rb")
     keys_eq = [F.col(k) == F.col(r) for k, r in zip(kn, rn)]
     inside = [t >= rt, t < rb] if direction == "backward" else [t <= rt, t > rb]
-    extra = [~pt] if pt is not None else []
+    extra = [~F.col("__free")]
 
     period = stats.probe_period()
     # periods are clamped to the right side's finite time range on both sides,
