@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,17 +31,16 @@ def job_bands() -> dict[str, Column]:
     }
 
 
-def band(job_utils: DataFrame, name: str) -> DataFrame:
-    return job_utils.where(job_bands()[name])
+def band_names() -> Column:
+    """array<string>: the bands a job belongs to."""
+    return F.filter(F.array(*[F.when(c, F.lit(n)) for n, c in job_bands().items()]), lambda x: x.isNotNull())
 
 
 def job_band_membership(job_utils: DataFrame) -> DataFrame:
     """Long ``(band, job_id, duration, num_tasks)``: one row per job and band it
     belongs to (one scan, no per-band pass)."""
-    bands = job_bands()
-    arr = F.filter(F.array(*[F.when(c, F.lit(n)) for n, c in bands.items()]), lambda x: x.isNotNull())
     return job_utils.select(
-        F.explode(arr).alias("band"),
+        F.explode(band_names()).alias("band"),
         F.col("job_info.id").alias("job_id"),
         (F.col("end_time") - F.col("start_time")).alias("duration"),
         F.col("num_tasks"),
@@ -106,8 +107,8 @@ def flat_export(df: DataFrame, columns: list[tuple[str, Column]]) -> DataFrame:
     return df.select(*[c.alias(n) for n, c in columns])
 
 
-def job_features(job_utils: DataFrame, with_job_id: bool = True) -> DataFrame:
-    """The flat per-job feature table (3 string + 176 numeric columns).
+def job_features(job_utils: DataFrame, with_job_id: bool = True, extra: Sequence[tuple[str, Column]] = ()) -> DataFrame:
+    """The flat per-job feature table (3 string + 176 numeric columns), ``extra`` behind it.
 
     After ``mark_job_utilization`` the totals of missing records and events
     come from its aggregate columns (every task of the job), otherwise from
@@ -123,4 +124,19 @@ def job_features(job_utils: DataFrame, with_job_id: bool = True) -> DataFrame:
     # Extra, correctly oriented flag next to the exported one.
     cols.append(("requires_different_machines",
                  F.coalesce(F.get(F.col("task_samples"), 0).getField("different_machines"), F.lit(False))))
-    return flat_export(job_utils, cols)
+    return flat_export(job_utils, [*cols, *extra])
+
+
+def write_band_features(job_utils: DataFrame, out_dir: str) -> dict[str, str]:
+    """The feature table of each duration band: one scan, the rows expanded to their bands and
+    one write partitioned by band. Returns the folder of each band; a band without jobs gets an
+    empty file of the same columns."""
+    out = out_dir.rstrip("/")
+    rows = job_features(job_utils, extra=[("__bands", band_names())])
+    rows = rows.withColumn("band", F.explode("__bands")).drop("__bands")
+    rows.write.mode("overwrite").partitionBy("band").parquet(out)
+    written = {r.band for r in job_utils.sparkSession.read.schema("band string").parquet(out).select("band").distinct().collect()}  # at most seven
+    paths = {n: f"{out}/band={n}" for n in job_bands()}
+    for n in paths.keys() - written:
+        rows.drop("band").limit(0).write.mode("overwrite").parquet(paths[n])
+    return paths

@@ -172,15 +172,8 @@ def run_summaries(spark: SparkSession, tasks_path: str, usage_path: str, out_dir
 
 def export_jobs(spark: SparkSession, job_utils: DataFrame, task_events: DataFrame, out_dir: str) -> dict[str, str]:
     """Mark job summaries with their task samples and write the feature table
-    for each of the seven duration bands (Parquet, distributed)."""
-    marked = cut(tasks.mark_job_utilization(job_utils, task_events), "marked-jobs")  # one pass over the events
-    out = out_dir.rstrip("/")
-    paths = {}
-    for name, cond in export.job_bands().items():
-        p = f"{out}/{name}_job_utils"
-        export.job_features(marked.where(cond)).write.mode("overwrite").parquet(p)
-        paths[name] = p
-    return paths
+    for each of the seven duration bands (Parquet, one distributed write)."""
+    return export.write_band_features(tasks.mark_job_utilization(job_utils, task_events), out_dir)
 
 
 def export_machine_configs(machine_events: DataFrame, path: str) -> str:

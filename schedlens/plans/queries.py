@@ -899,18 +899,17 @@ def q_summaries_pipeline(spark, sf):
         "usage_by_machine": ("start_time", "end_time"), "usage_by_machine_daily": ("start_time", "end_time")})
 
 
-@register("job_band_exports", chain_sql("ju", "\nUNION ALL ".join(
-    f"SELECT '{b}' AS band, job_id, CAST(num_tasks AS DOUBLE) AS num_tasks, "
-    f"CAST(end_time - start_time AS DOUBLE) AS duration FROM ju WHERE {c}"
-    for b, c in SQL_BANDS.items())))
+@register("job_band_exports", chain_sql("ju", f"SELECT f.*, band FROM ({_features_sql()}) f JOIN (VALUES "
+    + ", ".join(f"('{b}')" for b in SQL_BANDS) + ") names(band) ON CASE band "
+    + " ".join(f"WHEN '{b}' THEN {c}" for b, c in SQL_BANDS.items()) + " END"))
 def q_job_band_exports(spark, sf):
-    """The seven band files of the feature table, written and read back."""
+    """Every feature column of the seven band files, written and read back."""
     st = stages(spark, sf)
     paths = pipelines.export_jobs(spark, st.job_utils, st.tasks_with_jobs_and_machines,
                                   scratch_path(spark, "bands"))
     out = None
     for band, p in paths.items():
-        x = spark.read.parquet(p).select(F.lit(band).alias("band"), "job_id", "num_tasks", "duration")
+        x = spark.read.parquet(p).withColumn("band", F.lit(band))
         out = x if out is None else out.unionByName(x)
     return out
 

@@ -10,12 +10,15 @@ Long.MAX_VALUE.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from schedlens import schemas as S
 from schedlens.functions import typed_struct
+from schedlens.session import cut
 
 TRACE_GLOB = "*?????-of-?????.csv*"
 
@@ -28,14 +31,45 @@ REQUIRED = {
     "job_event": (0, 2, 3),
     "machine_event": (0, 1, 2),
 }
-# Big tables are de-duplicated on the raw line while being redistributed.
+# Big tables are de-duplicated on the raw line.
 DEDUPE_DEFAULT = {"task_usage": True, "task_event": True, "job_event": False, "machine_event": False}
 
 
+# Rows of two longs that are broadcast: 1 << 21 take 32 MB.
+DUPLICATE_BROADCAST_ROWS = 1 << 21
+
+
 def raw_schema(kind: str) -> StructType:
     return StructType([StructField(f"c{i}", StringType(), True) for i in range(RAW_WIDTH[kind])])
 
 
+def _fingerprint(line: Column) -> list[Column]:
+    """128 bits of a line, as two differently seeded hashes."""
+    return [F.xxhash64(line), F.xxhash64(F.lit(1), line)]
+
+
+def distinct_lines(lines: DataFrame, fingerprint: Callable[[Column], list[Column]] = _fingerprint,
+                   broadcast_rows: int = DUPLICATE_BROADCAST_ROWS) -> DataFrame:
+    """Each distinct ``value`` once. Only fingerprints are shuffled for all lines; whole lines
+    only where a fingerprint occurs more than once, and there the lines themselves are compared,
+    so two lines that share a fingerprint both stay. The repeated fingerprints are stored and,
+    up to ``broadcast_rows`` of them, broadcast to tell the lines apart; beyond, most of the
+    input repeats and whole lines are shuffled."""
+    marks = [c.alias(f"__f{i}") for i, c in enumerate(fingerprint(F.col("value")))]
+    names = [f"__f{i}" for i in range(len(marks))]
+    counted = lines.select(*marks).groupBy(*names).agg(F.count(F.lit(1)).alias("__n"))
+    repeated = cut(counted.where("__n > 1").select(*names), "repeated-lines")
+    n = repeated.count()
+    if n == 0:
+        return lines.select("value")
+    if n > broadcast_rows:
+        return lines.select("value").dropDuplicates()
+    marked = lines.select("value", *marks)
+    single = marked.join(F.broadcast(repeated), names, "left_anti").select("value")
+    several = marked.join(F.broadcast(repeated), names, "left_semi").select("value")
+    return single.unionByName(several.dropDuplicates())
+
+
 def read_raw(spark: SparkSession, in_dir: str, kind: str, pattern: str = TRACE_GLOB,
              dedupe: bool | None = None) -> DataFrame:
     """Raw string columns ``c0..cN`` of one table; each distinct line once when
@@ -43,7 +77,7 @@ def read_raw(spark: SparkSession, in_dir: str, kind: str, pattern: str = TRACE_G
     so lines that differ only past the last known column both stay."""
     lines = spark.read.text(f"{in_dir.rstrip('/')}/{pattern}").select("value")
     if dedupe if dedupe is not None else DEDUPE_DEFAULT[kind]:
-        lines = lines.dropDuplicates()
+        lines = distinct_lines(lines)
     width = RAW_WIDTH[kind]
     rows = lines.select(F.split("value", ",", -1).alias("f"))
     # checks are filters, which column pruning does not remove

@@ -78,3 +78,21 @@ def test_a_cluster_needs_a_shared_folder():
 
     assert _is_local("local") and _is_local("local[8]")
     assert not _is_local("local-cluster[3,2,1000]") and not _is_local("yarn")
+
+
+def test_distinct_lines_shuffle_whole_lines_only_where_fingerprints_repeat(spark):
+    from pyspark.sql import functions as F
+
+    lines = [f"{i},{'x' * 300}" for i in range(500)] + ["7," + "x" * 300] * 400 + ["", "", "a,b"]
+    df = spark.createDataFrame([(x,) for x in lines], "value string").repartition(6)
+    want = sorted(set(lines))
+    assert sorted(r.value for r in ingest.distinct_lines(df).collect()) == want
+    # forced collisions: lines of equal length share a fingerprint, and all of them do
+    for fingerprint in (lambda c: [F.length(c)], lambda c: [F.lit(0)]):
+        assert sorted(r.value for r in ingest.distinct_lines(df, fingerprint).collect()) == want
+    # more repeated fingerprints than may be broadcast
+    assert sorted(r.value for r in ingest.distinct_lines(df, broadcast_rows=1).collect()) == want
+    single = df.dropDuplicates()
+    plan = ingest.distinct_lines(single.where("value <> ''"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
+    assert ingest.distinct_lines(df.limit(0)).collect() == []
