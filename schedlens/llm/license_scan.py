@@ -1,16 +1,21 @@
 """License scan: sparse TF-IDF cosine to templates, then inheritance along paths.
 
 Only DataFrame and SQL functions run. Terms are runs of a-z and 0-9 after lower-casing.
-Document frequencies of the template terms are counted over all files; a term no template
-has counts as one no file has. Every file is cut into sentences (at line ends and after
-. ; ! ?), long ones into overlapping windows; each sentence, and the whole of a short
-file, is a sparse vector of term count times inverse document frequency. Its cosine to
-every template decides; at ``THRESHOLD`` or more it is that license's notice, the best
-template (of equal ones the first by name) wins.
+The document frequency of every term is counted over all files. Every file is cut into
+sentences (at line ends and after . ; ! ?). For each template a sentence gives windows of
+the template's number of terms: at every term that the template has, and the last one; a
+sentence that is not longer is one window. A window, and the whole of a file of any length,
+is a sparse vector of term count times inverse document frequency, and its cosine to the
+template decides; at ``THRESHOLD`` or more it is that license's notice, the best template
+(of equal ones the first by name) wins.
 
 Sentences without an *anchor* are skipped without loss: anchors are chosen, from the
 weights, so that the other terms of any template carry too little of its norm for a
-cosine of ``THRESHOLD`` (Cauchy-Schwarz).
+cosine of ``THRESHOLD`` (Cauchy-Schwarz). A template is tried on a sentence only if the
+terms they share carry enough of its norm, and a window is kept only if its cosine could
+reach the threshold with every term outside the templates at the least possible weight, 1.
+Only what is kept has those terms joined to their frequencies: distinct terms first, then
+salted.
 
 A file that is nothing but a notice, or is named like a license file, speaks for its
 directory. A file without a notice of its own inherits from the nearest ancestor
@@ -19,7 +24,9 @@ ancestors and joined by path; files then join their directory, salted, because o
 directory may hold a third of all files.
 
 Defined results: null or empty texts have no notice but may inherit; a null path is the
-root directory. Null ids and repeated rows pass through. No files, no rows.
+root directory; long texts are read whole. Null ids and repeated rows pass through, one row
+each; of equal cosines the first name wins. Other columns, whatever their names, are not
+read. No files, no rows.
 """
 
 from __future__ import annotations
@@ -33,7 +40,6 @@ from pyspark.sql import functions as F
 from schedlens.llm.common import stage, table
 
 THRESHOLD = 0.6
-WINDOW, STEP = 40, 20
 SALTS = 32
 FILE_NAMES = r"(?i)^(?:licen[cs]e|copying|unlicense|notice)(?:[.-].*)?$"
 
@@ -77,16 +83,17 @@ class Weights:
 
     def __init__(self, files: int, df: dict[str, int], templates: dict[str, list[str]] = TEMPLATES, threshold: float = THRESHOLD):
         rows = sorted((name, terms_of(t)) for name, ts in templates.items() for t in ts)
-        vocabulary = sorted({t for _, ts in rows for t in ts})
-        self.idf = {t: math.log((1 + files) / (1 + df.get(t, 0))) + 1 for t in vocabulary}
-        self.unknown = math.log(1 + files) + 1
+        self.vocabulary = sorted({t for _, ts in rows for t in ts})
+        self.files = files
+        self.idf = {t: math.log((1 + files) / (1 + df.get(t, 0))) + 1 for t in self.vocabulary}
         self.templates = []
+        self.sizes = [len(ts) for _, ts in rows]
         for name, ts in rows:
             v = {t: ts.count(t) * self.idf[t] for t in ts}
             norm = math.sqrt(sum(x * x for x in v.values()))
             self.templates.append((name, {t: x / norm for t, x in v.items()}))
         self.anchors: list[str] = []
-        for t in sorted(vocabulary, key=lambda t: (-self.idf[t], t)):
+        for t in sorted(self.vocabulary, key=lambda t: (-self.idf[t], t)):
             if all(self._rest(v) < threshold for _, v in self.templates):
                 break
             # only terms of templates that are still open
@@ -97,85 +104,103 @@ class Weights:
         """Norm of a unit template without the anchors."""
         return math.sqrt(sum(x * x for t, x in v.items() if t not in self.anchors)) + 1e-9
 
+    def literal(self) -> Column:
+        """The templates as one constant array; ``at`` is a term's place in the vocabulary."""
+        return F.array(*[F.struct(F.lit(name).alias("license"), F.lit(n).alias("n"), F.array(*[F.struct(
+            F.lit(self.vocabulary.index(t)).alias("at"), F.lit(t).alias("term"), F.lit(x).alias("w"), F.lit(x * self.idf[t]).alias("part"))
+            for t, x in sorted(v.items())]).alias("terms")) for (name, v), n in zip(self.templates, self.sizes)])
 
-def document_frequencies(files: DataFrame, templates: dict[str, list[str]] = TEMPLATES) -> tuple[int, dict[str, int]]:
-    """Files, and files with each template term, over whole texts."""
-    vocabulary = sorted({t for ts in templates.values() for x in ts for t in terms_of(x)})
-    have = F.array_intersect(F.array(*map(F.lit, vocabulary)), _terms(F.col("text")))
-    found = files.select(F.explode(have).alias("t")).groupBy("t").agg(F.count("*").alias("n"))
-    return files.count(), {r.t: r.n for r in found.collect()}  # at most the template terms
 
+def document_frequencies(files: DataFrame) -> DataFrame:
+    """(term, n): the files that hold each term, over whole texts; counted before the shuffle."""
+    return files.select(F.explode(F.array_distinct(_terms(F.col("text")))).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
 
-def _cosines(terms: Column, w: Weights) -> Column:
-    """array<struct<cosine, license>> of one segment's terms, for every template."""
-    def lookup(values: dict[str, float]) -> Column:
-        return F.create_map(*[F.lit(x) for t, v in sorted(values.items()) for x in (t, v)])
 
-    idf = lookup(w.idf)
-    none = F.struct(F.lit(0.0).alias("total"), F.lit("").alias("last"), F.lit(0).alias("run"))
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
-    def weight(a):
-        x = a["run"] * F.coalesce(F.try_element_at(idf, a["last"]), F.lit(w.unknown))
-        return a["total"] + x * x
 
-    def count(a, t):
-        same = t == a["last"]
-        return F.struct(F.when(same, a["total"]).otherwise(weight(a)).alias("total"), t.alias("last"),
-                        F.when(same, a["run"] + 1).otherwise(1).alias("run"))
+def _known(terms: Column, w: Weights) -> Column:
+    return F.filter(terms, lambda t: t.isin(w.vocabulary))
 
-    # equal terms are neighbours once sorted: one pass
-    square = F.aggregate(F.array_sort(terms), none, count, weight)
 
-    def all_of(norm):
-        def cosine(name, v):
-            part = lookup({t: x * w.idf[t] for t, x in v.items()})
-            dot = F.aggregate(terms, F.lit(0.0), lambda s, t: s + F.coalesce(F.try_element_at(part, t), F.lit(0.0)))
-            return F.struct(F.when(norm > 0, F.round(dot / norm, 9)).otherwise(0.0).alias("cosine"), F.lit(name).alias("license"))
+def _scored(terms: Column, w: Weights, templates: Column) -> Column:
+    """array<struct<license, dot, square>>: the templates whose cosine to the terms can reach the
+    threshold. ``square`` is the norm's share of the template vocabulary; the other terms weigh
+    at least 1 each."""
+    idf = F.array(*[F.lit(w.idf[t]) for t in w.vocabulary])
 
-        return F.array(*[cosine(n, v) for n, v in w.templates])
+    def of_counts(counts):
+        square = F.aggregate(F.zip_with(counts, idf, lambda c, x: c * x * c * x), F.lit(0.0), lambda a, x: a + x)
+        least = F.size(terms) - F.aggregate(counts, F.lit(0), lambda a, x: a + x)
 
-    return _let(F.sqrt(square), all_of)
+        def of_square(sq):
+            dots = F.transform(templates, lambda t: F.struct(t["license"].alias("license"), F.aggregate(
+                t["terms"], F.lit(0.0), lambda a, x: a + F.get(counts, x["at"]) * x["part"]).alias("dot"), sq.alias("square")))
+            return F.filter(dots, lambda d: (d["dot"] > 0) & (d["dot"] >= (THRESHOLD - 1e-6) * F.sqrt(sq + least)))
 
+        return _let(square, of_square)
 
-def _let(value: Column, use) -> Column:
-    """``use(value)`` with ``value`` computed once."""
-    return F.element_at(F.transform(F.array(value), use), 1)
+    counts = _let(_known(terms, w), lambda k: F.transform(F.array(*map(F.lit, w.vocabulary)), lambda v: F.size(F.filter(k, lambda x: x == v))))
+    return _let(counts, of_counts)
 
 
-def _segments(text: Column, w: Weights) -> Column:
-    """Terms of every sentence or window that holds an anchor."""
+def _sentences(text: Column, w: Weights) -> Column:
+    """Terms of every sentence that holds an anchor."""
     anchors = F.array(*map(F.lit, w.anchors))
-    pieces = F.filter(F.transform(F.split(text, r"\n|(?<=[.;!?])\s"), _terms), lambda t: F.arrays_overlap(t, anchors))
+    return F.filter(F.transform(F.split(text, r"\n|(?<=[.;!?])\s"), _terms), lambda t: F.arrays_overlap(t, anchors))
+
 
-    def windows(t):
-        last = F.greatest(F.lit(0), F.ceil((F.size(t) - WINDOW) / F.lit(STEP)).cast("int"))
-        return F.when(F.size(t) <= WINDOW, F.array(t)).otherwise(
-            F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(t, i * STEP + 1, WINDOW)))
+def _open_templates(terms: Column, w: Weights) -> Column:
+    """Templates of whose norm the shared terms carry enough."""
+    def shared(known):
+        return F.filter(w.literal(), lambda t: F.aggregate(t["terms"], F.lit(0.0), lambda a, x: a + F.when(
+            F.array_contains(known, x["term"]), x["w"] * x["w"]).otherwise(0.0)) >= THRESHOLD * THRESHOLD - 1e-6)
 
-    return F.filter(F.flatten(F.transform(pieces, windows)), lambda t: F.arrays_overlap(t, anchors))
+    return _let(F.array_distinct(_known(terms, w)), shared)
 
 
-def _best(scores: Column) -> Column:
-    """Highest cosine, then the first name; null below the threshold."""
-    top = F.aggregate(scores, F.struct(F.lit(0.0).alias("cosine"), F.lit("~").alias("license")), lambda a, x: F.when(
-        (x["cosine"] > a["cosine"]) | (x["cosine"] == a["cosine"]) & (x["license"] < a["license"]), x).otherwise(a))
-    return _let(top, lambda x: F.when(x["cosine"] >= THRESHOLD, x))
+def _starts(terms: Column, template: Column) -> Column:
+    last = F.greatest(F.size(terms) - template["n"], F.lit(0)) + 1
+    names = F.transform(template["terms"], lambda x: x["term"])
+    return F.filter(F.sequence(F.lit(1), last), lambda i: (i == last) | F.array_contains(names, F.element_at(terms, i)))
 
 
-def own_notices(files: DataFrame, w: Weights) -> DataFrame:
-    """(doc_id, path, dir, own, whole): best notice of a file and of its whole text."""
+def own_notices(files: DataFrame, frequencies: DataFrame, w: Weights) -> DataFrame:
+    """(doc_id, path, dir, n_notices, own, named, whole): best notice of a file's sentences and
+    of its whole text, as struct<cosine, license>; n_notices sentences hold one."""
     some = F.rlike(F.lower("text"), F.lit("(?:^|[^a-z0-9])(?:" + "|".join(w.anchors) + ")(?:[^a-z0-9]|$)"))
-    none = F.array().cast("array<array<string>>")
-    out = files.select("doc_id", "path", "text", some.alias("some"))
-    out = out.select("doc_id", "path", F.when(F.col("some"), _segments(F.col("text"), w)).otherwise(none).alias("segments"),
-                     F.when(F.col("some"), F.length("text")).otherwise(0).alias("size"),
-                     F.when(F.col("some") & (F.length("text") <= 4000), _terms(F.col("text"))).otherwise(F.array().cast("array<string>")).alias("terms"))
-    out = out.select("doc_id", "path", F.transform("segments", lambda t: _best(_cosines(t, w))).alias("found"),
-                     _best(_cosines(F.col("terms"), w)).alias("whole"))
-    clean = F.filter("found", lambda x: x.isNotNull())
-    return out.select("doc_id", "path", F.regexp_replace(F.regexp_extract("path", r"^(.*)/[^/]*$", 1), "/+$", "").alias("dir"),
-                      F.size(clean).alias("n_notices"), _best(clean).alias("own"),
-                      F.coalesce(F.rlike(F.regexp_extract("path", "([^/]*)$", 1), F.lit(FILE_NAMES)), F.lit(False)).alias("named"), "whole")
+    rows = stage(files.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "path", F.when(some, F.col("text")).alias("text")), "license-files")
+    texts = rows.filter("text is not null")
+    pieces = texts.select("rid", F.posexplode(_sentences(F.col("text"), w)).alias("piece", "ts"))
+    tried = pieces.select("rid", "piece", "ts", F.explode(_open_templates(F.col("ts"), w)).alias("t"))
+    windows = tried.select("rid", "piece", "t", F.explode(F.transform(
+        _starts(F.col("ts"), F.col("t")), lambda i: F.slice("ts", i, F.col("t.n")))).alias("ts"))
+    windows = windows.select("rid", "piece", "ts", F.explode(_scored(F.col("ts"), w, F.array("t"))).alias("c"))
+    wholes = texts.select("rid", F.lit(-1).alias("piece"), _terms(F.col("text")).alias("ts"))
+    wholes = wholes.select("rid", "piece", "ts", F.explode(_scored(F.col("ts"), w, w.literal())).alias("c"))
+    kept = windows.unionByName(wholes).select(F.monotonically_increasing_id().alias("cid"), "rid", "piece", "c.*",
+                                              F.filter("ts", lambda t: ~t.isin(w.vocabulary)).alias("others"))
+    kept = stage(kept, "license-candidates")
+    others = kept.select("cid", F.explode("others").alias("term")).groupBy("cid", "term").agg(F.count("*").alias("tf"))
+    needed = others.select("term").distinct().join(frequencies, "term").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    weight = F.col("tf") * (F.log((1 + w.files) / (1 + F.col("n"))) + 1)
+    extra = (others.withColumn("salt", F.pmod("cid", F.lit(SALTS)).cast("int")).join(needed, ["term", "salt"])
+             .groupBy("cid").agg(F.sum(weight * weight).alias("extra")))
+    cosine = F.round(F.col("dot") / F.sqrt(F.col("square") + F.coalesce("extra", F.lit(0.0))), 9)
+    hits = kept.join(extra, "cid", "left").select("rid", "piece", F.struct((-cosine).alias("c"), "license").alias("hit")).filter(F.col("hit.c") <= -THRESHOLD)
+    hits = hits.groupBy("rid", "piece").agg(F.min("hit").alias("hit")).groupBy("rid").agg(
+        F.count_if(F.col("piece") >= 0).cast("int").alias("n"), F.min(F.when(F.col("piece") >= 0, F.col("hit"))).alias("own"),
+        F.min(F.when(F.col("piece") < 0, F.col("hit"))).alias("whole"))
+
+    def note(c):
+        return F.when(F.col(c).isNotNull(), F.struct((-F.col(f"{c}.c")).alias("cosine"), F.col(f"{c}.license").alias("license"))).alias(c)
+
+    return rows.drop("text").join(hits, "rid", "left").select(
+        "doc_id", "path", F.regexp_replace(F.regexp_extract("path", r"^(.*)/[^/]*$", 1), "/+$", "").alias("dir"),
+        F.coalesce("n", F.lit(0)).alias("n_notices"), note("own"),
+        F.coalesce(F.rlike(F.regexp_extract("path", "([^/]*)$", 1), F.lit(FILE_NAMES)), F.lit(False)).alias("named"), note("whole"))
 
 
 def _ancestors(path: Column) -> Column:
@@ -190,8 +215,10 @@ def scan(files: DataFrame, id_col: str = "doc_id", path_col: str = "path", text_
     n_notices and method (header, inherited or none); from_dir says where it came from."""
     rows = files.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{path_col}`"), F.lit("")).alias("path"),
                         F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-    n, df = document_frequencies(rows)
-    notes = stage(own_notices(rows, Weights(n, df)), "license-notices")
+    frequencies = stage(document_frequencies(rows), "license-terms")
+    known = sorted({t for ts in TEMPLATES.values() for x in ts for t in terms_of(x)})
+    df = {r.term: r.n for r in frequencies.filter(F.col("term").isin(known)).collect()}  # at most the template terms
+    notes = stage(own_notices(rows, frequencies, Weights(rows.count(), df)), "license-notices")
     speaks = notes.select("dir", F.when(F.col("named"), F.coalesce("own", "whole")).otherwise(F.col("whole")).alias("note")).filter("note is not null")
     # the best notice of a directory; of equal ones the first name
     per_dir = (speaks.groupBy("dir", "note").agg(F.count("*").alias("n")).groupBy("dir")
@@ -226,7 +253,7 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _oracle() -> str:
-    """The scan of the documents in SQL: every sentence is scored, without anchors."""
+    """The scan of the documents in SQL: every window is scored, without anchors or bounds."""
     def q(text):
         return "'" + text.replace("'", "''") + "'"
 
@@ -239,23 +266,24 @@ paths AS (SELECT doc_id, path, text, regexp_extract(path, '^(.*)/[^/]*$', 1) AS
 n AS (SELECT count(*) AS n FROM files),
 template(t, license, body) AS (VALUES {rows}),
 words AS (SELECT t, term, count(*) AS tf FROM (SELECT t, unnest({terms.format("body")}) AS term FROM template) GROUP BY t, term),
-known AS (SELECT term, ln((1 + (SELECT n FROM n)) / (1 + count(doc_id))) + 1 AS idf
-  FROM (SELECT DISTINCT term FROM words) LEFT JOIN (SELECT doc_id, unnest(list_distinct({terms.format("text")})) AS term FROM files) USING (term) GROUP BY term),
+df AS (SELECT term, count(*) AS n FROM (SELECT unnest(list_distinct({terms.format("text")})) AS term FROM files) GROUP BY term),
+known AS (SELECT term, ln((1 + (SELECT n FROM n)) / (1 + coalesce(df.n, 0))) + 1 AS idf FROM (SELECT DISTINCT term FROM words) LEFT JOIN df USING (term)),
 vectors AS (SELECT t, term, idf, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY t)) AS w FROM words JOIN known USING (term)),
+lists AS (SELECT t, list(term) AS names, CAST(sum(tf) AS BIGINT) AS m FROM words GROUP BY t),
 pieces AS (SELECT doc_id, unnest(string_split(regexp_replace(text, '([.;!?])[ \t\n\x0B\f\r]', '\1' || chr(10), 'g'), chr(10))) AS piece FROM files),
-parts AS (SELECT doc_id, {terms.format("piece")} AS ts FROM pieces),
-cuts AS (SELECT doc_id, ts[i * {STEP} + 1 : CASE WHEN len(ts) <= {WINDOW} THEN len(ts) ELSE i * {STEP} + {WINDOW} END] AS ts
-  FROM (SELECT doc_id, ts, unnest(range(CAST(1 + greatest(0, ceil((len(ts) - {WINDOW}) / {STEP}.0)) AS BIGINT))) AS i FROM parts)),
-segments AS (SELECT row_number() OVER () AS s, doc_id, FALSE AS whole, ts FROM cuts WHERE len(ts) > 0
-  UNION ALL SELECT -1 - row_number() OVER (), doc_id, TRUE, {terms.format("text")} FROM files WHERE length(text) <= 4000),
-counts AS (SELECT s, term, count(*) AS tf FROM (SELECT s, unnest(ts) AS term FROM segments) GROUP BY s, term),
-weighed AS (SELECT s, term, tf, coalesce(idf, ln(1 + (SELECT n FROM n)) + 1) AS idf FROM counts LEFT JOIN known USING (term)),
+parts AS (SELECT row_number() OVER () AS p, doc_id, {terms.format("piece")} AS ts FROM pieces),
+cuts AS (SELECT p, doc_id, t, ts[i : i + m - 1] AS ts FROM (SELECT p, doc_id, t, m, names, ts, greatest(len(ts) - m, 0) + 1 AS last,
+  unnest(range(1, greatest(len(ts) - m, 0) + 2)) AS i FROM parts, lists WHERE list_has_any(ts, names)) WHERE i = last OR list_contains(names, ts[i])),
+segments AS (SELECT row_number() OVER () AS s, p, doc_id, FALSE AS whole, t AS only, ts FROM cuts
+  UNION ALL SELECT -1 - row_number() OVER (), NULL, doc_id, TRUE, NULL, {terms.format("text")} FROM files),
+counts AS (SELECT s, only, term, count(*) AS tf FROM (SELECT s, only, unnest(ts) AS term FROM segments) GROUP BY s, only, term),
+weighed AS (SELECT s, only, term, tf, ln((1 + (SELECT n FROM n)) / (1 + df.n)) + 1 AS idf FROM counts JOIN df USING (term)),
 norms AS (SELECT s, sqrt(sum(tf * idf * tf * idf)) AS norm FROM weighed GROUP BY s),
-dots AS (SELECT s, t, sum(tf * weighed.idf * w) AS dot FROM weighed JOIN vectors USING (term) GROUP BY s, t),
+dots AS (SELECT s, t, sum(tf * weighed.idf * w) AS dot FROM weighed JOIN vectors USING (term) WHERE only IS NULL OR only = t GROUP BY s, t),
 hits AS (SELECT s, min((-round(dot / norm, 9), license)) AS hit FROM dots JOIN norms USING (s) JOIN template USING (t)
   WHERE round(dot / norm, 9) >= {THRESHOLD} GROUP BY s),
-found AS (SELECT doc_id, whole, hit FROM segments JOIN hits USING (s)),
-own AS (SELECT doc_id, min(hit) AS hit, count(*) AS n_notices FROM found WHERE NOT whole GROUP BY doc_id),
+found AS (SELECT doc_id, whole, p, hit FROM segments JOIN hits USING (s)),
+own AS (SELECT doc_id, min(hit) AS hit, count(DISTINCT p) AS n_notices FROM found WHERE NOT whole GROUP BY doc_id),
 per_dir AS (SELECT dir, min(hit) AS hit FROM found JOIN paths USING (doc_id) WHERE whole GROUP BY dir),
 above AS (SELECT dir, d AS depth, array_to_string(string_split(dir, '/')[1:d], '/') AS above
   FROM (SELECT DISTINCT dir, unnest(range(len(string_split(dir, '/')) + 1)) AS d FROM paths)),
