@@ -274,12 +274,12 @@ pieces AS (SELECT doc_id, unnest(string_split(regexp_replace(text, '([.;!?])[ \t
 parts AS (SELECT row_number() OVER () AS p, doc_id, {terms.format("piece")} AS ts FROM pieces),
 cuts AS (SELECT p, doc_id, t, ts[i : i + m - 1] AS ts FROM (SELECT p, doc_id, t, m, names, ts, greatest(len(ts) - m, 0) + 1 AS last,
   unnest(range(1, greatest(len(ts) - m, 0) + 2)) AS i FROM parts, lists WHERE list_has_any(ts, names)) WHERE i = last OR list_contains(names, ts[i])),
-segments AS (SELECT row_number() OVER () AS s, p, doc_id, FALSE AS whole, t AS only, ts FROM cuts
+segments AS (SELECT row_number() OVER () AS s, p, doc_id, FALSE AS whole, t AS mine, ts FROM cuts
   UNION ALL SELECT -1 - row_number() OVER (), NULL, doc_id, TRUE, NULL, {terms.format("text")} FROM files),
-counts AS (SELECT s, only, term, count(*) AS tf FROM (SELECT s, only, unnest(ts) AS term FROM segments) GROUP BY s, only, term),
-weighed AS (SELECT s, only, term, tf, ln((1 + (SELECT n FROM n)) / (1 + df.n)) + 1 AS idf FROM counts JOIN df USING (term)),
+counts AS (SELECT s, mine, term, count(*) AS tf FROM (SELECT s, mine, unnest(ts) AS term FROM segments) GROUP BY s, mine, term),
+weighed AS (SELECT s, mine, term, tf, ln((1 + (SELECT n FROM n)) / (1 + df.n)) + 1 AS idf FROM counts JOIN df USING (term)),
 norms AS (SELECT s, sqrt(sum(tf * idf * tf * idf)) AS norm FROM weighed GROUP BY s),
-dots AS (SELECT s, t, sum(tf * weighed.idf * w) AS dot FROM weighed JOIN vectors USING (term) WHERE only IS NULL OR only = t GROUP BY s, t),
+dots AS (SELECT s, t, sum(tf * weighed.idf * w) AS dot FROM weighed JOIN vectors USING (term) WHERE mine IS NULL OR mine = t GROUP BY s, t),
 hits AS (SELECT s, min((-round(dot / norm, 9), license)) AS hit FROM dots JOIN norms USING (s) JOIN template USING (t)
   WHERE round(dot / norm, 9) >= {THRESHOLD} GROUP BY s),
 found AS (SELECT doc_id, whole, p, hit FROM segments JOIN hits USING (s)),
