@@ -9,8 +9,10 @@ along its cycle until it falls below the number of sequences, is a permutation o
 The sequences are stored once, in compressed blocks that carry their scan partition and
 their position in it; one count per partition goes to the driver and makes the global
 numbering. Then one shuffle, by range of slots: range r of ``shard_slots`` slots goes
-to task r, is sorted by slot and written as one file, part r. A record is 32 bytes of
-header (slot, first document, ids used, documents that occur in it), the ids as
+to task r, is sorted by slot and written as one file, part r, in the folder of its group
+of ``group_shards`` shards. A reader names the folders and files of a range of slots by
+patterns made from the numbers alone: no list of shards is kept or made, and only the
+files of the range are opened. A record is 32 bytes of header (slot, first document, ids used, documents that occur in it), the ids as
 little-endian integers, and one newline, so slot s is at byte
 ``(s % shard_slots) * stride`` of shard ``s // shard_slots`` and a reader resumes anywhere.
 Records travel compressed; the files hold them as they are.
@@ -19,7 +21,9 @@ Files are written by Spark's own committed writer to the shared folder; all posi
 come from stored rows, so a recomputed task writes the same bytes.
 
 Defined results: a null or empty text is one end id. A null id is written as the
-smallest long. Repeated rows are written like any others. No documents, no shards.
+smallest long. Repeated rows are written like any others. No documents, no shards. A long
+text runs through as many sequences as it needs. Further columns, whatever their names, are
+not read.
 """
 
 from __future__ import annotations
@@ -39,6 +43,8 @@ from schedlens.session import scratch_path
 
 SEQ_LEN = 4096
 SHARD_SLOTS = 2048
+#: Shards in a folder; folder numbers start here, so that all have the same number of digits.
+GROUP_SHARDS, GROUP_BASE = 256, 10**8
 KEY = 0x5DEECE66D
 ROUNDS = 6
 #: Ids that are cut into sequences at a time, and sequences in a stored block.
@@ -192,12 +198,15 @@ def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     unpack = zstandard.ZstdDecompressor().decompress
     for batch in batches:
         for i in range(0, batch.num_rows, 256):
-            yield pa.RecordBatch.from_arrays([pa.array([unpack(x.as_py()) for x in batch.column("record")[i:i + 256]], pa.binary())], ["record"])
+            some = batch.slice(i, 256)
+            yield pa.RecordBatch.from_arrays([some.column("shard"), some.column("slot"),
+                                              pa.array([unpack(x.as_py()) for x in some.column("record")], pa.binary())], ["shard", "slot", "record"])
 
 
 def write_shards(docs: DataFrame, folder: str, path: str | None = None, seq_len: int = SEQ_LEN,
-                 shard_slots: int = SHARD_SLOTS, key: int = KEY, id_col: str = "doc_id", text_col: str = "text") -> dict:
-    """Writes the shards as ``folder``/part-<shard>-* and returns their layout."""
+                 shard_slots: int = SHARD_SLOTS, key: int = KEY, id_col: str = "doc_id", text_col: str = "text",
+                 group_shards: int = GROUP_SHARDS) -> dict:
+    """Writes the shards as ``folder``/group=<group>/part-<shard>-* and returns their layout."""
     spark, path = docs.sparkSession, path or model_path()
     _, dtype, end = tokenizer(path)
     blocks = stage(texts(docs, id_col, text_col).mapInArrow(_blocks(path, seq_len), "part int, first long, n int, data binary"), "sequences")
@@ -206,14 +215,15 @@ def write_shards(docs: DataFrame, folder: str, path: str | None = None, seq_len:
         starts[r.part] = total
         total += r.n
     layout = {"sequences": total, "seq_len": seq_len, "shard_slots": shard_slots, "stride": stride(seq_len, dtype),
-              "dtype": dtype.str, "end": end, "key": key, "folder": folder}
+              "dtype": dtype.str, "end": end, "key": key, "folder": folder, "group_shards": group_shards}
     if total:
         place = _place(spark.sparkContext.broadcast(starts), Feistel(total, key), stride(seq_len, dtype) - 1, shard_slots)
         (blocks.mapInArrow(place, "shard int, slot long, record binary")
-         .repartitionById(-(-total // shard_slots), "shard").sortWithinPartitions("slot").select("record")
-         .mapInArrow(_unpacked, "record binary")
-         .select(F.col("record").cast("string").alias("value"))  # bytes as they are; the writer ends each with a newline
-         .write.option("lineSep", "\n").option("maxRecordsPerFile", 0).text(folder))
+         .repartitionById(-(-total // shard_slots), "shard").mapInArrow(_unpacked, "shard int, slot long, record binary")
+         .withColumn("group", (GROUP_BASE + F.floor(F.col("shard") / group_shards)).cast("int"))
+         .sortWithinPartitions("group", "slot")  # one shard; the writer asks for the order by group and keeps this one
+         .select("group", F.col("record").cast("string").alias("value"))  # bytes as they are; the writer ends each with a newline
+         .write.partitionBy("group").option("lineSep", "\n").option("maxRecordsPerFile", 0).text(folder))
     return layout
 
 
@@ -222,18 +232,54 @@ READ = pa.schema([("slot", pa.int64()), ("shard", pa.int32()), ("byte_offset", p
 READ_DDL = "slot long, shard int, byte_offset long, first_doc_id long, n_docs int, n_tokens int, ids_sha256 string, ids binary"
 
 
+def number_patterns(first: int, last: int) -> list[str]:
+    """Glob patterns of the numbers first..last, all of the same number of digits: one for
+    each decimal block in the range, so a few per digit."""
+    out = []
+    while first <= last:
+        k = 0
+        while first % 10 ** (k + 1) == 0 and first + 10 ** (k + 1) - 1 <= last:
+            k += 1
+        out.append(str(first)[:len(str(first)) - k] + "?" * k)
+        first += 10**k
+    return out
+
+
+def shard_patterns(layout: dict, first: int, last: int) -> list[str]:
+    """Patterns of the files of shards first..last: whole groups by the numbers of their
+    folders, the shards of a group that is only partly wanted by name."""
+    folder, size = layout["folder"].rstrip("/"), layout["group_shards"]
+    end = -(-layout["sequences"] // layout["shard_slots"])
+
+    def part(lo: int, hi: int) -> str:  # of one group
+        return f"{folder}/group={GROUP_BASE + lo // size}/part-{{{','.join(f'{s:05d}' for s in range(lo, hi + 1))}}}-*"
+
+    low, high = first // size, last // size
+    whole_low, whole_high = first % size == 0, last % size == size - 1 or last == end - 1
+    out = []
+    if low == high and not (whole_low and whole_high):
+        return [part(first, last)]
+    if not whole_low:
+        out.append(part(first, (low + 1) * size - 1))
+        low += 1
+    if not whole_high:
+        out.append(part(high * size, last))
+        high -= 1
+    return out + [f"{folder}/group={p}" for p in number_patterns(GROUP_BASE + low, GROUP_BASE + high)]
+
+
 def read_shards(spark: SparkSession, layout: dict, first_slot: int = 0, last_slot: int | None = None,
                 with_ids: bool = True) -> DataFrame:
     """Sequences of a range of slots (the last excluded), read from the shards that
-    hold them at fixed offsets; ``ids`` are the raw little-endian integers."""
+    hold them at fixed offsets; ``ids`` are the raw little-endian integers. Files outside the
+    range are not opened; of its first and last shard only the records in the range are decoded."""
     ship_package(spark)
     last = layout["sequences"] if last_slot is None else min(last_slot, layout["sequences"])
     if first_slot >= last:
         return spark.createDataFrame([], READ_DDL if with_ids else READ_DDL.rsplit(",", 1)[0])
     size, per, step = layout["stride"], layout["shard_slots"], np.dtype(layout["dtype"]).itemsize
     schema = READ if with_ids else READ.remove(len(READ) - 1)
-    wanted = range(first_slot // per, (last - 1) // per + 1)
-    files = [f for f in spark.read.format("binaryFile").load(layout["folder"]).inputFiles() if _shard(f) in wanted]
+    files = shard_patterns(layout, first_slot // per, (last - 1) // per)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

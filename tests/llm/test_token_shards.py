@@ -1,3 +1,4 @@
+import fnmatch
 import hashlib
 
 import numpy as np
@@ -63,6 +64,40 @@ def test_first_document_of_each_sequence(spark):
         assert (r.first_doc_id, r.n_docs) == (mine[0], len(set(mine)))
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.integers(0, 5000), st.integers(0, 5000))
+def test_patterns_name_the_range_and_nothing_else(a, b):
+    a, b = 10**4 + min(a, b), 10**4 + max(a, b)
+    patterns = T.number_patterns(a, b)
+    named = [n for n in range(10**4, 10**4 + 5001) if any(fnmatch.fnmatchcase(str(n), p) for p in patterns)]
+    assert named == list(range(a, b + 1)) and len(patterns) <= 90
+
+
+def test_ranges_open_only_their_own_shards(spark):
+    df = docs(spark, [(i, "word " * (i % 7 * 30)) for i in range(200)]).coalesce(2)
+    layout = T.write_shards(df, scratch_path(spark, "shards"), seq_len=50, shard_slots=8, group_shards=4)
+    n = layout["sequences"]
+    shards = -(-n // 8)
+    assert shards > 30
+    whole = {r.slot: r.ids_sha256 for r in T.read_shards(spark, layout).collect()}
+    assert sorted(whole) == list(range(n))
+    for first, last in ((0, 1), (5, 9), (33, 64), (37, 8 * 17 + 3), (8 * 4, 8 * 12), (n - 9, n), (8 * 13, n), (7, 10**9)):
+        want = range(first, min(last, n))
+        files = spark.read.format("binaryFile").load(T.shard_patterns(layout, first // 8, (want[-1]) // 8)).select("path")
+        assert sorted(T._shard(r.path) for r in files.collect()) == list(range(first // 8, want[-1] // 8 + 1))
+        assert {r.slot: r.ids_sha256 for r in T.read_shards(spark, layout, first, last).collect()} == {s: whole[s] for s in want}
+
+
+def test_one_file_a_shard_in_the_order_of_slots(spark):
+    df = docs(spark, [(i, "word " * (i % 7 * 30)) for i in range(200)]).coalesce(2)
+    layout = T.write_shards(df, scratch_path(spark, "shards"), seq_len=50, shard_slots=8, group_shards=4)
+    for r in spark.read.format("binaryFile").load(layout["folder"]).select("path", "content").collect():
+        shard, step = T._shard(r.path), layout["stride"]
+        assert f"group={T.GROUP_BASE + shard // 4}/" in r.path
+        slots = [int(np.frombuffer(r.content[i:i + step - 1], T.HEADER, 1)[0]["slot"]) for i in range(0, len(r.content), step)]
+        assert slots == list(range(shard * 8, min(shard * 8 + 8, layout["sequences"])))
+
+
 def test_empty(spark):
     layout = T.write_shards(docs(spark, []), scratch_path(spark, "shards"))
     assert layout["sequences"] == 0 and T.read_shards(spark, layout).collect() == []
