@@ -63,9 +63,12 @@ def series_lines(series: DataFrame, measure: str) -> DataFrame:
 
 
 def write_priority_series(series: DataFrame, out_dir: str, mode: str = "overwrite") -> dict[str, str]:
-    paths = {}
-    for m, name in SERIES_FILES.items():
-        path = f"{out_dir.rstrip('/')}/{name}"
+    paths = series_paths(out_dir)
+    for m, path in paths.items():
         series_lines(series, m).write.mode(mode).text(path)
-        paths[m] = path
     return paths
+
+
+def series_paths(out_dir: str) -> dict[str, str]:
+    """The folder of each measure's text series."""
+    return {m: f"{out_dir.rstrip('/')}/{name}" for m, name in SERIES_FILES.items()}

@@ -9,9 +9,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from schedlens.functions.digest import content_digest
 from schedlens.operators import enrich, export, machine, series, tasks, utilization
 from schedlens.session import apply_scale_settings, cut
-from schedlens.sources import ingest, store
+from schedlens.sources import ingest, manifest, store
 
 
 class TraceStages:
@@ -92,81 +93,107 @@ def usage_with_avg(usage: DataFrame, task_events: DataFrame, task_utils: DataFra
     return enrich.attach_summaries(deaths, task_utils, job_utils)
 
 
+def _stored(spark: SparkSession, kind: str, path: str, build, stage: str, inputs: list[str], resume: bool) -> tuple[DataFrame, str]:
+    """Write a stage's table and read it back. With ``resume`` a finished table that was made
+    from the same inputs is kept, and its digest is returned for the stages after it."""
+    if not resume:
+        store.write_table(build(), kind, path)
+        return store.read_table(spark, kind, path), ""
+    source = manifest.made_from(stage, *inputs)
+    digest = manifest.digest_of(spark, path, source)
+    if digest is None:
+        manifest.start(spark, path, source)
+        store.write_table(build(), kind, path)
+        digest = manifest.finish(spark, path, source, store.read_table(spark, kind, path))
+    return store.read_table(spark, kind, path), digest
+
+
 def import_trace(spark: SparkSession, raw_dirs: dict[str, str], out_dir: str,
-                 pattern: str = ingest.TRACE_GLOB, input_bytes: int | None = None) -> dict[str, str]:
+                 pattern: str = ingest.TRACE_GLOB, input_bytes: int | None = None, resume: bool = False) -> dict[str, str]:
     """Read the four raw tables, store them, then store each enriched stage.
 
     ``raw_dirs`` maps ``task_event``, ``task_usage``, ``job_event``,
     ``machine_event`` to CSV folders; ``input_bytes`` sizes the session's shuffles
-    for them. Returns the written paths.
+    for them. With ``resume`` every stage leaves a manifest (one more scan of its table),
+    and a rerun makes only the stages that are unfinished or whose inputs changed.
+    Returns the written paths.
     """
     if input_bytes:
         apply_scale_settings(spark, input_bytes)
     out = out_dir.rstrip("/")
     paths: dict[str, str] = {}
-    kinds = {"task_event": "tasks", "task_usage": "usage", "job_event": "jobs", "machine_event": "machines"}
-    raw: dict[str, DataFrame] = {}
-    for kind, name in kinds.items():
-        p = f"{out}/{name}"
-        store.write_table(ingest.read_trace(spark, raw_dirs[kind], kind, pattern), kind, p)
-        raw[kind] = store.read_table(spark, kind, p)
-        paths[name] = p
-
-    marked = tasks.mark_tasks(raw["task_event"])
-    p = f"{out}/tasks_marked"
-    store.write_table(marked, "task_event", p)
-    marked = store.read_table(spark, "task_event", p)
-    paths["tasks_marked"] = p
-
-    p = f"{out}/tasks_with_jobs"
-    store.write_table(enrich.insert_job_in_task(marked, raw["job_event"]), "task_event", p)
-    paths["tasks_with_jobs"] = p
-
-    p = f"{out}/tasks_with_jobs_and_machines"
-    store.write_table(enrich.insert_machine_in_task(store.read_table(spark, "task_event", paths["tasks_with_jobs"]),
-                                                    raw["machine_event"]), "task_event", p)
-    paths["tasks_with_jobs_and_machines"] = p
-
-    p = f"{out}/usage_with_machines"
-    store.write_table(enrich.insert_machine_in_usage(raw["task_usage"], raw["machine_event"]), "task_usage", p)
-    paths["usage_with_machines"] = p
-
-    p = f"{out}/usage_with_jobs_and_machines"
-    store.write_table(enrich.insert_task_in_usage(
-        store.read_table(spark, "task_usage", paths["usage_with_machines"]),
-        store.read_table(spark, "task_event", paths["tasks_with_jobs_and_machines"])), "task_usage", p)
-    paths["usage_with_jobs_and_machines"] = p
+    tables: dict[str, DataFrame] = {}
+    digests: dict[str, str] = {}
+
+    def stage(name: str, kind: str, inputs: list[str], build) -> None:
+        paths[name] = f"{out}/{name}"
+        tables[name], digests[name] = _stored(spark, kind, paths[name], build, name, inputs, resume)
+
+    for kind, name in (("task_event", "tasks"), ("task_usage", "usage"), ("job_event", "jobs"), ("machine_event", "machines")):
+        files = [manifest.files_digest(spark, raw_dirs[kind], pattern)] if resume else []
+        stage(name, kind, files, lambda: ingest.read_trace(spark, raw_dirs[kind], kind, pattern))
+    for name, kind, left, right, build in (
+            ("tasks_marked", "task_event", "tasks", None, tasks.mark_tasks),
+            ("tasks_with_jobs", "task_event", "tasks_marked", "jobs", enrich.insert_job_in_task),
+            ("tasks_with_jobs_and_machines", "task_event", "tasks_with_jobs", "machines", enrich.insert_machine_in_task),
+            ("usage_with_machines", "task_usage", "usage", "machines", enrich.insert_machine_in_usage),
+            ("usage_with_jobs_and_machines", "task_usage", "usage_with_machines", "tasks_with_jobs_and_machines",
+             enrich.insert_task_in_usage)):
+        names = [n for n in (left, right) if n]
+        stage(name, kind, [digests[n] for n in names], lambda: build(*[tables[n] for n in names]))
     return paths
 
 
 def run_summaries(spark: SparkSession, tasks_path: str, usage_path: str, out_dir: str,
-                  input_bytes: int | None = None) -> dict[str, str]:
+                  input_bytes: int | None = None, resume: bool = False) -> dict[str, str]:
     """Compute and store the summaries plus the four priority series.
 
     Task and job summaries and the joined usage are written once and read back
     by every later stage (machine tables, series). ``input_bytes`` sizes the
-    session's shuffles for the stored usage."""
+    session's shuffles for the stored usage. ``resume`` as in :func:`import_trace`: inputs
+    without a manifest are digested first."""
     if input_bytes:
         apply_scale_settings(spark, input_bytes)
     out = out_dir.rstrip("/")
     ev = store.read_table(spark, "task_event", tasks_path)
     usage = store.read_table(spark, "task_usage", usage_path)
-    paths = {}
-    task_utils = utilization.task_utilizations(usage)
-    paths["task_utils"] = store.write_table(task_utils, "task_utilization", f"{out}/task_utils")
-    task_utils = store.read_table(spark, "task_utilization", paths["task_utils"])
-    job_utils = utilization.job_utilizations(task_utils)
-    paths["job_utils"] = store.write_table(job_utils, "job_utilization", f"{out}/job_utils_with_tasks")
-    job_utils = store.read_table(spark, "job_utilization", paths["job_utils"])
-    uwa = usage_with_avg(usage, ev, task_utils, job_utils)
-    paths["usage_with_avg"] = store.write_table(uwa, "task_usage_with_avg", f"{out}/task_usage_w_avg")
-    uwa = store.read_table(spark, "task_usage_with_avg", paths["usage_with_avg"])
-    cells = cut(machine.machine_task_cells(uwa), "machine-cells")  # one pass over usage for both machine tables
+    paths: dict[str, str] = {}
+
+    def known(path: str, df: DataFrame) -> str:
+        return (manifest.digest_of(spark, path) or content_digest(df).first().digest) if resume else ""
+
+    def stage(name: str, kind: str, folder: str, inputs: list[str], build) -> tuple[DataFrame, str]:
+        paths[name] = f"{out}/{folder}"
+        return _stored(spark, kind, paths[name], build, name, inputs, resume)
+
+    d_ev, d_usage = known(tasks_path, ev), known(usage_path, usage)
+    task_utils, d_tu = stage("task_utils", "task_utilization", "task_utils", [d_usage],
+                             lambda: utilization.task_utilizations(usage))
+    job_utils, d_ju = stage("job_utils", "job_utilization", "job_utils_with_tasks", [d_tu],
+                            lambda: utilization.job_utilizations(task_utils))
+    uwa, d_uwa = stage("usage_with_avg", "task_usage_with_avg", "task_usage_w_avg", [d_usage, d_ev, d_tu, d_ju],
+                       lambda: usage_with_avg(usage, ev, task_utils, job_utils))
+    memo: list[DataFrame] = []
+
+    def cells() -> DataFrame:  # one pass over usage for both machine tables
+        if not memo:
+            memo.append(cut(machine.machine_task_cells(uwa), "machine-cells"))
+        return memo[0]
+
     for name, daily in (("usage_by_machine", False), ("usage_by_machine_daily", True)):
-        folder = f"{out}/usage_by_machine_w_avg" + ("_daily" if daily else "")
-        paths[name] = store.write_table(machine.usage_by_machine(cells, daily=daily), "usage_by_machine", folder)
+        stage(name, "usage_by_machine", "usage_by_machine_w_avg" + ("_daily" if daily else ""), [d_uwa],
+              lambda: machine.usage_by_machine(cells(), daily=daily))
     # one aggregation, read back by the four text files
-    paths.update(series.write_priority_series(cut(series.priority_series(uwa), "series"), out))
+    source, mark = manifest.made_from("series", d_uwa), f"{out}/series"
+    if not resume or manifest.digest_of(spark, mark, source) is None:
+        if resume:
+            manifest.start(spark, mark, source)
+        rows = cut(series.priority_series(uwa), "series")
+        paths.update(series.write_priority_series(rows, out))
+        if resume:
+            manifest.finish(spark, mark, source, rows)
+    else:
+        paths.update(series.series_paths(out))
     return paths
 
 

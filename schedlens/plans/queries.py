@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from schedlens import schemas as S
 from schedlens.functions import event_join_time
+from schedlens.functions.digest import content_digest
 from schedlens.operators import asof, enrich, export, machine, percentile, sample, series, tasks, utilization
 from schedlens.operators.keys import tie_columns
 from schedlens.plans import oracle as O
@@ -772,31 +773,40 @@ def _roundtrip(spark, sf, kind: str) -> DataFrame:
 @register("ingest_task_usage", O.with_views("""
 SELECT start_time, end_time, job_id, task_index, machine_id, cpus, memory, max_cpus, max_memory FROM ue"""))
 def q_ingest_task_usage(spark, sf):
-    u = _roundtrip(spark, sf, "task_usage")
+    return _task_usage_flat(_roundtrip(spark, sf, "task_usage"))
+
+
+def _task_usage_flat(u: DataFrame, *more) -> DataFrame:
     return u.select("start_time", "end_time", F.col("task_info.job.id").alias("job_id"),
                     F.col("task_info.task_index").alias("task_index"), F.col("machine_info.id").alias("machine_id"),
                     F.col("resources.cpus").alias("cpus"), F.col("resources.memory").alias("memory"),
-                    F.col("max_resources.cpus").alias("max_cpus"), F.col("max_resources.memory").alias("max_memory"))
+                    F.col("max_resources.cpus").alias("max_cpus"), F.col("max_resources.memory").alias("max_memory"), *more)
 
 
 @register("ingest_task_event", O.with_views("""
 SELECT time, missing_type, job_id, task_index, machine_id, type, scheduling_class, priority,
        req_cpus, req_memory, different_machines FROM te"""))
 def q_ingest_task_event(spark, sf):
-    t = _roundtrip(spark, sf, "task_event")
+    return _task_event_flat(_roundtrip(spark, sf, "task_event"))
+
+
+def _task_event_flat(t: DataFrame, *more) -> DataFrame:
     return t.select("time", "missing_type", F.col("info.job.id").alias("job_id"),
                     F.col("info.task_index").alias("task_index"), F.col("machine_info.id").alias("machine_id"),
                     "type", F.col("info.scheduling_class").alias("scheduling_class"),
                     F.col("info.priority").alias("priority"),
                     F.col("info.requested_resources.cpus").alias("req_cpus"),
                     F.col("info.requested_resources.memory").alias("req_memory"),
-                    F.col("info.different_machines").alias("different_machines"))
+                    F.col("info.different_machines").alias("different_machines"), *more)
 
 
 @register("ingest_job_event", O.with_views("""
 SELECT time, type, job_id, name, logical_name, "user", scheduling_class FROM je"""))
 def q_ingest_job_event(spark, sf):
-    j = _roundtrip(spark, sf, "job_event")
+    return _job_event_flat(_roundtrip(spark, sf, "job_event"))
+
+
+def _job_event_flat(j: DataFrame) -> DataFrame:
     return j.select("time", "type", F.col("info.id").alias("job_id"), F.col("info.name").alias("name"),
                     F.col("info.logical_name").alias("logical_name"), F.col("info.user").alias("user"),
                     F.col("info.scheduling_class").alias("scheduling_class"))
@@ -805,7 +815,10 @@ def q_ingest_job_event(spark, sf):
 @register("ingest_machine_event", O.with_views("""
 SELECT time, up, machine_id, platform_id, cap_cpus, cap_memory FROM me"""))
 def q_ingest_machine_event(spark, sf):
-    m = _roundtrip(spark, sf, "machine_event")
+    return _machine_event_flat(_roundtrip(spark, sf, "machine_event"))
+
+
+def _machine_event_flat(m: DataFrame) -> DataFrame:
     return m.select("time", "up", F.col("info.id").alias("machine_id"), F.col("info.platform_id").alias("platform_id"),
                     F.col("info.capacity.cpus").alias("cap_cpus"), F.col("info.capacity.memory").alias("cap_memory"))
 
@@ -822,44 +835,68 @@ def q_store_roundtrip(spark, sf):
                     F.col("resources.memory").alias("memory"))
 
 
-def _contents(spark, paths: dict[str, str], sums: dict[str, tuple[str, str]]) -> DataFrame:
-    """Per stored output its rows and two sums over its content; text outputs sum the
-    bucket and count the values of their lines."""
+def _contents(spark, paths: dict[str, str], sums: dict[str, tuple[str, str]], flat: dict[str, Callable[[DataFrame], DataFrame]]) -> DataFrame:
+    """Per stored output its rows, two sums over its content and the digest of its flat
+    columns; text outputs sum the bucket and count the values of their lines."""
     out = None
     for name, p in paths.items():
         if name in series.SERIES_FILES:
             word = F.split("value", " ")
-            x = spark.read.text(p).select(word[0].cast("bigint").alias("a"), F.size(word).cast("bigint").alias("b"))
+            x = spark.read.text(p).select("value", word[0].cast("bigint").alias("a"), F.size(word).cast("bigint").alias("b"))
             first, second = "a", "b"
         else:
             x, (first, second) = spark.read.parquet(p), sums[name]
+        digest = content_digest(flat[name](x)).select("digest")
         x = x.agg(F.count(F.lit(1)).alias("n_rows"), F.expr(f"sum({first})").cast("bigint").alias("sum_1"),
                   F.expr(f"sum({second})").cast("bigint").alias("sum_2")).select(F.lit(name).alias("output"), "n_rows", "sum_1", "sum_2")
+        x = x.withColumn("on", F.lit(1)).join(digest.withColumn("on", F.lit(1)), "on").drop("on")  # one row each
         out = x if out is None else out.unionByName(x)
     return out
 
 
-def _contents_sql(rows: list[tuple[str, str, str, str]]) -> str:
+def _contents_sql(rows: list[tuple[str, str, str, str, str]]) -> str:
+    def texts(cols: str) -> str:
+        return ", ".join(f"coalesce(length(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')" for c in cols.split("; "))
+
+    def half(begin: int) -> str:
+        return f"coalesce(CAST(sum(CAST('0x' || substr(row_md5, {begin}, 15) AS BIGINT)) AS VARCHAR), '0')"
+
     return "\nUNION ALL ".join(
-        f"SELECT '{name}' AS output, count(*) AS n_rows, CAST(sum({a}) AS BIGINT) AS sum_1, CAST(sum({b}) AS BIGINT) AS sum_2 FROM {src}"
-        for name, src, a, b in rows)
+        f"SELECT '{name}' AS output, count(*) AS n_rows, CAST(sum({a}) AS BIGINT) AS sum_1, CAST(sum({b}) AS BIGINT) AS sum_2, "
+        f"{half(1)} || '-' || {half(16)} AS digest FROM (SELECT *, md5(concat_ws(',', {texts(cols)})) AS row_md5 FROM {src})"
+        for name, src, a, b, cols in rows)
 
 
 def _set(c: str) -> str:
     return f"CASE WHEN {c} IS NULL THEN 0 ELSE 1 END"
 
 
+def _millionths(c: str) -> str:
+    return f"CAST(round({c} * 1000000) AS BIGINT)"
+
+
+_TE = ("time; missing_type; job_id; task_index; machine_id; type; scheduling_class; priority; "
+       "req_cpus; req_memory; different_machines")
+_UE = "start_time; end_time; job_id; task_index; machine_id; cpus; memory; max_cpus; max_memory"
+# marks that the order of equal times cannot change
+_MARKS = "; ".join(f"n{i}" for i in range(9)) + "; first_submit_time; first_schedule_time; last_deschedule_time; num_missing; num_events"
+_JOB_SET, _CAP_SET = _set("job_user"), _set("cap_cpus")
+
+
 @register("import_pipeline", chain_sql("uf", _contents_sql([
-    ("tasks", "te", "time", _set("req_memory")), ("usage", "ue", "start_time", _set("memory")),
-    ("jobs", "je", "time", _set("logical_name")), ("machines", "me", "time", "CASE WHEN up THEN 1 ELSE 0 END"),
-    ("tasks_marked", "mte", "num_events", "coalesce(first_submit_time, 0)"), ("tasks_with_jobs", "tj", "time", _set("job_user")),
-    ("tasks_with_jobs_and_machines", "tjm", "num_events", _set("cap_cpus")),
-    ("usage_with_machines", "um", "start_time", _set("cap_cpus")),
-    ("usage_with_jobs_and_machines", "uf", "end_time", "coalesce(num_events, 0)")])))
+    ("tasks", "te", "time", _set("req_memory"), _TE), ("usage", "ue", "start_time", _set("memory"), _UE),
+    ("jobs", "je", "time", _set("logical_name"), 'time; type; job_id; name; logical_name; "user"; scheduling_class'),
+    ("machines", "me", "time", "CASE WHEN up THEN 1 ELSE 0 END", "time; up; machine_id; platform_id; cap_cpus; cap_memory"),
+    ("tasks_marked", "mte", "num_events", "coalesce(first_submit_time, 0)", f"{_TE}; {_MARKS}"),
+    ("tasks_with_jobs", "tj", "time", _set("job_user"), f"{_TE}; {_MARKS}; {_JOB_SET}"),
+    ("tasks_with_jobs_and_machines", "tjm", "num_events", _set("cap_cpus"), f"{_TE}; {_MARKS}; {_JOB_SET}; {_CAP_SET}"),
+    ("usage_with_machines", "um", "start_time", _set("cap_cpus"), f"{_UE}; {_CAP_SET}"),
+    ("usage_with_jobs_and_machines", "uf", "end_time", "coalesce(num_events, 0)", f"{_UE}; {_CAP_SET}; {_MARKS}; {_JOB_SET}")])))
 def q_import_pipeline(spark, sf):
     """CSV (derived from the driver tables, without a tie column) -> import pipeline ->
-    rows and content sums per stored table. The sums are over values that equal times
-    cannot change: which rows found a match, and what marking counted."""
+    rows, content sums and digests per stored table: all columns of the imported tables; of
+    the joined ones all that the order of equal times cannot change (each row's own columns,
+    its marks, and whether it found a match)."""
     raw = {}
     for kind in ("task_event", "task_usage", "job_event", "machine_event"):
         p = scratch_path(spark, f"raw-{kind}")
@@ -867,6 +904,15 @@ def q_import_pipeline(spark, sf):
         raw[kind] = p
     paths = pipelines.import_trace(spark, raw, scratch_path(spark, "import"), pattern="part-*")
     capacity = "machine_info.capacity.cpus"
+
+    def marks(info: str) -> list[Column]:
+        return [F.get(F.col(f"{info}.num_events_by_type"), i).alias(f"n{i}") for i in range(9)] + [
+            F.col(f"{info}.{c}") for c in ("first_submit_time", "first_schedule_time", "last_deschedule_time", "num_missing", "num_events")]
+
+    def found(c: str, name: str) -> Column:
+        return F.col(c).isNotNull().cast("int").alias(name)
+
+    user, cap = found("info.job.user", "has_job"), found(capacity, "has_machine")
     return _contents(spark, paths, {
         "tasks": ("time", _set("info.requested_resources.memory")), "usage": ("start_time", _set("resources.memory")),
         "jobs": ("time", _set("info.logical_name")), "machines": ("time", "CASE WHEN up THEN 1 ELSE 0 END"),
@@ -874,19 +920,71 @@ def q_import_pipeline(spark, sf):
         "tasks_with_jobs": ("time", _set("info.job.user")),
         "tasks_with_jobs_and_machines": ("info.num_events", _set(capacity)),
         "usage_with_machines": ("start_time", _set(capacity)),
-        "usage_with_jobs_and_machines": ("end_time", "coalesce(task_info.num_events, 0)")})
+        "usage_with_jobs_and_machines": ("end_time", "coalesce(task_info.num_events, 0)")}, {
+        "tasks": _task_event_flat, "usage": _task_usage_flat, "jobs": _job_event_flat, "machines": _machine_event_flat,
+        "tasks_marked": lambda t: _task_event_flat(t, *marks("info")),
+        "tasks_with_jobs": lambda t: _task_event_flat(t, *marks("info"), user),
+        "tasks_with_jobs_and_machines": lambda t: _task_event_flat(t, *marks("info"), user, cap),
+        "usage_with_machines": lambda u: _task_usage_flat(u, cap),
+        "usage_with_jobs_and_machines": lambda u: _task_usage_flat(u, cap, *marks("task_info"), found("task_info.job.user", "has_job"))})
+
+
+_MEASURE_COLS = "; ".join(f"{a}_{i}" for a in ("ptu_cpus", "ptu_memory", "pmtu_cpus", "pmtu_memory") for i in range(6))
+_JOB_MEASURE_COLS = "; ".join(f"{a}_{u}_{p}" for u in range(6) for p in range(6) for a in ("ptu_cpus", "ptu_memory", "pmtu_cpus", "pmtu_memory"))
+_FINAL = "; final_event; first_submit_time; first_schedule_time; last_deschedule_time; num_missing; num_events"
+_TU = ("job_id; task_index; start_time; end_time; running_time; min_req_cpus; min_req_memory; max_req_cpus; max_req_memory; "
+       "priority; scheduling_class; different_machines; " + "; ".join(f"n{i}" for i in range(9)) + _FINAL
+       + "; job_name; job_logical_name; job_user; job_scheduling_class; " + _MEASURE_COLS)
+_JU = ("job_id; job_name; job_logical_name; job_user; job_scheduling_class; first_priority; first_different_machines; "
+       "first_num_missing; first_num_events; num_tasks; " + "; ".join([f"ntf{i}" for i in range(9)] + [f"nebt{i}" for i in range(9)])
+       + "; min_req_cpus; min_req_memory; max_req_cpus; max_req_memory; running_time; start_time; end_time; " + _JOB_MEASURE_COLS)
+_CUD = ("tie; job_id; task_index; machine_id; start_time; end_time; cpus; memory; max_cpus; max_memory; priority; platform_id; cap_cpus; "
+        "task_start_time; task_running_time; job_num_tasks; job_start_time; job_end_time; death_id; death_time; death_req_cpus; death_req_memory")
+_MACHINE = f"machine_id; bucket; start_time; end_time; num_components; {_millionths('cpus')}; {_millionths('memory')}; cap_cpus; platform_id"
+
+
+def _usage_with_avg_flat(u: DataFrame) -> DataFrame:
+    return u.select("tie", "usage.task_info.job.id", "usage.task_info.task_index", F.col("usage.machine_info.id").alias("machine_id"),
+                    "usage.start_time", "usage.end_time", F.col("usage.resources.cpus").alias("cpus"),
+                    F.col("usage.resources.memory").alias("memory"), F.col("usage.max_resources.cpus").alias("max_cpus"),
+                    F.col("usage.max_resources.memory").alias("max_memory"), "usage.task_info.priority",
+                    "usage.machine_info.platform_id", F.col("usage.machine_info.capacity.cpus").alias("cap_cpus"),
+                    F.col("task.start_time").alias("task_start_time"), "task.running_time", "job.num_tasks",
+                    F.col("job.start_time").alias("job_start_time"), F.col("job.end_time").alias("job_end_time"),
+                    "next_death_tie", F.col("next_death.time").alias("death_time"),
+                    F.col("next_death.info.requested_resources.cpus").alias("death_cpus"),
+                    F.col("next_death.info.requested_resources.memory").alias("death_memory"))
+
+
+def _machine_digest_flat(b: DataFrame) -> DataFrame:
+    f = _machine_flat(b, True)
+    return f.select("machine_id", "bucket", "start_time", "end_time", "num_components",
+                    F.expr(_millionths("cpus")).alias("cpus"), F.expr(_millionths("memory")).alias("memory"), "cap_cpus", "platform_id")
+
+
+def _series_text_flat(t: DataFrame) -> DataFrame:
+    word = F.split("value", " ")
+    return t.select(word[0].alias("bucket"), *[F.round(word[i + 1].cast("double") * 1000000).cast("bigint").alias(f"v{i}") for i in range(13)])
+
+
+_SERIES_TEXT_COLS = "bucket; " + "; ".join(_millionths(f"v{i}") for i in range(13))
+
+
+def _series_text_sql(measure: str) -> str:
+    values = ", ".join(f"coalesce(sum({measure}) FILTER (WHERE priority = {p}), 0) AS v{p + 1}" for p in range(-1, 12))
+    return f"(SELECT bucket, bucket AS a, {values} FROM ({SQL_PRIORITY_MEANS}) GROUP BY bucket)"
 
 
 @register("summaries_pipeline", chain_sql("cud", _contents_sql([
-    ("task_utils", "tu", "running_time", "start_time"), ("job_utils", "ju", "num_tasks", "end_time"),
-    ("usage_with_avg", "cud", "start_time", "end_time"),
-    ("usage_by_machine", "(SELECT min(start_time) AS a, max(end_time) AS b FROM cud GROUP BY machine_id, start_time // 300000000)", "a", "b"),
-    ("usage_by_machine_daily", "(SELECT min(start_time) AS a, max(end_time) AS b FROM cud "
-     "GROUP BY machine_id, (start_time % 86400000000) // 300000000)", "a", "b"),
-    *[(m, "(SELECT DISTINCT start_time // 300000000 AS a FROM cud)", "a", "14")
+    ("task_utils", "tu", "running_time", "start_time", _TU), ("job_utils", "ju", "num_tasks", "end_time", _JU),
+    ("usage_with_avg", "cud", "start_time", "end_time", _CUD),
+    ("usage_by_machine", f"({_machine_sql('cud', 'start_time // 300000000', True)})", "start_time", "end_time", _MACHINE),
+    ("usage_by_machine_daily", f"({_machine_sql('cud', '(start_time % 86400000000) // 300000000', True)})", "start_time", "end_time", _MACHINE),
+    *[(m, _series_text_sql(m), "a", "14", _SERIES_TEXT_COLS)
       for m in ("cpu_usage", "mem_usage", "cpu_reservation", "mem_reservation")]])))
 def q_summaries_pipeline(spark, sf):
-    """Stored enriched tables -> summaries pipeline -> rows and content sums per output."""
+    """Stored enriched tables -> summaries pipeline -> rows, content sums and the digest of
+    all columns per output (sums of doubles in millionths, as the SQL adds them in any order)."""
     st = stages(spark, sf)
     base = scratch_path(spark, "summ")
     tp, up = f"{base}/tasks", f"{base}/usage"
@@ -896,7 +994,10 @@ def q_summaries_pipeline(spark, sf):
     return _contents(spark, paths, {
         "task_utils": ("running_time", "start_time"), "job_utils": ("num_tasks", "end_time"),
         "usage_with_avg": ("usage.start_time", "usage.end_time"),
-        "usage_by_machine": ("start_time", "end_time"), "usage_by_machine_daily": ("start_time", "end_time")})
+        "usage_by_machine": ("start_time", "end_time"), "usage_by_machine_daily": ("start_time", "end_time")}, {
+        "task_utils": task_utils_flat, "job_utils": job_utils_flat, "usage_with_avg": _usage_with_avg_flat,
+        "usage_by_machine": _machine_digest_flat, "usage_by_machine_daily": _machine_digest_flat,
+        **dict.fromkeys(series.SERIES_FILES, _series_text_flat)})
 
 
 @register("job_band_exports", chain_sql("ju", f"SELECT f.*, band FROM ({_features_sql()}) f JOIN (VALUES "
