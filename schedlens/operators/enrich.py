@@ -6,7 +6,7 @@ field by field (a set field overwrites, an unset one keeps the old value).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from schedlens import schemas as S
@@ -19,6 +19,7 @@ from schedlens.functions import (
 )
 from schedlens.operators.asof import asof_join
 from schedlens.operators.keys import task_key_of_event, task_key_of_usage, tie_columns
+from schedlens.sources.store import TASK_KEYS
 
 
 def _payload(right: DataFrame, *cols: str) -> list[str]:
@@ -121,22 +122,36 @@ def attach_summaries(rows: DataFrame, task_utils: DataFrame | None = None,
                      job_utils: DataFrame | None = None) -> DataFrame:
     """Inner equi-joins of wrapped usage (column ``usage``) with its summaries. They
     widen every row, so joins that shuffle usage (next death) come before. An unset job
-    id or task index reads 0 on both sides."""
+    id or task index reads 0 on both sides.
+
+    Tables stored by task (columns ``job_key``, ``task_key``) are joined on these, so their
+    buckets meet without a shuffle; job summaries then join the task summaries, a row per
+    task, and not the usage."""
     cols = list(rows.columns)
-    out = rows.select("*", zero("usage.task_info.job.id", 0).alias("__job"), zero("usage.task_info.task_index", 0).alias("__idx"))
+    out = rows.select("*", *_task_key(rows, "usage.task_info"))
+    j = None if job_utils is None else job_utils.select(
+        zero("job_info.id", 0).alias("__job"), F.struct(*[F.col(c) for c in job_utils.columns]).alias("job"))
     if task_utils is not None:
-        t = task_utils.select(zero("info.job.id", 0).alias("__job"), zero("info.task_index", 0).alias("__idx"),
-                              F.struct(*[F.col(c) for c in task_utils.columns]).alias("task"))
+        t = task_utils.select(*_task_key(task_utils, "info"),
+                              F.struct(*[F.col(c) for c in task_utils.columns if c not in TASK_KEYS]).alias("task"))
+        if j is not None and TASK_KEYS[0] in rows.columns:
+            t, j = t.join(j, ["__job"], "inner"), None
+            cols += ["task", "job"]
+        else:
+            cols.append("task")
         out = out.join(t, ["__job", "__idx"], "inner")
-        cols.append("task")
-    if job_utils is not None:
-        j = job_utils.select(zero("job_info.id", 0).alias("__job"),
-                             F.struct(*[F.col(c) for c in job_utils.columns]).alias("job"))
+    if j is not None:
         out = out.join(j, ["__job"], "inner")
         cols.append("job")
     return out.select(*cols)
 
 
+def _task_key(df: DataFrame, info: str) -> list[Column]:
+    if TASK_KEYS[0] in df.columns:
+        return [F.col(k).alias(a) for k, a in zip(TASK_KEYS, ("__job", "__idx"))]
+    return [zero(f"{info}.job.id", 0).alias("__job"), zero(f"{info}.task_index", 0).alias("__idx")]
+
+
 def death_events(events: DataFrame) -> DataFrame:
     """Events that end a task's run: EVICT, FAIL, FINISH, KILL, LOST."""
     return events.where(F.col("type").isin(*S.DEATH_TYPES))

@@ -449,7 +449,10 @@ SELECT tie AS usage_id, job_id, task_index, task_start_time, task_running_time,
        job_num_tasks, job_start_time, job_end_time FROM cu"""))
 def q_combine_usage(spark, sf):
     st = stages(spark, sf)
-    cu = enrich.combine_usage(st.usage_with_jobs_and_machines, st.task_utils, st.job_utils)
+    return _combined_flat(enrich.combine_usage(st.usage_with_jobs_and_machines, st.task_utils, st.job_utils))
+
+
+def _combined_flat(cu: DataFrame) -> DataFrame:
     return cu.select(F.col("tie").alias("usage_id"), F.col("usage.task_info.job.id").alias("job_id"),
                      F.col("usage.task_info.task_index").alias("task_index"),
                      F.col("task.start_time").alias("task_start_time"),
@@ -459,6 +462,16 @@ def q_combine_usage(spark, sf):
                      F.col("job.end_time").alias("job_end_time"))
 
 
+@register("combine_usage_by_task", ORACLE["combine_usage"])
+def q_combine_usage_by_task(spark, sf):
+    """The same over usage and task summaries stored by task: their buckets meet without a shuffle."""
+    st = stages(spark, sf)
+    base = scratch_path(spark, "by-task")
+    stored = [store.read_by_task(spark, kind, store.write_by_task(df, kind, f"{base}/{kind}", 16))
+              for kind, df in (("task_usage", st.usage_with_jobs_and_machines), ("task_utilization", st.task_utils))]
+    return _combined_flat(enrich.combine_usage(*stored, st.job_utils))
+
+
 @register("usage_with_next_death", chain_sql("cud", """
 SELECT tie AS usage_id, job_id, task_index, start_time, death_id, death_time, death_req_cpus, death_req_memory
 FROM cud"""))
