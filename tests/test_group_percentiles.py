@@ -20,9 +20,10 @@ def measures():
 def weighted(spark):
     rnd = random.Random(8)
     value = lambda: rnd.choice([0.0, -0.0, -1.5, 2.0, float("inf"), float("nan"), rnd.random()])
-    weight = lambda: rnd.choice([0, 1, 5, 7, S.LONG_MAX])
+    weight = lambda: rnd.choice([None, 0, 1, 5, 7, S.LONG_MAX])
     rows = [(rnd.choice([1, 1, 1, 2, 3]), i % 2, value(), value(), weight()) for i in range(400)]
-    rows += [(9, 0, value(), value(), 0) for _ in range(9)]
+    rows += [(9, 0, value(), value(), 0) for _ in range(9)] + [(8, 0, value(), value(), None) for _ in range(9)]
+    rows += [(7, i, rnd.random(), rnd.random(), rnd.choice([None, None, 3])) for i in range(60)]
     return spark.createDataFrame(rows, "j long, i int, a double, b double, w long")
 
 
@@ -38,7 +39,7 @@ def test_percentiles_of_several_measures(spark, limit):
     want = {(r.j, r.i, r.measure): [str(r[f"__p{k}"] + 0.0) for k in range(len(ps))]
             for r in P.percentile_columns(long, ["j", "i", "measure"], ps).collect()}
     assert {(r.j, r.i, m): [str(r[f"{m}_{k}"] + 0.0) for k in range(len(ps))] for r in got for m in measures()} == want
-    assert len(want) == 14
+    assert len(want) == 16 + 120
 
 
 def test_percentiles_shuffle_the_rows_once(spark, tmp_path):
