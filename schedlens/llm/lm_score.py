@@ -49,6 +49,8 @@ from schedlens.llm.common import batched, stage, table, text_rows, texts
 VOCABULARY, OOV_IDS, CLASSES = 7_168, 1_023, 64
 WINDOW, WIDTH, ROUNDS = 2, 16, 2
 RATE, OUT_RATE, BATCH = 0.05, 1.0, 4_096
+#: Scores of a class that may lie this far below the best possible one are shifted row by row.
+FAR = 40.0
 #: Distinct words a task counts before it sends them on, and weights in one block.
 COUNTED, WEIGHT_BLOCK = 400_000, 1 << 16
 
@@ -88,6 +90,31 @@ def _order(ids: np.ndarray) -> np.ndarray:
     return np.argsort(ids.astype(np.uint16), kind="stable")
 
 
+def _in_range(w: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``w`` (rows, the last column their levels) with the levels of each class lowered by its
+    best possible score, and the classes whose scores may all be far below that. The hidden
+    values they are multiplied with lie between -1 and 1."""
+    spread = np.abs(w) @ np.array([1] * (w.shape[1] - 1) + [0], dtype=w.dtype)
+    top = np.maximum.reduceat(w[:, -1] + spread, first[:-1])
+    far = top - np.maximum.reduceat(w[:, -1] - spread, first[:-1]) > FAR
+    w[:, -1] -= np.repeat(top, np.diff(first))
+    return w, far
+
+
+def _scores(h: np.ndarray, w: np.ndarray, far: bool, out: np.ndarray | None = None) -> np.ndarray:
+    """Scores of every row of ``h``, less a number that keeps their exponentials in range."""
+    z = np.matmul(h, w.T, out=out)
+    if far:
+        z -= z.max(1, keepdims=True)
+    return z
+
+
+def _exp_sums(z: np.ndarray) -> np.ndarray:
+    """Puts exponentials in place of the scores and adds them up."""
+    np.exp(z, out=z)
+    return z @ np.ones(z.shape[1], dtype=z.dtype)
+
+
 class Model:
     """All weights of the network in one float32 vector, and the corpus shares."""
 
@@ -136,74 +163,106 @@ class Model:
     def _neighbours(self) -> list[int]:
         return [*range(-self.window, 0), *range(1, self.window + 1)]
 
-    def forward(self, flat: np.ndarray, at: np.ndarray, parts=None):
-        emb, bias, out, prior = (parts or self.parts())[:4]
-        h = np.broadcast_to(bias, (len(at), self.width)).copy()
-        for j, d in enumerate(self._neighbours()):
-            h += emb[j][flat[at + d]]
-        np.tanh(h, out=h)
-        z = h @ out + prior
-        z -= z.max(1, keepdims=True)
-        return h, z
-
-    def _inside(self, h: np.ndarray, token: np.ndarray, parts):
-        """Class by class, for tokens ordered by class: which of them, its rows of the second
-        softmax, their scores at each of the tokens, and which score is the token's."""
-        of = self.klass[token]
-        cut, hit = np.searchsorted(of, np.arange(self.classes + 1)), self.row[token] - self.first[of]
-        nth = np.arange(np.diff(cut).max(initial=0))
-        for c in np.flatnonzero(np.diff(cut)).tolist():
-            here, members = slice(cut[c], cut[c + 1]), slice(self.first[c], self.first[c + 1])
-            g = h[here] @ parts[4][members].T
-            g += parts[5][members]
-            g -= g.max(1, keepdims=True)
-            yield here, members, g, (nth[:cut[c + 1] - cut[c]], hit[here])
+    def hidden(self, near: list[np.ndarray], parts) -> np.ndarray:
+        """The hidden layer, and a last column of ones that takes the levels of the scores along."""
+        x = np.broadcast_to(parts[1], (len(near[0]), self.width)).copy()
+        for j, ids in enumerate(near):
+            x += parts[0][j].take(ids, axis=0)
+        h = np.ones((len(x), self.width + 1), dtype=np.float32)
+        h[:, :-1] = np.tanh(x, out=x)
+        return h
+
+    def _softmaxes(self, parts):
+        """Rows and levels of both softmaxes, in range."""
+        classes = _in_range(np.column_stack((parts[2].T, parts[3])), np.array([0, self.classes]))
+        return classes, _in_range(np.column_stack(parts[4:6]), self.first) if self.inner else None
+
+    def _by_class(self, of: np.ndarray):
+        """Class by class, for tokens ordered by class: the class, which tokens are its own (at most
+        ``BATCH`` a time), its rows of the second softmax."""
+        cut, first = np.searchsorted(of, np.arange(self.classes + 1)).tolist(), self.first.tolist()
+        for c in range(self.classes):
+            for lo in range(cut[c], cut[c + 1], BATCH):
+                yield c, slice(lo, min(lo + BATCH, cut[c + 1])), slice(first[c], first[c + 1])
 
     def log_probs(self, flat: np.ndarray, at: np.ndarray, parts=None) -> np.ndarray:
         parts = parts or self.parts()
-        h, z = self.forward(flat, at, parts)
+        order = _order(self.klass[flat[at]])
+        at = at[order]
         token = flat[at]
-        of = self.klass[token]
-        inside = self.within[token]
+        of, h = self.klass[token], self.hidden([flat[at + d] for d in self._neighbours()], parts)
+        (w, far), inner = self._softmaxes(parts)
+        lp, total = np.empty(len(at)), np.empty(len(at))
+        for lo in range(0, len(at), BATCH):
+            here = slice(lo, lo + BATCH)
+            z = _scores(h[here], w, far[0])
+            lp[here] = z[np.arange(len(z)), of[here]]
+            total[here] = _exp_sums(z)
         if self.inner:
-            order = _order(of)
-            for here, _, g, hit in self._inside(h[order], token[order], parts):
-                inside[order[here]] = g[hit] - np.log(np.exp(g).sum(1, dtype=np.float64))
-        return z[np.arange(len(at)), of].astype(np.float64) - np.log(np.exp(z).sum(1, dtype=np.float64)) + inside
+            (w, far), hit = inner, self.row[token] - self.first[of]
+            for c, here, members in self._by_class(of):
+                g = _scores(h[here], w[members], far[c])
+                lp[here] += g[np.arange(len(g)), hit[here]]
+                total[here] *= _exp_sums(g)
+        else:
+            lp += self.within[token]
+        out = np.empty(len(at))
+        out[order] = lp - np.log(total)
+        return out
 
     def step(self, flat: np.ndarray, at: np.ndarray, rate: float = RATE) -> None:
+        """Moves the weights against the gradient, for at most ``BATCH`` tokens. The gradient of a
+        softmax's scores is the softmax less one at the token; here it stays multiplied with
+        the sum of the exponentials, and what it is multiplied with is divided by that."""
         parts = self.parts()
         emb, bias, out, prior = parts[:4]
-        h, z = self.forward(flat, at, parts)
-        np.exp(z, out=z)
-        z /= z.sum(1, keepdims=True)
-        z[np.arange(len(at)), self.klass[flat[at]]] -= 1
+        at = at[_order(self.klass[flat[at]])]
+        token, near = flat[at], [flat[at + d] for d in self._neighbours()]
+        of, h = self.klass[token], self.hidden(near, parts)
+        (w, far), inner = self._softmaxes(parts)
         scale, mean = np.float32(rate), np.float32(OUT_RATE / len(at))
-        back = z @ out.T
+        z = _scores(h, w, far[0])
+        total = _exp_sums(z)
+        z[np.arange(len(at)), of] -= total
+        total = total[:, None]
+        back = (z @ out.T) / total
+        moved = mean * ((h / total).T @ z)
         if self.inner:
-            order = _order(self.klass[flat[at]])
-            sorted_h, more = h[order], np.empty_like(back)
-            for here, members, g, hit in self._inside(sorted_h, flat[at[order]], parts):
-                np.exp(g, out=g)
-                g /= g.sum(1, keepdims=True)
-                g[hit] -= 1
-                np.matmul(g, parts[4][members], out=more[here])
-                by = scale / np.float32(np.sqrt(len(g)))  # as for the embeddings
-                parts[4][members] -= by * (g.T @ sorted_h[here])
-                parts[5][members] -= by * g.sum(0)
-            back[order] += more
-        back *= 1 - h * h
-        out -= mean * (h.T @ z)
-        prior -= mean * z.sum(0)
+            w, far = inner
+            (own, level), size = parts[4:6], np.diff(self.first)[of]
+            begin = np.cumsum(size) - size
+            g, at_class = np.empty(size.sum(), dtype=np.float32), []  # the scores of all tokens, one after the other
+            for c, here, members in self._by_class(of):
+                n, m = here.stop - here.start, members.stop - members.start
+                view = g[begin[here.start]:begin[here.start] + n * m].reshape(n, m)
+                at_class.append((here, members, view))
+                _scores(h[here], w[members], far[c], view)
+            total = np.add.reduceat(np.exp(g, out=g), begin)
+            g[begin + self.row[token] - self.first[of]] -= total
+            total = total[:, None]
+            shares, more, grown = h / total, np.empty_like(back), np.zeros_like(w)
+            for here, members, view in at_class:
+                np.matmul(view, own[members], out=more[here])
+                np.matmul(view.T, shares[here], out=grown[members])
+            back += more / total
+            held = np.bincount(of, minlength=self.classes)  # as for the embeddings
+            grown *= np.repeat(scale / np.sqrt(np.maximum(held, 1)), np.diff(self.first)).astype(np.float32)[:, None]
+            own -= grown[:, :-1]
+            level -= grown[:, -1]
+        out -= moved[:-1]
+        prior -= moved[-1]
+        back *= 1 - h[:, :-1] ** 2
         bias -= mean * back.sum(0)
-        for j, d in enumerate(self._neighbours()):
-            near = flat[at + d]
-            order = _order(near)
-            near = near[order]
-            cut = np.flatnonzero(np.concatenate(([True], near[1:] != near[:-1])))
-            g = np.add.reduceat(back[order], cut, axis=0)
-            n = np.diff(np.append(cut, len(near)))[:, None]
-            emb[j][near[cut]] -= scale * g / np.sqrt(n).astype(np.float32)  # frequent words move by less a time
+        back, column = back.astype(np.float64).ravel(), np.arange(self.width)
+        cell, nth = np.empty((len(at), self.width), dtype=np.int64), np.empty(self.size + 1, dtype=np.int64)
+        for j, ids in enumerate(near):
+            n = np.bincount(ids, minlength=self.size + 1)
+            held = np.flatnonzero(n > 0)
+            nth[held] = np.arange(len(held)) * self.width
+            np.add(nth.take(ids)[:, None], column, out=cell)
+            g = np.bincount(cell.ravel(), weights=back).reshape(-1, self.width)
+            g *= (scale / np.sqrt(n[held]))[:, None]  # frequent words move by less a time
+            emb[j][held] -= g.astype(np.float32)
 
 
 ENCODED_DDL = "doc_id long, n long, part int, ids binary, row long, rare binary"
@@ -238,13 +297,22 @@ def _rare_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Every row's distinct words outside the vocabulary, with how often they occur in it."""
     schema = pa.schema([("row", pa.int64()), ("word", pa.binary()), ("tf", pa.int64())])
 
-    def rows():
-        for batch in batches:
-            for row, raw in zip(batch.column("row").to_pylist(), text_rows(batch, "rare")):
-                for word, tf in Counter(raw.split()).items():
-                    yield (row, word, tf), len(word)
+    def out(rows, sizes, words, tfs):
+        return pa.RecordBatch.from_arrays([pa.array(np.repeat(rows, sizes)), pa.array(words, pa.binary()), pa.array(tfs, pa.int64())], schema=schema)
 
-    return batched(rows(), schema)
+    rows, sizes, words, tfs = [], [], [], []
+    for batch in batches:
+        for row, raw in zip(batch.column("row").to_pylist(), text_rows(batch, "rare")):
+            seen = Counter(raw.split())
+            rows.append(row)
+            sizes.append(len(seen))
+            words += seen
+            tfs += seen.values()
+            if len(words) > 50_000:
+                yield out(rows, sizes, words, tfs)
+                rows, sizes, words, tfs = [], [], [], []
+    if words:
+        yield out(rows, sizes, words, tfs)
 
 
 def _id_counts(words):
@@ -363,8 +431,7 @@ def _score(shared, offsets=None):
             sums = []
             for docs in _chunks(_read(batch), 1 << 16):
                 flat, at = model.padded(docs)
-                lp = [model.log_probs(flat, at[i:i + BATCH], parts) for i in range(0, len(at), BATCH)]
-                lp = np.concatenate(lp) if lp else np.empty(0)
+                lp = model.log_probs(flat, at, parts)
                 if offsets is not None:
                     lp = lp + offsets[flat[at]]
                 lens = np.array([len(d) for d in docs])

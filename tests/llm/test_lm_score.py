@@ -137,6 +137,64 @@ def test_a_wrong_word_of_like_frequency_costs_at_its_own_position(spark):
     assert abs(spread[False]) < 1e-9 and spread[True] > 0.3
 
 
+def step_from_definition(model, flat, at, rate):
+    """The weights after a step, with both softmaxes written out in float64."""
+    emb, bias, out, prior, own, level = (p.astype(np.float64) for p in model.parts())
+    near = [flat[at + d] for d in (-2, -1, 1, 2)]
+    h = np.tanh(bias + sum(emb[j][x] for j, x in enumerate(near)))
+    of, row = model.klass[flat[at]], model.row[flat[at]]
+    z = np.exp(h @ out + prior)
+    z /= z.sum(1, keepdims=True)
+    z[np.arange(len(at)), of] -= 1
+    back = z @ out.T
+    moved_own, moved_level = np.zeros_like(own), np.zeros_like(level)
+    for c in range(model.classes):
+        here, members = np.flatnonzero(of == c), np.arange(model.first[c], model.first[c + 1])
+        if len(here):
+            g = np.exp(h[here] @ own[members].T + level[members])
+            g /= g.sum(1, keepdims=True)
+            g[np.arange(len(here)), row[here] - model.first[c]] -= 1
+            back[here] += g @ own[members]
+            moved_own[members] = rate / np.sqrt(len(here)) * (g.T @ h[here])
+            moved_level[members] = rate / np.sqrt(len(here)) * g.sum(0)
+    mean = L.OUT_RATE / len(at)
+    back *= 1 - h * h
+    for j, x in enumerate(near):
+        total = np.zeros_like(emb[j])
+        np.add.at(total, x, back)
+        emb[j] -= rate * total / np.sqrt(np.maximum(np.bincount(x, minlength=len(total)), 1))[:, None]
+    parts = [emb, bias - mean * back.sum(0), out - mean * (h.T @ z), prior - mean * z.sum(0), own - moved_own, level - moved_level]
+    return np.concatenate([p.ravel() for p in parts])
+
+
+def test_a_step_takes_the_exponentials_of_all_classes_at_once(monkeypatch):
+    rng = np.random.default_rng(2)
+    model = L.Model(rng.integers(1, 50, 40).astype(float), classes=6, inner=True)
+    model.weights = (model.weights + rng.normal(scale=0.3, size=len(model.weights))).astype(np.float32)
+    flat, at = model.padded([rng.integers(0, 30, 60), rng.integers(0, 40, 5)])  # not all ids occur
+    start, want = model.weights.copy(), step_from_definition(model, flat, at, 0.05)
+    lps, calls, exp = model.log_probs(flat, at), [], np.exp
+    for far in (40.0, -1.0):  # scores shifted by class, and row by row
+        monkeypatch.setattr(L, "FAR", far, raising=False)
+        assert np.abs(model.log_probs(flat, at) - lps).max() < 1e-5
+        with monkeypatch.context() as m:
+            m.setattr(np, "exp", lambda *a, **k: calls.append(1) or exp(*a, **k))
+            model.step(flat, at)
+        assert np.abs(model.weights - want).max() < 1e-5
+        model.weights = start.copy()
+    assert len(calls) == 4  # two softmaxes in each of two steps, however many classes
+
+
+def test_scores_far_apart_stay_finite():
+    rng = np.random.default_rng(3)
+    model = L.Model(rng.integers(1, 50, 40).astype(float), classes=6, inner=True)
+    model.weights = (model.weights + rng.normal(scale=60, size=len(model.weights))).astype(np.float32)
+    ids = rng.integers(0, 40, 60)
+    flat, at = model.padded([ids])
+    model.step(flat, at, rate=1e-3)
+    assert np.isfinite(model.weights).all()
+
+
 def test_empty(spark):
     assert L.score_documents(docs(spark, [])).collect() == []
     out = L.score_documents(docs(spark, [(1, None), (2, " ")])).collect()
