@@ -7,9 +7,13 @@ root-frequency; within a class an id has its share of the corpus counts.
 
 Words. With ``per_word`` (the query) an id that words share is only their embedding: each of
 them has the id's probability times its own counted share of the id, one count of which is
-kept for words never seen. The documents' words outside the vocabulary are joined to the
-whole count table for that. None of them can be hot: its count is below that of every word
-of the vocabulary, so it holds at most 1 / ``vocabulary`` of the tokens.
+kept for words never seen. The counts of the most frequent words, at most ``KNOWN`` whatever
+the corpus, are sent to the tasks that encode; all other words of the documents are joined
+to the whole count table. None of them can be hot: its count is below that of every word
+that was sent.
+
+Tasks split and number the words of many texts at a time in Arrow; only distinct words are
+looked up.
 
 Network. Every token is predicted from the ``window`` tokens on both sides, never from
 itself: position-specific embeddings of the neighbours are added, squashed, and give a
@@ -33,45 +37,60 @@ Without any word there is no model and only such rows; no documents give no rows
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from copy import copy
-from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from schedlens.llm.common import batched, stage, table, text_rows, texts
+from schedlens.llm.common import BATCH_BYTES, stage, table, text_rows, texts
 
 VOCABULARY, OOV_IDS, CLASSES = 7_168, 1_023, 64
 WINDOW, WIDTH, ROUNDS = 2, 16, 2
 RATE, OUT_RATE, BATCH = 0.05, 1.0, 4_096
 #: Scores of a class that may lie this far below the best possible one are shifted row by row.
 FAR = 40.0
-#: Distinct words a task counts before it sends them on, and weights in one block.
-COUNTED, WEIGHT_BLOCK = 400_000, 1 << 16
+#: Most words whose counts are sent to the tasks, bytes of text whose words are numbered at
+#: a time, and weights in one block.
+KNOWN, PIECE, WEIGHT_BLOCK = 1 << 18, 2 * BATCH_BYTES, 1 << 16
+
+
+def _pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Runs of rows with about ``PIECE`` bytes of text."""
+    size = pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False).astype(np.int64)
+    cut = np.flatnonzero(np.diff((np.cumsum(size) - size) // PIECE)) + 1
+    for lo, hi in zip([0, *cut.tolist()], [*cut.tolist(), batch.num_rows]):
+        if hi > lo:
+            yield batch.slice(lo, hi - lo)
+
+
+def _words(text: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The distinct words of some texts, the numbers of all their words one after the other,
+    and how many words each text has. Blanks around a text leave an empty word, which none
+    of the numbers stands for."""
+    lists = pc.ascii_split_whitespace(text)
+    coded = lists.flatten().dictionary_encode()
+    words, at = coded.dictionary, coded.indices.to_numpy()
+    sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    empty = pc.index(words, pa.scalar("", words.type)).as_py()
+    if empty >= 0:
+        held = at != empty
+        sizes = np.bincount(np.repeat(np.arange(len(sizes)), sizes), weights=held, minlength=len(sizes)).astype(np.int64)
+        at = at[held]
+    return words.cast(pa.binary()), at, sizes
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("word", pa.binary()), ("n", pa.int64())])
-
-    def out(seen):
-        words = list(seen)
-        for i in range(0, len(words), 50_000):
-            yield pa.RecordBatch.from_arrays([pa.array(words[i:i + 50_000], pa.binary()),
-                                              pa.array([seen[w] for w in words[i:i + 50_000]], pa.int64())], schema=schema)
-
-    seen: Counter = Counter()
     for batch in batches:
-        for raw in text_rows(batch):
-            seen.update(raw.split())
-            if len(seen) > COUNTED:
-                yield from out(seen)
-                seen = Counter()
-    yield from out(seen)
+        for piece in _pieces(batch):
+            words, at, _ = _words(piece.column("text"))
+            n = np.bincount(at, minlength=len(words))
+            yield pa.RecordBatch.from_arrays([words, pa.array(n, pa.int64())], schema=schema).filter(pa.array(n > 0))
 
 
 class Ids(dict):
@@ -265,56 +284,46 @@ class Model:
             emb[j][held] -= g.astype(np.float32)
 
 
-ENCODED_DDL = "doc_id long, n long, part int, ids binary, row long, rare binary"
+ENCODED_DDL = "doc_id long, n long, part int, ids binary, row long, gain double, rare array<binary>"
+
+
+def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """One binary value a row, from the bytes of ``sizes`` values each."""
+    ends = np.concatenate([[0], np.cumsum(sizes) * values.itemsize]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends), pa.py_buffer(values.tobytes())])
 
 
-def _encode(words):
-    """Ids of every text, a number for its row, and its words outside the vocabulary."""
+def _encode(shared):
+    """Ids of every text, a number for its row, the logarithms of the counts of its words that
+    share ids but are among those sent, added up, and its words that were not sent."""
     schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("part", pa.int32()), ("ids", pa.binary()),
-                        ("row", pa.int64()), ("rare", pa.binary())])
+                        ("row", pa.int64()), ("gain", pa.float64()), ("rare", pa.list_(pa.binary()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        ids = Ids(*words.value)
-        row = count(TaskContext.get().partitionId() << 40)
-
-        def rows():
-            for batch in batches:
-                for doc, raw in zip(batch.column("doc_id").to_pylist(), text_rows(batch)):
-                    w = raw.split()
-                    x = np.fromiter(map(ids.__getitem__, w), dtype="<u2", count=len(w))
-                    rare = b" ".join([w[i] for i in np.flatnonzero(x >= ids.first).tolist()])
-                    x = x.tobytes()
-                    yield (doc, len(w), xxhash.xxh64_intdigest(raw) & 0xFFFF, x, next(row), rare), len(x) + len(rare)
-
-        yield from batched(rows(), schema)
+        known, known_ids, known_gains, ids = shared.value
+        row = TaskContext.get().partitionId() << 40
+        for batch in batches:
+            for piece in _pieces(batch):
+                words, at, sizes = _words(piece.column("text"))
+                found = pc.index_in(words, value_set=known).fill_null(-1).to_numpy()
+                other = found < 0
+                own, gains = known_ids[found], known_gains[found]
+                own[other] = [ids[w] for w in words.filter(pa.array(other)).to_pylist()]
+                of = np.repeat(np.arange(len(sizes)), sizes)
+                rare = np.flatnonzero(other[at])
+                ends = np.concatenate([[0], np.cumsum(np.bincount(of[rare], minlength=len(sizes)))])
+                part = [xxhash.xxh64_intdigest(raw) & 0xFFFF for raw in text_rows(piece)]
+                yield pa.RecordBatch.from_arrays([
+                    piece.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(part, pa.int32()), _lists(own[at], sizes),
+                    pa.array(np.arange(row, row + len(sizes)), pa.int64()), pa.array(np.bincount(of, weights=gains[at], minlength=len(sizes))),
+                    pa.ListArray.from_arrays(pa.array(ends, pa.int32()), words.take(pa.array(at[rare])))], schema=schema)
+                row += len(sizes)
 
     return run
 
 
-def _rare_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every row's distinct words outside the vocabulary, with how often they occur in it."""
-    schema = pa.schema([("row", pa.int64()), ("word", pa.binary()), ("tf", pa.int64())])
-
-    def out(rows, sizes, words, tfs):
-        return pa.RecordBatch.from_arrays([pa.array(np.repeat(rows, sizes)), pa.array(words, pa.binary()), pa.array(tfs, pa.int64())], schema=schema)
-
-    rows, sizes, words, tfs = [], [], [], []
-    for batch in batches:
-        for row, raw in zip(batch.column("row").to_pylist(), text_rows(batch, "rare")):
-            seen = Counter(raw.split())
-            rows.append(row)
-            sizes.append(len(seen))
-            words += seen
-            tfs += seen.values()
-            if len(words) > 50_000:
-                yield out(rows, sizes, words, tfs)
-                rows, sizes, words, tfs = [], [], [], []
-    if words:
-        yield out(rows, sizes, words, tfs)
-
-
 def _id_counts(words):
     """Counts of the ids from those of the words."""
     schema = pa.schema([("id", pa.int32()), ("n", pa.int64())])
@@ -404,6 +413,30 @@ def corpus_counts(docs: DataFrame, vocabulary: int = VOCABULARY, oov_ids: int =
     return counted, words, counts
 
 
+def known_words(counted: DataFrame, words: list[bytes], oov_ids: int) -> tuple[pa.Array, np.ndarray, np.ndarray, Ids]:
+    """What the tasks that encode are sent: the vocabulary and the next frequent words, at most
+    ``KNOWN``, their ids, the logarithms of the counts of those that share ids, each with a last
+    value for words not sent, and those words' ids. Words of like count are sent together or
+    not at all."""
+    level = F.floor(F.log2("n") * 8)
+    total, lowest = 0, None
+    for r in sorted(counted.groupBy(level.alias("level")).count().collect(), reverse=True):  # at most 8 * 64 rows
+        total += r["count"]
+        if total > KNOWN:
+            break
+        lowest = r.level
+    ids = Ids(words, oov_ids)
+    more, n = [], []
+    if lowest is not None:
+        sent = counted.filter(level >= lowest).toArrow()  # at most ``KNOWN`` rows
+        for w, x in zip(sent.column("word").to_pylist(), sent.column("n").to_pylist()):
+            if w not in ids:
+                more.append(w)
+                n.append(x)
+    own = np.array([*range(len(words)), *(ids[w] for w in more), 0], dtype="<u2")
+    return pa.array([*words, *more], pa.binary()), own, np.log(np.concatenate([np.ones(len(words)), n, [1]])), ids
+
+
 def train(encoded: DataFrame, model: Model, rounds: int = ROUNDS) -> Model:
     spark = encoded.sparkSession
     for r in range(rounds):
@@ -421,7 +454,8 @@ SCORED_DDL = "doc_id long, n_tokens long, log_prob double, row long"
 
 
 def _score(shared, offsets=None):
-    """Sums of the conditionals; ``offsets`` (by id) are added to those of the tokens."""
+    """Sums of the conditionals; with ``offsets`` (by id) these are added to those of the tokens,
+    and what the words whose counts were sent gain."""
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("log_prob", pa.float64()), ("row", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -437,7 +471,10 @@ def _score(shared, offsets=None):
                 lens = np.array([len(d) for d in docs])
                 sums.append(np.bincount(np.repeat(np.arange(len(docs)), lens), weights=lp, minlength=len(docs)))
             if sums:
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n"), pa.array(np.concatenate(sums)),
+                total = np.concatenate(sums)
+                if offsets is not None:
+                    total += batch.column("gain").to_numpy()
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n"), pa.array(total),
                                                   batch.column("row")], schema=schema)
 
     return run
@@ -449,7 +486,7 @@ def _fit(docs: DataFrame, id_col: str, text_col: str, vocabulary: int, oov_ids:
         raise ValueError("ids are stored in 16 bits")
     rows = texts(docs, id_col, text_col)
     counted, words, counts = corpus_counts(rows, vocabulary, oov_ids)
-    shared = rows.sparkSession.sparkContext.broadcast((words, oov_ids))
+    shared = rows.sparkSession.sparkContext.broadcast(known_words(counted, words, oov_ids))
     encoded = stage(rows.mapInArrow(_encode(shared), ENCODED_DDL), "encoded")
     return encoded, train(encoded, Model(counts, inner=inner), rounds), counted
 
@@ -461,10 +498,10 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabul
 
 
 def word_shares(encoded: DataFrame, counted: DataFrame) -> DataFrame:
-    """row, gain: the logarithms of the counts of its words outside the vocabulary, added up.
-    Words counted once add nothing and need no partner."""
-    rare = encoded.filter(F.length("rare") > 0).select("row", "rare").mapInArrow(_rare_words, "row long, word binary, tf long")
-    return rare.join(counted.filter("n > 1"), "word").groupBy("row").agg(F.sum(F.col("tf") * F.log("n")).alias("gain"))
+    """row, gain: the logarithms of the counts of its words whose counts were not sent, added
+    up. Words counted once add nothing and need no partner."""
+    rare = encoded.select("row", F.explode("rare").alias("word"))
+    return rare.join(counted.filter("n > 1"), "word").groupBy("row").agg(F.sum(F.log("n")).alias("gain"))
 
 
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: int = VOCABULARY,
@@ -478,7 +515,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         offsets = -np.log(model.counts + 1)
         offsets[:model.size - oov_ids] = 0.0
     shared = encoded.sparkSession.sparkContext.broadcast(model)
-    scored = encoded.select("doc_id", "n", "ids", "row").mapInArrow(_score(shared, offsets), SCORED_DDL)
+    scored = encoded.select("doc_id", "n", "ids", "row", "gain").mapInArrow(_score(shared, offsets), SCORED_DDL)
     if per_word:
         scored = scored.join(word_shares(encoded, counted), "row", "left").withColumn("log_prob", F.col("log_prob") + F.coalesce("gain", F.lit(0.0)))
     mean = F.when(F.col("n_tokens") > 0, F.col("log_prob") / F.col("n_tokens"))

@@ -1,6 +1,8 @@
 import math
 
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import functions as F
 
 from schedlens.llm import lm_score as L
 
@@ -85,6 +87,36 @@ def test_words_outside_the_vocabulary_have_their_own_counts(spark):
     assert got[1000] > got[1001] + 2
 
 
+def test_words_are_numbered_as_they_are_split():
+    texts = [" a  b\t\x0bA\x0cb\x1cd e\u00a0f\u2003g\r\n", "", " \n", "b", "x" * 50 + " a", "\x00 \x85 a"]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+    words, at, sizes = L._words(batch.column("text"))
+    found, ends = [words[i].as_py() for i in at.tolist()], np.cumsum(sizes).tolist()
+    assert [found[e - n:e] for e, n in zip(ends, sizes.tolist())] == [t.encode().split() for t in texts]
+    assert sum((p.column("text").to_pylist() for p in L._pieces(batch)), []) == texts
+    assert list(L._pieces(batch.slice(0, 0))) == []
+
+
+def test_only_words_whose_counts_are_not_sent_are_joined(spark, monkeypatch):
+    monkeypatch.setattr(L, "PIECE", 1 << 12)  # many pieces a task
+    pairs = [(i, f"the cat sat on a mat {'often ' * (i % 3)} some{i % 40} few{i % 90} once{i}") for i in range(300)] + [(None, None), (7, "few3 few3 new")]
+    df, out, joined = clashing(docs(spark, pairs)), {}, {}
+    for most in (0, 60, 1 << 18):
+        monkeypatch.setattr(L, "KNOWN", most)
+        encoded, _, counted = L._fit(df, "doc_id", "text", 5, 3, 1)
+        joined[most] = encoded.select(F.sum(F.size("rare"))).first()[0]
+        known, own, gains, ids = L.known_words(counted, [bytes(r.word) for r in counted.orderBy(F.desc("n"), "word").limit(5).collect()], 3)
+        n = {bytes(r.word): r.n for r in counted.collect()}
+        assert len(known) <= max(most, 5) and own[:-1].tolist() == [ids[w] for w in known.to_pylist()]
+        assert np.allclose(gains, [0.0] * 5 + [math.log(n[w]) for w in known.to_pylist()[5:]] + [0.0])
+        share = {r.row: r.gain for r in L.word_shares(encoded, counted).collect()}
+        out[most] = sorted(((r.doc_id, r.n, bytes(r.ids), round(r.gain + share.get(r.row, 0.0), 9)) for r in encoded.collect()), key=repr)
+    want = [(d, t, sum(math.log(n[w]) for w in (t or "").encode().split() if w not in ids)) for d, t in pairs]
+    want = [(d, len((t or "").split()), np.array([ids[w] for w in (t or "").encode().split()], dtype="<u2").tobytes(), round(x, 9)) for d, t, x in want]
+    assert out[0] == out[60] == out[1 << 18] == sorted(want, key=repr)
+    assert joined[0] > joined[60] > joined[1 << 18] == 0
+
+
 def whole_softmax(model, ids, i):
     """P(every id | both sides of position i) with both softmaxes, from the definition."""
     emb, bias, out, prior, own, level = (p.astype(np.float64) for p in model.parts())
